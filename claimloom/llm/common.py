@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -26,13 +27,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the folder that the cluster shares.
 
     Reads spark.checkpoint.dir from the session; where it is unset (tests, one
-    machine) a folder under /tmp/checkpoints is set.
+    machine) a folder under /tmp/checkpoints is set. A collection follows, so that
+    Spark's cleaner drops the shuffle files that the cut lineage no longer needs.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return cut
 
 
 def held_out(doc_id: Column) -> Column:

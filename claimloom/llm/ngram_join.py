@@ -23,7 +23,8 @@ components are the classes. The product A * A' is never formed whole:
    bounds from sizes, positions and the parity of 256-bit column sketches
    (none of which can discard a link). What is left is verified exactly.
 
-Sizes are exact; n-grams are compared by their 56 to 64-bit hashes.
+Sizes are exact; n-grams are compared by hashes of 48 bits, of more
+as the data and with them the blocks grow (40 bits and the block's number).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -77,24 +78,36 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def _pack(hashes: np.ndarray, index: np.ndarray) -> bytes:
-    """Low 48 bits of each hash (the block implies the rest) and its row's place in the batch."""
-    low = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return low + index.astype(np.uint16).tobytes()
+def _low(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each hash; the block implies the rest."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _pack(rows: int, hashes: np.ndarray, index: np.ndarray, collapsed: np.ndarray) -> bytes:
+    """Entries of one block and batch: how many each document has, their hashes by document, the collapsed columns."""
+    order = np.argsort(index, kind="stable")
+    counts = np.bincount(index, minlength=rows)
+    wide = int(counts.max(initial=0) > 255)
+    head = np.array([rows, wide, len(hashes)], np.uint32).tobytes()
+    return head + counts.astype(np.uint16 if wide else np.uint8).tobytes() + _low(hashes[order]) + _low(collapsed)
 
 
 def _unpack(payload: bytes, top: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(payload) // 8
-    hashes = np.zeros((n, 8), np.uint8)
-    hashes[:, :6] = np.frombuffer(payload, np.uint8, 6 * n).reshape(-1, 6)
-    return hashes.view(U).ravel() | U(top), np.frombuffer(payload, np.uint16, n, 6 * n)
+    rows, wide, own = np.frombuffer(payload, np.uint32, 3).tolist()
+    counts = np.frombuffer(payload, np.uint16 if wide else np.uint8, rows, 12)
+    low = np.frombuffer(payload, np.uint8, offset=12 + counts.nbytes).reshape(-1, 5)
+    hashes = np.zeros((len(low), 8), np.uint8)
+    hashes[:, :5] = low
+    index = np.full(len(low), _NONE, np.uint16)
+    index[:own] = np.repeat(np.arange(rows, dtype=np.uint16), counts)
+    return hashes.view(U).ravel() | U(top), index
 
 
 def _incidence(width: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by block; block -1 - batch carries a batch's documents and its own shared n-grams."""
     task = TaskContext.get().partitionId()
     serial = 0
-    stored = U((((1 << bits) - 1) << (64 - bits)) | ((1 << 48) - 1))  # the bits that survive packing
+    stored = U((((1 << bits) - 1) << (64 - bits)) | ((1 << 40) - 1))  # the bits that survive packing
     for batch in batches:
         ids = batch.column(0).to_pandas().astype("Int64")
         raw, offsets = utf8(batch.column(1))
@@ -125,12 +138,13 @@ def _one(name: int, ids: pd.Series, sets: list[np.ndarray], bits: int) -> Iterat
         many = ~fresh
         many[:-1] |= ~fresh[1:]
         inner = np.ascontiguousarray(hashes[many]).tobytes() + index[many].tobytes()
-        index = np.where(many, _NONE, index)[fresh]
-        hashes = hashes[fresh]
-        block = (hashes >> U(64 - bits)).astype(np.int64)
-        for x, y in _runs(block):
-            blocks.append(int(block[x]))
-            payloads.append(_pack(hashes[x:y], index[x:y]))
+        own_hashes, own_index, collapsed = hashes[~many], index[~many], hashes[many & fresh]
+        cuts = np.arange(1 << bits, dtype=U) << U(64 - bits)
+        at, to = np.append(np.searchsorted(own_hashes, cuts), len(own_hashes)), np.append(np.searchsorted(collapsed, cuts), len(collapsed))
+        for k in range(1 << bits):
+            if at[k] < at[k + 1] or to[k] < to[k + 1]:
+                blocks.append(k)
+                payloads.append(_pack(len(sets), own_hashes[at[k] : at[k + 1]], own_index[at[k] : at[k + 1]], collapsed[to[k] : to[k + 1]]))
     head = np.zeros((len(sets), 3), np.int64)
     head[:, 0] = ids.fillna(0).to_numpy(np.int64)
     head[:, 1] = [len(s) for s in sets]
@@ -233,6 +247,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return done.where((100 + percent) * F.col("overlap") >= percent * F.col("sizes")).select("a", "b", "overlap")
 
 
+def _members(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Each document, and the shared n-grams of those that may link. Its own frames end with it, and so do their shuffle files."""
+    bits = min(16, max(8, (4 * shuffle_width(docs.sparkSession) - 1).bit_length()))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = texts.mapInArrow(lambda it: _incidence(width, bits, it), _ROWS)
+    kept = rows.groupBy("block").applyInArrow(lambda t: _shared(bits, t), _ROWS)
+    return checkpointed(kept.groupBy("batch").applyInArrow(lambda t: _gather(percent, t), _DOCS))
+
+
+def _bounds(percent: int) -> Column:
+    """What sizes and places leave possible for the rows named _a and _b that meet in a column."""
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    return (F.least("left_a", "left_b") >= need) & (F.col("alone_a") + F.col("alone_b") <= F.col("n_a") + F.col("n_b") - 2 * need)
+
+
 def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose n-gram sets link, directly or through others.
 
@@ -243,21 +272,17 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     null, or null. Other columns are ignored, so their names can't clash. An
     empty table gives an empty table. percent lies in 1..100.
     """
-    spark = docs.sparkSession
-    bits = min(16, max(8, (4 * shuffle_width(spark) - 1).bit_length()))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(lambda it: _incidence(width, bits, it), _ROWS)
-    kept = rows.groupBy("block").applyInArrow(lambda t: _shared(bits, t), _ROWS)
-    members = checkpointed(kept.groupBy("batch").applyInArrow(lambda t: _gather(percent, t), _DOCS))
-
+    members = _members(docs, percent, width, id_col, text_col)
     classes = members.groupBy("key").agg(F.min(F.when(F.col("grams").isNotNull(), F.col("uid"))).alias("linkable"), F.min("uid").alias("least")).select("key", F.coalesce("linkable", "least").alias("class"))
     sets = members.where("grams is not null").select("uid", F.col("n_shingles").alias("n"), "grams")
     sets = sets.join(classes.select(F.col("class").alias("uid")), "uid", "left_semi")
     sets = checkpointed(sets.withColumn("sketch", _sketch("grams")))
 
     prefix = sets.select("uid", "n", "grams").mapInArrow(lambda it: _prefixes(percent, it), "gram long, uid long, alone long, n long, left long")
-    pivots = prefix.groupBy("gram").agg(F.min(F.struct("alone", "uid")).alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = prefix.join(pivots.select("gram", F.col("pivot.uid").alias("b")), "gram").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
+    pivots = prefix.groupBy("gram").agg(F.min(F.struct("alone", "uid", "n", "left")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
+    pivots = pivots.select("gram", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("uid", "alone", "n", "left")])
+    near = prefix.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("uid", "alone", "n", "left")]).join(pivots, "gram")
+    pairs = near.where((F.col("uid_a") != F.col("uid_b")) & _bounds(percent)).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
     links = checkpointed(_linked(pairs, sets, percent).select("a", "b"))
     first = components(links)
 
@@ -275,7 +300,7 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
         (one["gram"] == two["gram"])
         & (F.col("label_a") != F.col("label_b"))
         & ((F.col("label_b") == F.col("largest_b")) | (F.col("uid_a") < F.col("uid_b")))
-        & (F.least("left_a", "left_b") >= need)
+        & _bounds(percent)
         & (apart + F.col("alone_a") + F.col("alone_b") <= F.col("n_a") + F.col("n_b") - 2 * need)
     )
     rest = one.join(two, condition).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
