@@ -5,17 +5,90 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
+from .licenses import scan_licenses
+from .matroska import media_digests
+from .mixing import mix_sources, with_sizes
 from .ngram_join import ngram_jaccard_classes
+from .quality import apply_quality_rules, learn_rules
+from .secrets import scan_secrets
+from .toxicity import score_toxicity
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), percent=75, width=5)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), repo_col="doc_id", owner_col="source", shared_owners=3)
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = checkpointed(with_sizes(table(spark, sf_dir, "documents")))
+    mixed = mix_sources(sized, weights=(1, 2, 3), most=3)
+    position = F.when(F.col("passes") > 0, F.round(F.element_at("due", 1), 9))
+    rows = mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "passes", position.alias("position"))
+    return rows.orderBy("position", "doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = learn_rules(docs, table(spark, sf_dir, "labels"))
+    return apply_quality_rules(docs, rules)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_mixing_sources": op5_mixing_sources,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op8_license_scans": op8_license_scans,
+    "op9_media_columns": op9_media_columns,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixing_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sized GROUP BY source),
+caps AS (SELECT *, (rank % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS words_left,
+    (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weight_left FROM caps),
+flagged AS (SELECT *, cap * weight_left <= words_left * weight AS capped FROM levels),
+facts AS (
+  SELECT source, rank, source_size, CASE WHEN capped THEN cap::DOUBLE
+    ELSE (max(CASE WHEN NOT capped THEN words_left::DOUBLE / weight_left END) OVER ()) * weight END AS target FROM flagged),
+placed AS (
+  SELECT s.doc_id, s.size, f.rank, f.source_size, f.target, floor(f.target)::BIGINT AS words,
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id NULLS FIRST, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS start
+  FROM sized s JOIN facts f ON s.source IS NOT DISTINCT FROM f.source),
+split AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole FROM placed),
+parts AS (SELECT *, greatest(0, least(words - whole * source_size - start, size)) AS part FROM split),
+taken AS (
+  SELECT *, whole * size + part AS taken, CASE WHEN size > 0 THEN whole + (part > 0)::BIGINT ELSE 0 END AS passes,
+    (start + 0.5::DOUBLE * (CASE WHEN whole > 0 THEN size ELSE part END)) / CASE WHEN target > 0 THEN target END AS demand FROM parts),
+due AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 2.0::DOUBLE * demand / (1.5::DOUBLE + sqrt(2.25::DOUBLE + (-2.0)::DOUBLE * demand))
+    WHEN 1 THEN 2.0::DOUBLE * demand / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 0.0::DOUBLE * demand))
+    ELSE 2.0::DOUBLE * demand / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * demand)) END AS moment FROM taken)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, passes::INTEGER AS passes,
+  CASE WHEN passes > 0 THEN round(least(greatest(moment, 0.0::DOUBLE), 1.0::DOUBLE), 9) END AS position FROM due
+""",
+}
