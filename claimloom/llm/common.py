@@ -59,6 +59,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A hint to broadcast a narrow table whose rows are counted to be few; beyond that Spark's own join stands."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of doc_id as text leaves 1 modulo 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import checkpointed, shuffle_width, slices, utf8
+from .common import broadcast_if_small, checkpointed, shuffle_width, slices, utf8
 from .components import components
 from .words import U, mix, windows, words
 
@@ -176,11 +176,11 @@ def _shared(bits: int, table: pa.Table) -> pa.Table:
     order = order[many]
     order = order[index[order] != _NONE]
     order = order[np.argsort(of[order], kind="stable")]
-    out = [(names[of[order[x]]], np.ascontiguousarray(hashes[order[x:y]]).tobytes() + index[order[x:y]].tobytes()) for x, y in _runs(of[order])]
+    out = [(names[of[order[x]]], _low(hashes[order[x:y]]) + index[order[x:y]].tobytes()) for x, y in _runs(of[order])]
     return pa.table([pa.array([block] * len(out), pa.int64()), pa.array([n for n, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], ["block", "batch", "payload"])
 
 
-def _gather(percent: int, table: pa.Table) -> pa.Table:
+def _gather(percent: int, bits: int, table: pa.Table) -> pa.Table:
     """Of one batch: its documents, with the shared n-grams of those that may reach the bound."""
     name, head, hashes, index = table.column("batch")[0].as_py(), None, [], []
     for block, payload in zip(table.column("block").to_pylist(), table.column("payload"), strict=True):
@@ -189,9 +189,15 @@ def _gather(percent: int, table: pa.Table) -> pa.Table:
             n = int.from_bytes(payload[:8], "little")
             head = np.frombuffer(payload, np.int64, 3 * n, 8).reshape(-1, 3)
             payload = payload[8 + 24 * n :]
-        n = len(payload) // 10
-        hashes.append(np.frombuffer(payload, U, n))
-        index.append(np.frombuffer(payload, np.uint16, n, 8 * n))
+            n = len(payload) // 10
+            hashes.append(np.frombuffer(payload, U, n))
+            index.append(np.frombuffer(payload, np.uint16, n, 8 * n))
+            continue
+        n = len(payload) // 7
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :5] = np.frombuffer(payload, np.uint8, 5 * n).reshape(-1, 5)
+        hashes.append(full.view(U).ravel() | U(block << (64 - bits)))
+        index.append(np.frombuffer(payload, np.uint16, n, 5 * n))
     hashes, index = np.concatenate(hashes), np.concatenate(index)
     order = np.lexsort((hashes, index))
     hashes = np.ascontiguousarray(hashes[order])
@@ -240,6 +246,8 @@ def _sketch(grams: pd.Series) -> pd.Series:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact overlap reaches the bound."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    sets = sets.join(broadcast_if_small(ends), "uid", "left_semi")
     x = sets.select(F.col("uid").alias("a"), F.col("grams").alias("x"), F.col("n").alias("nx"))
     y = sets.select(F.col("uid").alias("b"), F.col("grams").alias("y"), F.col("n").alias("ny"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("sizes"))
@@ -253,7 +261,7 @@ def _members(docs: DataFrame, percent: int, width: int, id_col: str, text_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(lambda it: _incidence(width, bits, it), _ROWS)
     kept = rows.groupBy("block").applyInArrow(lambda t: _shared(bits, t), _ROWS)
-    return checkpointed(kept.groupBy("batch").applyInArrow(lambda t: _gather(percent, t), _DOCS))
+    return checkpointed(kept.groupBy("batch").applyInArrow(lambda t: _gather(percent, bits, t), _DOCS))
 
 
 def _bounds(percent: int) -> Column:
@@ -282,12 +290,12 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     pivots = prefix.groupBy("gram").agg(F.min(F.struct("alone", "uid", "n", "left")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
     pivots = pivots.select("gram", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("uid", "alone", "n", "left")])
     near = prefix.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("uid", "alone", "n", "left")]).join(pivots, "gram")
-    pairs = near.where((F.col("uid_a") != F.col("uid_b")) & _bounds(percent)).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
+    pairs = checkpointed(near.where((F.col("uid_a") != F.col("uid_b")) & _bounds(percent)).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct())
     links = checkpointed(_linked(pairs, sets, percent).select("a", "b"))
     first = components(links)
 
     # Columns that still meet several components.
-    labelled = prefix.join(first.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    labelled = prefix.join(broadcast_if_small(first.select(F.col("node").alias("uid"), "label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     sizes = labelled.groupBy("gram", "label").agg(F.count("*").alias("rows"))
     mixed = sizes.groupBy("gram").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
     open_rows = labelled.join(mixed.select("gram", "largest"), "gram").join(sets.select("uid", "sketch"), "uid")
@@ -303,7 +311,7 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
         & _bounds(percent)
         & (apart + F.col("alone_a") + F.col("alone_b") <= F.col("n_a") + F.col("n_b") - 2 * need)
     )
-    rest = one.join(two, condition).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
+    rest = checkpointed(one.join(two, condition).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct())
     more = checkpointed(_linked(rest, sets, percent).select("a", "b"))
     final = components(links.unionByName(more)) if not more.isEmpty() else first
 
