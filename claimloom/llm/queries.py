@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
+from .langid import identify_languages, learn
 from .licenses import scan_licenses
 from .matroska import media_digests
 from .mixing import mix_sources, with_sizes
 from .ngram_join import ngram_jaccard_classes
 from .quality import apply_quality_rules, learn_rules
 from .secrets import scan_secrets
+from .token_counts import count_tokens, replacements
 from .toxicity import score_toxicity
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, learn(docs, train_rows=3_000))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), percent=75, width=5)
 
@@ -51,7 +58,20 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+# Personal data that the edits of op10 mask: mail addresses, network addresses, long numbers.
+PERSONAL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{6,}"
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after two kinds of edits: a source tag in front, and masks for personal data."""
+    docs = table(spark, sf_dir, "documents")
+    tag = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.concat(F.lit("["), F.coalesce("source", F.lit("unknown")), F.lit("] ")).alias("put"))
+    masks = F.coalesce(replacements(F.col("text"), PERSONAL, "[MASKED]"), F.array().cast("array<struct<start:bigint,stop:bigint,put:string>>"))
+    return count_tokens(docs, F.concat(F.array(tag), masks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_secret_scans": op4_secret_scans,
     "op5_mixing_sources": op5_mixing_sources,
@@ -59,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_license_scans": op8_license_scans,
     "op9_media_columns": op9_media_columns,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
