@@ -13,6 +13,7 @@ from .licenses import scan_licenses
 from .matroska import media_digests
 from .mixing import mix_sources, with_sizes
 from .ngram_join import ngram_jaccard_classes
+from .pieces import decode_pieces, encode_pieces
 from .quality import apply_quality_rules, learn_rules
 from .secrets import scan_secrets
 from .token_counts import count_tokens, replacements
@@ -24,6 +25,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, learn(docs, train_rows=3_000))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's piece ids, decoded again and held against the text's digest."""
+    encoded = encode_pieces(table(spark, sf_dir, "documents"))
+    decoded = decode_pieces(encoded, digest_only=True)
+    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", (F.col("digest") == F.col("text_sha256")).alias("round_trip"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), percent=75, width=5)
 
@@ -72,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_secret_scans": op4_secret_scans,
     "op5_mixing_sources": op5_mixing_sources,

@@ -1,15 +1,89 @@
-"""A training corpus from raw documents, in stages."""
+"""A training corpus from raw documents, in stages.
+
+Each stage takes what its predecessor kept and all but the last return the
+columns of documents: toxic documents go, one document of each class of near
+copies stays, secrets are masked, sources are mixed to their targets (documents
+are repeated, or dropped, as the mix takes them) and the texts are encoded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm.common import SPACES, checkpointed, ship, table
+from claimloom.llm.mixing import mix_sources, with_sizes
+from claimloom.llm.ngram_join import ngram_jaccard_classes
+from claimloom.llm.pieces import decode_pieces, encode_pieces
+from claimloom.llm.secrets import redact_secrets
+from claimloom.llm.toxicity import score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+_SPACE = "[" + "".join(f"\\x{b:02X}" for b in SPACES) + "]"
+_NOT_SPACE = "[^" + _SPACE[1:]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.7."""
+    ship(spark)
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.7, carry=True)
+    return scored.where("tox_predicted = 0").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near copies, one row of it."""
+    ship(spark)
+    classes = ngram_jaccard_classes(docs, percent=75, width=5)
+    first = classes.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Rows that repeat an id are rare; only they are compared further.
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
+    again = checkpointed(again)
+    if again.isEmpty():
+        return kept
+    repeated = F.col("doc_id").eqNullSafe(F.col("_again"))
+    marked = again.select(F.col("doc_id").alias("_again"))
+    return kept.join(marked, repeated, "left_anti").unionByName(kept.join(marked, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their owner-specific secrets masked."""
+    ship(spark)
+    return redact_secrets(docs, repo_col="doc_id", owner_col="source", shared_owners=3)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of training; a last part is a document's first words."""
+    mixed = mix_sources(with_sizes(docs, carry=True), weights=(1, 2, 3), most=3)
+    words = F.split(F.regexp_replace(F.col("row.text"), f"^{_SPACE}+", ""), f"(?<={_SPACE})(?={_NOT_SPACE})")
+    part = F.array_join(F.slice(words, 1, F.col("part").cast("int")), "")
+    passes = F.arrays_zip(F.col("due"), F.sequence(F.lit(1), F.greatest(F.col("passes"), F.lit(1))).alias("number"))
+    each = mixed.where("passes > 0").withColumn("_pass", F.explode(passes))
+    text = F.when(F.col("_pass.number") > F.col("whole"), part).otherwise(F.col("row.text"))
+    columns = [(text if c == "text" else F.char_length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns]
+    placed = each.select(F.col("_pass.due").alias("_due"), *columns)
+    return placed.orderBy("_due", "doc_id").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, pieces and their number; round_trip says whether they decode to the text."""
+    ship(spark)
+    decoded = decode_pieces(encode_pieces(docs), digest_only=True)
+    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", (F.col("digest") == F.col("text_sha256")).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scans", mask_secrets),
+    ("mixing", mix),
+    ("sentencepiece", encode),
+]
 
+#: Trained scores, near copies and byte-pair encoding have no SQL form; tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
 
