@@ -22,8 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once for each context, wherever they run."""
+    """Sends this package to the Python workers once for each context, wherever they run.
+
+    Long texts make large Arrow batches, so a batch's default of 10,000 rows is lowered.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if getattr(context, "_claimloom_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

@@ -16,8 +16,8 @@ components are the classes. The product A * A' is never formed whole:
    only through its first shared - ceil(percent * |X| / 100) + 1 columns in
    hash order: a partner over the bound must meet it in one of them.
 4. In each column the document with the fewest n-grams of its own is the pivot;
-   all others are multiplied with it alone, exactly. That joins families of
-   copies in time linear in their size.
+   every other document is multiplied, exactly, with the pivot that it meets in
+   most columns. That joins families of copies in time linear in their size.
 5. Only columns that still meet several components are multiplied further, and
    there only rows outside the largest component against the others, below
    bounds from sizes, positions and the parity of 256-bit column sketches
@@ -290,7 +290,9 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     pivots = prefix.groupBy("gram").agg(F.min(F.struct("alone", "uid", "n", "left")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
     pivots = pivots.select("gram", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("uid", "alone", "n", "left")])
     near = prefix.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("uid", "alone", "n", "left")]).join(pivots, "gram")
-    pairs = checkpointed(near.where((F.col("uid_a") != F.col("uid_b")) & _bounds(percent)).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct())
+    met = near.where((F.col("uid_a") != F.col("uid_b")) & _bounds(percent)).groupBy("uid_a", "uid_b").agg(F.count("*").alias("columns"))
+    # Each document is multiplied with the pivot that it meets most often; what that leaves apart, the open columns settle.
+    pairs = checkpointed(met.groupBy(F.col("uid_a").alias("a")).agg(F.max_by("uid_b", F.struct("columns", -F.col("uid_b"))).alias("b")))
     links = checkpointed(_linked(pairs, sets, percent).select("a", "b"))
     first = components(links)
 
