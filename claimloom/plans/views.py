@@ -51,8 +51,9 @@ def validation_failure_patterns(t: Tables, p: Params) -> DataFrame:
     errors = own.groupBy(*keys, F.coalesce("error_type", F.lit("unknown")).alias("error_type")).agg(F.count("*").alias("error_count"))
     # Each result row meets each error type of its group: both sides are summed first and multiplied, which is the join's fan-out.
     kinds = errors.groupBy(*keys).agg(F.count("*").alias("types"), F.array_join(F.array_sort(F.collect_list(F.concat("error_type", F.lit("="), F.col("error_count").cast("string")))), ",").alias("error_type_counts"))
-    rows = own.groupBy(*keys).agg(F.count("*").alias("results"), mean("processing_ms").alias("avg_processing_ms"), mean("inference_ms").alias("avg_inference_ms"))
-    return kinds.join(rows, keys).select(*keys, (F.col("types") * F.col("results")).alias("failure_count"), "avg_processing_ms", "avg_inference_ms", "error_type_counts")
+    rows = own.groupBy(*keys).agg(F.count("*").alias("results"), *[f(c).alias(f"{n}_{c}") for c in ("processing_ms", "inference_ms") for n, f in (("sum", F.sum), ("count", F.count))])
+    fanned = lambda c: (F.col(f"sum_{c}") * F.col("types")).cast("double") / (F.col(f"count_{c}") * F.col("types"))
+    return kinds.join(rows, keys).select(*keys, (F.col("types") * F.col("results")).alias("failure_count"), fanned("processing_ms").alias("avg_processing_ms"), fanned("inference_ms").alias("avg_inference_ms"), "error_type_counts")
 
 
 def financial_metrics(t: Tables, p: Params) -> DataFrame:
