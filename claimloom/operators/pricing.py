@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..sources.testdata import dimension
 
 
 def price_lines(lines: DataFrame, rvu: DataFrame, params: Params = Params()) -> DataFrame:
     """Lines with status and amount = value * units * factor, half up to cents; 0.00 where it can't be priced."""
     units = F.coalesce("units", F.lit(1))
-    priced = lines.join(dimension(rvu), "cpt_code", "left")
+    priced = lines.join(rvu, "cpt_code", "left")
     status = (
         F.when(F.coalesce(F.col("cpt_code") == "", F.lit(True)), "CPT_CODE_MISSING").when(units <= 0, "INVALID_UNITS")
         .when(F.col("rvu_value").isNull(), "RVU_NOT_FOUND").otherwise("CALCULATED_OK")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import blank
 from ..params import Params
-from ..sources.testdata import Tables, dimension
+from ..sources.testdata import Tables
 
 # The direct checks, in their order: (rule, field, message, source).
 DIRECT = [
@@ -32,7 +32,7 @@ def facts(tables: Tables, claims: DataFrame, params: Params) -> DataFrame:
     """Claims with what the dimensions say: facility_known, facility_active, fc_active."""
     f = tables.facilities.select("facility_id", F.col("active").alias("_facility"))
     fc = tables.financial_classes.where("active").select("financial_class_id", F.col("facility_id").alias("_fc_facility"), F.lit(True).alias("_fc"))
-    joined = claims.join(dimension(f), "facility_id", "left").join(dimension(fc), "financial_class_id", "left")
+    joined = claims.join(f, "facility_id", "left").join(fc, "financial_class_id", "left")
     own = F.col("_fc_facility") == F.col("facility_id")
     fits = own | F.col("_fc_facility").isNull() if params.allow_global_fc else own
     return joined.select(
@@ -107,7 +107,7 @@ def validate_assignments(tables: Tables, claims: DataFrame) -> DataFrame:
     f = tables.facilities.select("facility_id", "facility_name", F.col("active").alias("f_on"))
     d = tables.departments.select("department_id", "department_name", F.col("active").alias("d_on"), F.col("facility_id").alias("d_facility"))
     c = tables.financial_classes.select("financial_class_id", F.col("description").alias("fc_name"), F.col("active").alias("c_on"), F.col("facility_id").alias("c_facility"))
-    x = claims.join(dimension(f), "facility_id", "left").join(dimension(d), "department_id", "left").join(dimension(c), "financial_class_id", "left")
+    x = claims.join(f, "facility_id", "left").join(d, "department_id", "left").join(c, "financial_class_id", "left")
     has_d, has_c = F.col("department_id").isNotNull(), F.col("financial_class_id").isNotNull()
     facility_error = F.when(F.col("facility_id").isNull(), "Claim is not assigned to any facility").when(F.col("facility_name").isNull(), "Assigned facility does not exist")
     department_error = F.when(has_d & F.col("department_name").isNull(), "Assigned department does not exist").when(has_d & F.col("d_on") & (F.col("d_facility") != F.col("facility_id")), "Department belongs to a different facility")
@@ -126,8 +126,8 @@ def quality_violations(tables: Tables) -> DataFrame:
         count(f.where(~F.col("facility_type").isin("Teaching", "Non-Teaching")), "facility_type_check"),
         count(f.where(~F.col("critical_access").isin("Y", "N")), "critical_access_check"),
         count(c.groupBy("claim_id").count().where("count > 1"), "claim_id_unique"),
-        count(c.where("facility_id is not null").join(dimension(f.select("facility_id")), "facility_id", "left_anti"), "claim_facility_exists"),
-        count(c.where("financial_class_id is not null").join(dimension(tables.financial_classes.select("financial_class_id")), "financial_class_id", "left_anti"), "claim_class_exists"),
+        count(c.where("facility_id is not null").join(f.select("facility_id"), "facility_id", "left_anti"), "claim_facility_exists"),
+        count(c.where("financial_class_id is not null").join(tables.financial_classes.select("financial_class_id"), "financial_class_id", "left_anti"), "claim_class_exists"),
         count(lines.where("line_number not between 1 and 99"), "line_number_range"),
         count(lines.where("units <= 0"), "line_units_positive"),
     ]

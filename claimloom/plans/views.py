@@ -9,7 +9,7 @@ from ..functions.columns import at, boundaries, count_if, mean, percent, since,
 from ..operators.pricing import price_lines
 from ..operators.validation import facts, validate
 from ..params import Params
-from ..sources.testdata import Tables, dimension
+from ..sources.testdata import Tables
 
 
 def staged(t: Tables, p: Params) -> DataFrame:
@@ -38,7 +38,7 @@ def processing_summary(t: Tables, p: Params) -> DataFrame:
 
 def facility_performance_daily(t: Tables, p: Params) -> DataFrame:
     own = staged(t, p).where(since("service_date", p.as_of_claims, 30, "DAYS"))
-    x = own.join(dimension(t.facilities.select("facility_id", "facility_name", "facility_type")), "facility_id").join(_lines(t).select("claim_id", "cpt_code"), "claim_id", "left")
+    x = own.join(t.facilities.select("facility_id", "facility_name", "facility_type"), "facility_id").join(_lines(t).select("claim_id", "cpt_code"), "claim_id", "left")
     return x.groupBy("facility_id", "facility_name", "facility_type", F.col("service_date").alias("service_day")).agg(
         F.count("claim_id").alias("total_claims"), count_if(F.col("status") == "COMPLETED").alias("completed_claims"), count_if(F.col("facility_validated")).alias("validated_claims"), count_if(F.col("exported")).alias("exported_claims"),
         total("total_charge").alias("total_charges"), mean("total_charge").alias("avg_charge"), F.count_distinct("patient_id").alias("unique_patients"), F.count_distinct("cpt_code").alias("unique_procedures"),
@@ -58,9 +58,9 @@ def validation_failure_patterns(t: Tables, p: Params) -> DataFrame:
 
 def financial_metrics(t: Tables, p: Params) -> DataFrame:
     own = t.claims.where(since("service_date", p.as_of_claims, 90, "DAYS") & F.col("exported"))
-    classes = t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description"), "payer_id").join(dimension(t.payers.select("payer_id", "payer_category")), "payer_id", "left")
+    classes = t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description"), "payer_id").join(t.payers.select("payer_id", "payer_category"), "payer_id", "left")
     priced = price_lines(_lines(t), t.rvu, p).select("claim_id", "amount")
-    x = own.join(dimension(t.facilities.select("facility_id", "facility_type")), "facility_id").join(dimension(classes), "financial_class_id", "left").join(priced, "claim_id", "left")
+    x = own.join(t.facilities.select("facility_id", "facility_type"), "facility_id").join(classes, "financial_class_id", "left").join(priced, "claim_id", "left")
     charges, paid = F.sum("total_charge"), F.sum("amount")
     return x.groupBy(F.col("service_date").alias("service_day"), "fc_description", "payer_category", "facility_type").agg(
         F.count("claim_id").alias("claim_count"), charges.cast("decimal(18,2)").alias("total_charges"), paid.cast("decimal(18,2)").alias("total_reimbursement"), mean("total_charge").alias("avg_charge"), mean("amount").alias("avg_reimbursement"),
@@ -80,8 +80,8 @@ def ml_model_performance(t: Tables, p: Params) -> DataFrame:
 def claims_for_validation(t: Tables, p: Params) -> DataFrame:
     """Pending claims with names, distinct codes and the reimbursement total, inflated by the number of diagnoses as the join has it."""
     own = t.claims.where((F.col("status") == "PENDING") & ~F.col("exported"))
-    x = own.join(dimension(t.facilities.select("facility_id", "facility_name")), "facility_id", "left").join(dimension(t.departments.select("department_id", "department_name")), "department_id", "left")
-    x = x.join(dimension(t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description"))), "financial_class_id", "left")
+    x = own.join(t.facilities.select("facility_id", "facility_name"), "facility_id", "left").join(t.departments.select("department_id", "department_name"), "department_id", "left")
+    x = x.join(t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description")), "financial_class_id", "left")
     dated = F.col("service_date").isNotNull()
     ill = t.diagnoses.groupBy("claim_id").agg(F.array_sort(F.collect_set("icd_code")).alias("icd"), F.count("*").alias("n_ill"))
     line = price_lines(_lines(t), t.rvu, p).groupBy("claim_id").agg(F.array_sort(F.collect_set("cpt_code")).alias("cpt"), F.count("*").alias("n_line"), F.sum("amount").alias("paid"))
@@ -177,7 +177,7 @@ def facility_performance_30d(t: Tables, p: Params) -> DataFrame:
 
 
 def _hierarchy(t: Tables) -> DataFrame:
-    return t.facilities.join(dimension(t.organizations), "organization_id", "left").join(dimension(t.regions), "region_id", "left")
+    return t.facilities.join(t.organizations, "organization_id", "left").join(t.regions, "region_id", "left")
 
 
 def facility_details(t: Tables, p: Params) -> DataFrame:
@@ -200,13 +200,13 @@ def claims_by_facility(t: Tables, p: Params, facility_id: str | None = None) ->
 
 def financial_class_summary(t: Tables, p: Params) -> DataFrame:
     counts = production(t).groupBy("financial_class_id", "facility_id").agg(F.count("*").alias("claims"))
-    x = t.financial_classes.join(dimension(t.facilities.select("facility_id", "facility_name")), "facility_id", "left").join(dimension(t.payers), "payer_id", "left").join(counts, ["financial_class_id", "facility_id"], "left")
+    x = t.financial_classes.join(t.facilities.select("facility_id", "facility_name"), "facility_id", "left").join(t.payers, "payer_id", "left").join(counts, ["financial_class_id", "facility_id"], "left")
     return x.select("financial_class_id", "description", "facility_id", "facility_name", "payer_name", "payer_category", "active", F.coalesce("claims", F.lit(0)).alias("total_claims"))
 
 
 def department_utilization(t: Tables, p: Params) -> DataFrame:
     sums = production(t).groupBy("department_id", "facility_id").agg(F.count("*").alias("total_claims"), total("total_charge").alias("total_charges"), mean("total_charge").alias("avg_charge"), count_if(since("service_date", p.as_of_claims, 30, "DAYS")).alias("last_30_days"), count_if(since("service_date", p.as_of_claims, 90, "DAYS")).alias("last_90_days"), F.min("service_date").alias("first_claim"), F.max("service_date").alias("last_claim"))
-    x = t.departments.where("active").select("department_id", "department_name", "facility_id").join(dimension(t.facilities.select("facility_id", "facility_name")), "facility_id", "left").join(sums, ["department_id", "facility_id"], "left")
+    x = t.departments.where("active").select("department_id", "department_name", "facility_id").join(t.facilities.select("facility_id", "facility_name"), "facility_id", "left").join(sums, ["department_id", "facility_id"], "left")
     return x.na.fill(0, ["total_claims", "last_30_days", "last_90_days", "avg_charge"]).withColumn("total_charges", F.coalesce("total_charges", F.lit("0.00").cast("decimal(18,2)")))
 
 

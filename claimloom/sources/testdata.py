@@ -1,4 +1,8 @@
-"""The driver's tables seen as the claims model: staging, production, dimensions, metrics."""
+"""The driver's tables seen as the claims model: staging, production, dimensions, metrics.
+
+Dimensions are joined without hints: Spark broadcasts those whose size it knows
+to be under its threshold and shuffles larger ones, at run time too (AQE).
+"""
 
 from __future__ import annotations
 
@@ -9,15 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import json_text, money
 
-#: Rows up to which a dimension is broadcast; a larger one is joined by shuffle.
-DIMENSION_ROWS = 100_000
-
-
-def dimension(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
-    """A hint to broadcast a dimension whose size is checked; beyond the bound Spark's own choice stands."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def code(prefix: str, number: Column, width: int = 3) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
 
