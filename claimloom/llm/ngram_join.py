@@ -234,18 +234,27 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @F.pandas_udf(ArrayType(LongType()))
-def _sketch(grams: pd.Series) -> pd.Series:
-    """Parity of the number of n-grams on each of 256 bits: |X ^ Y| is at least the bits that differ."""
+def _sketch(grams: pd.Series, bits: pd.Series) -> pd.Series:
+    """Parity of the number of n-grams on each bit: |X ^ Y| is at least the number of bits that differ."""
     out = []
-    for g in grams:
-        h = mix(np.frombuffer(g, U)) & U(255)
-        bits = (np.bincount(h.astype(np.int64), minlength=256) & 1).astype(np.uint8)
-        out.append(np.packbits(bits).view(np.int64).tolist())
+    for g, m in zip(grams, bits, strict=True):
+        h = mix(np.frombuffer(g, U)) & U(m - 1)
+        out.append(np.packbits((np.bincount(h.astype(np.int64), minlength=m) & 1).astype(np.uint8)).view(np.int64).tolist())
     return pd.Series(out)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact overlap reaches the bound."""
+    """The pairs (a, b) whose exact overlap reaches the bound.
+
+    2048-bit sketches discard most others first, so that few sets are shuffled.
+    """
+    for side in "ab":
+        facts = sets.select(F.col("uid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "alone", "wide")])
+        pairs = pairs.join(facts, side)
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    close = apart + F.col("alone_a") + F.col("alone_b") <= F.col("n_a") + F.col("n_b") - 2 * need
+    pairs = checkpointed(pairs.where(close).select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     sets = sets.join(broadcast_if_small(ends), "uid", "left_semi")
     x = sets.select(F.col("uid").alias("a"), F.col("grams").alias("x"), F.col("n").alias("nx"))
@@ -284,7 +293,8 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     classes = members.groupBy("key").agg(F.min(F.when(F.col("grams").isNotNull(), F.col("uid"))).alias("linkable"), F.min("uid").alias("least")).select("key", F.coalesce("linkable", "least").alias("class"))
     sets = members.where("grams is not null").select("uid", F.col("n_shingles").alias("n"), "grams")
     sets = sets.join(classes.select(F.col("class").alias("uid")), "uid", "left_semi")
-    sets = checkpointed(sets.withColumn("sketch", _sketch("grams")))
+    alone = F.col("n") - (F.octet_length("grams") / 8).cast("long")
+    sets = checkpointed(sets.withColumn("alone", alone).withColumn("sketch", _sketch("grams", F.lit(256))).withColumn("wide", _sketch("grams", F.lit(2048))))
 
     prefix = sets.select("uid", "n", "grams").mapInArrow(lambda it: _prefixes(percent, it), "gram long, uid long, alone long, n long, left long")
     pivots = prefix.groupBy("gram").agg(F.min(F.struct("alone", "uid", "n", "left")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
