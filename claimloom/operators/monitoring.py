@@ -120,6 +120,56 @@ def moving_average(points: DataFrame, weight: float = 0.1, key: str = "name", de
     return points.withColumn("_values", values).withColumn("ema", fold).drop("_values")
 
 
+def moving_average_exact(points: DataFrame, weight: float = 0.1, key: str = "name", block: str = "hour") -> DataFrame:
+    """Exponential moving average over all values, seeded by the first one; null values change nothing.
+
+    Each block of time is folded apart, from nothing, to the decay of what came
+    before it and the sum of its own values. A fold over the blocks then gives
+    each the mean that it starts from, so no key is one task's work.
+    """
+    keep = 1 - weight
+
+    def inner(batches):  # the rows of each block in order
+        import pyarrow as pa
+
+        last, decay, own, n = None, 1.0, 0.0, 0
+        for batch in batches:
+            out = []
+            for k, b, v in zip(*(batch.column(c).to_pylist() for c in ("_key", "_block", "_v")), strict=True):
+                if (k, b) != last:
+                    last, decay, own, n = (k, b), 1.0, 0.0, 0
+                if v is not None:
+                    decay, own, n = decay * keep, own * keep + v * weight, n + 1
+                out.append((decay, own, n))
+            more = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.record_batch([*batch.columns, *more], [*batch.schema.names, "_decay", "_own", "_n"])
+
+    def outer(batches):  # the blocks of each key in order
+        import pyarrow as pa
+
+        last, mean_, seeded = object(), None, False
+        for batch in batches:
+            out = []
+            for k, first, decay, own in zip(*(batch.column(c).to_pylist() for c in ("_k", "_first", "_d", "_o")), strict=True):
+                if k != last:
+                    last, mean_, seeded = k, None, False
+                start, was = (mean_ if seeded else first), seeded
+                if start is not None:
+                    mean_, seeded = decay * start + own, True
+                out.append((start, was))
+            yield pa.record_batch([batch.column("_k"), batch.column("_b"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.bool_())], ["_k", "_b", "_start", "_seeded"])
+
+    x = points.withColumn("_key", F.col(key).cast("string")).withColumn("_block", F.unix_micros(F.date_trunc(block, "ts").cast("timestamp"))).withColumn("_v", F.col("value").cast("double"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields)
+    folded = x.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "ts", "point_id").mapInArrow(inner, f"{kinds}, _decay double, _own double, _n long")
+    place = F.struct("ts", "point_id")
+    ends = folded.groupBy(F.col("_key").alias("_k"), F.col("_block").alias("_b")).agg(F.min_by(F.col("_v"), F.when(F.col("_v").isNotNull(), place)).alias("_first"), F.max_by("_decay", place).alias("_d"), F.max_by("_own", place).alias("_o"))
+    starts = ends.repartition("_k").sortWithinPartitions("_k", "_b").mapInArrow(outer, "_k string, _b long, _start double, _seeded boolean")
+    mine = F.col("_key").eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_b"))
+    known = F.col("_seeded") | (F.col("_n") > 0)
+    return folded.join(starts, mine).withColumn("ema", F.when(known, F.col("_decay") * F.col("_start") + F.col("_own"))).select(*points.columns, "ema")
+
+
 def trailing_rate(points: DataFrame, seconds: int = 300, key: str = "name") -> DataFrame:
     """Points of the last seconds (start excluded) over the time they span, one second at least."""
     epoch = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -200,6 +200,7 @@ query("operation_stats", sql(f"SELECT name, bucket, count(*) AS n, {money('value
 query("keep_last_n", sql("SELECT name, point_id, row_number() OVER (PARTITION BY name ORDER BY ts DESC, point_id DESC)::INTEGER AS place FROM metric_points QUALIFY place <= 100"))(lambda t: monitoring.keep_last(t.metric_points, 100).select("name", "point_id", "place"))
 query("rolling_avg_100", sql("SELECT point_id, (sum(value) OVER w)::DOUBLE / count(value) OVER w AS rolling_avg FROM metric_points WINDOW w AS (PARTITION BY name ORDER BY ts, point_id ROWS 99 PRECEDING)"))(lambda t: monitoring.rolling_mean(t.metric_points).select("point_id", "rolling_avg"))
 query("ema_latency", sql("SELECT point_id, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ema FROM (SELECT point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS 199 PRECEDING) AS v FROM metric_points)"))(lambda t: monitoring.moving_average(t.metric_points).select("point_id", F.round("ema", 6).alias("ema")))
+query("ema_latency_exact", sql("SELECT point_id, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ema FROM (SELECT point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS v FROM metric_points)"))(lambda t: monitoring.moving_average_exact(t.metric_points).select("point_id", F.round("ema", 6).alias("ema")))
 query("trailing_5m_rate", sql("SELECT point_id, round(n / greatest(epoch_us(ts) - first, 1000000)::DOUBLE * 1000000, 6) AS rate FROM (SELECT point_id, ts, count(*) OVER w AS n, min(epoch_us(ts)) OVER w AS first FROM metric_points WINDOW w AS (PARTITION BY name ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))"))(lambda t: monitoring.trailing_rate(t.metric_points, 3600).select("point_id", F.round("rate", 6).alias("rate")))
 query("failure_streaks", sql("SELECT point_id, (sum(failed::INTEGER) OVER (PARTITION BY name, run ORDER BY ts, point_id))::BIGINT AS streak FROM (SELECT *, sum((NOT failed)::INTEGER) OVER (PARTITION BY name ORDER BY ts, point_id) AS run FROM (SELECT *, value > 12 AS failed FROM metric_points))"))(lambda t: monitoring.streaks(t.metric_points.withColumn("failed", F.col("value") > 12)).select("point_id", "streak"))
 query("alert_statistics", sql("SELECT stage, count(*) AS total, count(*) FILTER (status = 'Resolved') AS resolved, count(*) FILTER (status <> 'Resolved') AS active, sum(date_sub('second', failed_at, resolved_at))::DOUBLE / count(resolved_at) AS avg_seconds, max(date_sub('second', failed_at, resolved_at)) AS max_seconds FROM failed_claims GROUP BY 1"))(lambda t: monitoring.alert_statistics(t.failed_claims))
@@ -217,7 +218,7 @@ query("training_imputation", sql(f"SELECT claim_id, coalesce(charge, (SELECT qua
 def rf_train_eval(t: Tables) -> DataFrame:
     """Trains on the formula's classes and reports each class; trained trees have no SQL form."""
     x = scoring.formula_predictions(scoring.features(t.claims, t.lines, t.diagnoses)).select(*scoring.FEATURES, F.col("prediction").cast("string").alias("target"))
-    model, rest = scoring.train(x, scoring.FEATURES, "target", trees=10, depth=5)
+    model, rest = scoring.train(x, scoring.FEATURES, "target")
     names = F.element_at(F.array(*[F.lit(s) for s in model.stages[0].labels]), (F.col("prediction") + 1).cast("int"))
     return scoring.class_report(rest.withColumn("guess", names), "target", "guess")
 

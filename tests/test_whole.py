@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 import os
+from datetime import datetime, timedelta
+from unittest.mock import MagicMock
 
 import pytest
 
+from claimloom.operators import monitoring
 from claimloom.plans import queries
 from claimloom.sources.testdata import Tables
 
@@ -16,3 +20,36 @@ PATH = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def test_every_claim_is_processed(spark, name):
     want = sorted(r.claim_id for r in Tables(spark, PATH).claims.select("claim_id").collect())
     assert sorted(r.claim_id for r in queries.QUERIES[name](spark, PATH).select("claim_id").collect()) == want
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.01])
+def test_moving_average_keeps_the_oldest_value(spark, weight):
+    start = datetime(2024, 1, 1)
+    values = [1000.0] + [None if i % 7 == 3 else float(i % 5) for i in range(1, 600)]
+    rows = [(k, n, start + timedelta(minutes=k), v) for n in ("a", "b", None) for k, v in enumerate([None, *values] if n == "b" else values)]
+    points = spark.createDataFrame(rows, "point_id long, name string, ts timestamp_ntz, value double")
+    got = {(r.name, r.point_id): r.ema for r in monitoring.moving_average_exact(points, weight).collect()}
+    assert len(got) == len(rows)
+    last, mean = object(), None
+    for k, n, _, v in rows:
+        mean = None if n != last else mean
+        last = n
+        mean = mean if v is None else v if mean is None else mean * (1 - weight) + v * weight
+        assert got[n, k] == (None if mean is None else pytest.approx(mean, rel=1e-12))
+
+
+def test_the_registered_forest_is_the_default_one(monkeypatch):
+    seen = {}
+
+    def train(*args, **kwargs):
+        seen.update(inspect.signature(scoring_train).bind(*args, **kwargs).arguments)
+        raise StopIteration
+
+    scoring_train = queries.scoring.train
+    monkeypatch.setattr(queries.scoring, "train", train)
+    monkeypatch.setattr(queries.scoring, "features", lambda *tables: MagicMock())
+    monkeypatch.setattr(queries.scoring, "formula_predictions", lambda x: MagicMock())
+    monkeypatch.setattr(queries.F, "col", MagicMock())
+    with pytest.raises(StopIteration):
+        queries.rf_train_eval(MagicMock())
+    assert "trees" not in seen and "depth" not in seen
