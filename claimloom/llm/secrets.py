@@ -2,8 +2,9 @@
 
 Candidates are found in every text by fixed patterns. The digest of each value
 is counted over the corpus by distinct repositories and distinct owners: a
-value that several owners share is a copied example, one that stays with its
-owner and looks random is a live credential.
+value that several owners share, or that is spread over very many repositories,
+is a copied example; one that stays with its owner and looks random is a live
+credential.
 """
 
 from __future__ import annotations
@@ -88,6 +89,10 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
+def _example(shared_owners: int, shared_repos: int) -> Column:
+    return (F.col("owners") >= shared_owners) | (F.col("repos") >= shared_repos)
+
+
 def _joined(spans: str, base: bool = False) -> Column:
     kept = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex")) if base else F.col(spans)
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -97,21 +102,22 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("sec_spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", shared_owners: int = 3, live_bits: float = 2.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", shared_owners: int = 3, live_bits: float = 2.5, shared_repos: int = 1000) -> DataFrame:
     """Spans of every text, and which of them are live or copied examples.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_example, live_spans. A value is an example when shared_owners owners or
-    more have it, live when fewer have it and its characters carry live_bits of
-    entropy or more. Null texts count as empty and have no spans; null
+    n_example, live_spans, most_repos. A value is an example when shared_owners
+    owners or shared_repos repositories or more have it, live when fewer have it
+    and its characters carry live_bits of entropy or more. most_repos is the
+    largest number of repositories that have a value of the text, 0 without one. Null texts count as empty and have no spans; null
     repositories and owners count as one each. Repeated rows give repeated rows
     but one ownership. An empty table gives an empty table.
     """
     found = checkpointed(spans_of(docs, text_col, [F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner")]))
     found = found.withColumn("row", F.monotonically_increasing_id())
-    owners = ownership(found).select("value", "owners")
+    owners = ownership(found)
     each = found.where(F.size("sec_spans") > 0).select("row", F.explode("sec_spans").alias("s")).select("row", "s", F.col("s.value").alias("value"))
-    judged = each.join(owners, "value").select("row", F.struct(F.col("s.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("place"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), (F.col("owners") >= shared_owners).alias("example"), (F.col("s.bits") >= live_bits).alias("random")).alias("t"))
+    judged = each.join(owners, "value").select("row", F.struct(F.col("s.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("place"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), _example(shared_owners, shared_repos).alias("example"), (F.col("s.bits") >= live_bits).alias("random"), F.col("repos")).alias("t"))
     verdicts = judged.groupBy("row").agg(F.array_sort(F.collect_list("t")).alias("t"))
     out = found.join(verdicts, "row", "left").withColumn("t", F.coalesce("t", F.array().cast(verdicts.schema["t"].dataType)))
     live = F.filter("t", lambda s: ~s["example"] & s["random"])
@@ -125,6 +131,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.size("live").cast("long").alias("n_live"),
         F.size(F.filter("t", lambda s: s["example"])).cast("long").alias("n_example"),
         _joined("live").alias("live_spans"),
+        F.coalesce(F.array_max("t.repos"), F.lit(0)).cast("long").alias("most_repos"),
     )
 
 
@@ -145,18 +152,18 @@ def _redact(mask: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.record_batch([batch.column("_row"), pa.array(out, pa.string())], ["_row", "_sec_new"])
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", shared_owners: int = 3, mask: str = "[{kind}]", broadcast_rows: int = 50_000) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", shared_owners: int = 3, mask: str = "[{kind}]", broadcast_rows: int = 50_000, shared_repos: int = 1000) -> DataFrame:
     """The same rows and columns, each secret span in the text masked by its kind.
 
-    Values that shared_owners owners or more have are copied examples and stay,
-    all others go. Null texts stay null; rows are neither dropped nor added. The
+    Values that shared_owners owners or shared_repos repositories or more have
+    are copied examples and stay, all others go. Null texts stay null; rows are neither dropped nor added. The
     table of texts with examples is broadcast up to broadcast_rows rows and
     joined by shuffle beyond.
     """
     digest = F.sha2(F.col(text_col).cast("binary"), 256)
     found = spans_of(docs, text_col, [F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), digest.alias("digest")])
     found = checkpointed(found.where(F.size("sec_spans") > 0))
-    examples = ownership(found).where(F.col("owners") >= shared_owners).select("value")
+    examples = ownership(found).where(_example(shared_owners, shared_repos)).select("value")
     each = found.select("digest", F.explode("sec_spans.value").alias("value")).distinct()
     keep = checkpointed(each.join(examples, "value").groupBy("digest").agg(F.collect_set("value").alias("_sec_keep")).withColumnRenamed("digest", "_sec_digest"))
     small = keep.limit(broadcast_rows + 1).count() <= broadcast_rows

@@ -86,6 +86,16 @@ def test_ownership(spark):
     assert {r.doc_id: r.text for r in secrets.redact_secrets(docs, broadcast_rows=0).collect()}[0] == f"{shared} [assign]"
 
 
+def test_a_value_copied_widely_inside_one_source(spark):
+    copied, own = "token=Zx9Qw3Er7Ty1Ui5Op2As", "secret=Mn4Bv8Cx6Zl0Kj3Hg7Fd"
+    docs = spark.createDataFrame([(i, copied, "a") for i in range(5)] + [(9, own, "a"), (10, "none", "a")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_live, r.n_example, r.most_repos) for r in secrets.scan_secrets(docs, shared_repos=5).collect()}
+    assert got == {i: (0, 1, 5) for i in range(5)} | {9: (1, 0, 1), 10: (0, 0, 0)}
+    assert {r.doc_id: r.n_live for r in secrets.scan_secrets(docs, shared_repos=6).collect()}[0] == 1
+    text = {r.doc_id: r.text for r in secrets.redact_secrets(docs, shared_repos=5).collect()}
+    assert text == {i: copied for i in range(5)} | {9: "[assign]", 10: "none"}
+
+
 # -- mixing ----------------------------------------------------------------------------------
 
 
