@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -49,13 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the folder that the cluster shares.
 
-    Reads spark.checkpoint.dir from the session; where it is unset (tests, one
-    machine) a folder under /tmp/checkpoints is set. A collection follows, so that
-    Spark's cleaner drops the shuffle files that the cut lineage no longer needs.
+    Reads spark.checkpoint.dir from the session; where it is unset a local master
+    (tests, one machine) gets a folder under /tmp/checkpoints and a cluster an
+    error, since no other folder is known to be shared. A collection follows, so
+    that Spark's cleaner drops the shuffle files that the cut lineage no longer needs.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(shared or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
     cut = df.checkpoint(eager=True)
     del df
@@ -69,11 +75,57 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _release() -> None:
+    """Gives a Python worker's free memory back, since Spark keeps idle workers for the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[..., Batches], *settings: object) -> Callable[[Batches], Batches]:
+    """run(*settings, batches) for mapInArrow; its memory is given back when a task ends."""
+
+    @wraps(run)
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(*settings, batches)
+        finally:
+            _release()
+
+    return whole
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of doc_id as text leaves 1 modulo 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, salt: str, most: int = 1000) -> DataFrame:
+    """Rows with the facts of their key; facts has one row for each key and counts its rows in the column `rows`.
+
+    Keys with a `most`-th of all rows or more (there are no more than `most`) are
+    broadcast and their rows stay where they are, so that no hot key lands in one
+    task; the other rows meet their facts by shuffle. Every row has its facts.
+    """
+    facts = checkpointed(facts)
+    total = facts.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * most >= total
+    names = [c for c in facts.columns if c not in (key, "rows")]
+    hot = facts.where(is_hot).select(F.col(key), F.struct(*names).alias("_hot"))
+    cold = facts.where(~is_hot).select(F.col(key).alias("_key"), F.struct(*names).alias("_cold"))
+    met = rows.join(F.broadcast(hot), key, "left")
+    # A row that has met its facts gets a key of its own that no other row looks for.
+    away = F.concat(F.lit("!"), F.col(salt).cast("string"))
+    met = met.withColumn("_side", F.when(F.col("_hot").isNull(), F.concat(F.lit("="), F.col(key).cast("string"))).otherwise(away))
+    cold = cold.withColumn("_side", F.concat(F.lit("="), F.col("_key").cast("string"))).drop("_key")
+    found = F.coalesce("_hot", "_cold")
+    return met.join(cold, "_side", "left").select(*rows.columns, *[found[n].alias(n) for n in names])
+
+
 def spread(column: Column, salt: str) -> Column:
     """A reproducible pseudo-random long for each value, nulls included."""
     return F.xxhash64(F.lit(salt), column)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, spread, utf8
+from .common import Batches, broadcast_if_small, checkpointed, held_out, slices, spread, tidy, utf8
 
 WIDTHS = (2, 3, 4)
 WINDOW = 256
@@ -124,7 +124,7 @@ def train(windows: np.ndarray, labels: np.ndarray, names: list[str], filters: in
     return net
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Batches) -> Batches:
     """Up to four windows of each text at places that its key picks."""
     for batch in batches:
         raw, offsets = utf8(batch.column(0))
@@ -141,24 +141,22 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, train_rows: int = 3_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> Network | None:
     """Trains on texts with a letter and a known language outside the held-out third.
 
-    train_rows bounds the sample: that many texts at most of each language's
-    equal share, in a fixed pseudo-random order. None without such rows.
+    train_rows bounds the sample: that many texts at most, each language with
+    about an equal share of them (all its texts if it has fewer), in a fixed
+    pseudo-random order. None without such rows.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = named.where(F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("text").rlike(r"\p{L}"))
-    places = known.select("id", "lang", spread(F.col("id"), "language").alias("place"))
-    count = max(1, places.select("lang").distinct().limit(1000).count())
-    share = max(1, train_rows // count)
-    tally = {r["lang"]: r["n"] for r in places.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(1000).collect()}
-    if not tally:
+    counts = checkpointed(known.groupBy("lang").agg(F.count("*").alias("n")))
+    langs = counts.count()
+    if not langs:
         return None
-    # A place below a language's own cut is drawn: about its share, and never more than twice it.
-    unit = (F.col("place").cast("double") / F.lit(2.0**64)) + 0.5
-    cut = F.lit(0.0)
-    for lang, n in tally.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))).otherwise(cut)
-    drawn = known.withColumn("place", spread(F.col("id"), "language")).where(unit < cut).orderBy("place", "lang").limit(2 * train_rows)
-    rows = drawn.select("text", "lang", (F.col("place") % 1_000_003 + 1_000_003).alias("place")).mapInArrow(_sample, "window binary, lang string, place long").toPandas()
+    # A text is drawn where its place in 0..1 lies below its language's cut; what is over train_rows goes at the same part of each cut.
+    cut = F.least(F.lit(1.0), F.lit(max(1.0, train_rows / langs)) / F.col("n"))
+    placed = known.withColumn("place", spread(F.col("id"), "language")).join(broadcast_if_small(counts), "lang")
+    part = ((F.col("place").cast("double") / F.lit(2.0**64)) + 0.5) / cut
+    drawn = placed.withColumn("part", part).where("part < 1").orderBy("part", "place", "lang").limit(train_rows)
+    rows = drawn.select("text", "lang", (F.col("place") % 1_000_003 + 1_000_003).alias("place")).mapInArrow(tidy(_sample), "window binary, lang string, place long").toPandas()
     rows = rows.sort_values(["place", "lang", "window"], kind="stable")
     names = sorted(rows["lang"].unique())
     if not names:
@@ -167,7 +165,7 @@ def learn(docs: DataFrame, train_rows: int = 3_000, id_col: str = "doc_id", text
     return train(x, rows["lang"].map(names.index).to_numpy(), names, **settings)
 
 
-def _apply(net: Network | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(net: Network | None, batches: Batches) -> Batches:
     tables = net.tables() if net else None
     for batch in batches:
         raw, offsets = utf8(batch.column(2))
@@ -210,4 +208,4 @@ def identify_languages(docs: DataFrame, net: Network | None, id_col: str = "doc_
     are ignored. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("lettered"))
-    return rows.mapInArrow(lambda it: _apply(net, it), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_apply, net), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Batches, tidy
+
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
 EBML_VERSION, EBML_READ, EBML_ID_MAX, EBML_SIZE_MAX, DOC_TYPE, DOC_VERSION, DOC_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -101,6 +102,10 @@ class Packet:
     end: int
 
 
+#: Levels of elements that a file may nest; the format itself needs fewer than ten.
+LEVELS = 32
+
+
 @dataclass
 class Media:
     packets: list[Packet] = field(default_factory=list)
@@ -125,9 +130,9 @@ def read_vint(data: memoryview, at: int, most: int = 8, keep: bool = False) -> t
 
 
 def parse(stored: bytes) -> Media:
-    """Raises ValueError where the bytes don't form elements."""
+    """Raises ValueError where the bytes don't form elements, nest beyond LEVELS or hold impossible numbers."""
     data, media = memoryview(stored), Media()
-    state = {"cluster": 0, "segment": 0, "track": None, "cue": [0, 0]}
+    state = {"cluster": 0, "segment": 0, "track": None, "cue": [0, 0], "place": 0, "key": True, "depth": 0}
     _elements(data, 0, len(data), None, media, state)
     return media
 
@@ -150,8 +155,14 @@ def _elements(data: memoryview, at: int, stop: int, parent: int | None, media: M
                 state["track"] = {}
             elif name == GROUP:
                 state["key"] = True
+            elif name == CUE_AT:
+                state["place"] = 0
             begun = len(media.packets)
+            state["depth"] += 1
+            if state["depth"] > LEVELS:
+                raise ValueError(f"elements nest beyond {LEVELS} levels at {at}")
             end = _elements(data, body, end, name, media, state) if unknown else (_elements(data, body, end, name, media, state), end)[1]
+            state["depth"] -= 1
             if name == TRACK:
                 media.tracks[int(state["track"].get("number", 0))] = state["track"]
             elif name == GROUP:
@@ -166,7 +177,11 @@ def _elements(data: memoryview, at: int, stop: int, parent: int | None, media: M
 
 
 def _value(data: memoryview, name: int, a: int, b: int, media: Media, state: dict) -> None:
-    number = lambda: int.from_bytes(data[a:b], "big")
+    def number() -> int:
+        if b - a > 8:
+            raise ValueError(f"a number of {b - a} bytes at {a}")
+        return int.from_bytes(data[a:b], "big")
+
     if name in (SIMPLE_BLOCK, BLOCK):
         own = _block(data, a, b, state["cluster"])
         each = int(media.tracks.get(own[0].track, {}).get("each_ns", 0)) if own else 0
@@ -185,6 +200,8 @@ def _value(data: memoryview, name: int, a: int, b: int, media: Media, state: dic
         state["place"] = number()
     elif name == SCALE:
         media.scale = number()
+        if not media.scale:
+            raise ValueError("a timestamp scale of 0")
     elif name == DOC_TYPE:
         media.doc_type = bytes(data[a:b]).decode()
     elif state["track"] is not None and name in _TRACK_VALUES:
@@ -196,7 +213,7 @@ _TRACK_VALUES = {NUMBER: "number", TRACK_TYPE: "type", CODEC: "codec", CHANNELS:
 
 def _block(data: memoryview, a: int, b: int, base: int) -> list[Packet]:
     track, at, _ = read_vint(data, a)
-    if at + 3 > b:
+    if at + 3 > b or (data[at + 2] & 6 and at + 3 == b):
         raise ValueError("a block without a head")
     time = base + int.from_bytes(data[at : at + 2], "big", signed=True)
     flags, at = data[at + 2], at + 3
@@ -246,7 +263,8 @@ def digest(text: bytes) -> tuple:
     stored = pack(store(text))
     media = parse(stored)
     payload = read_payload(stored, media)
-    at_cue = sum(place in set(media.clusters) for _, _, place in media.cues)
+    clusters = set(media.clusters)
+    at_cue = sum(place in clusters for _, _, place in media.cues)
     loud = sum(payload) / len(payload)
     feature = f"{media.doc_type};tracks={len(media.tracks)};packets={len(media.packets)};clusters={len(media.clusters)};cues={at_cue};ms={media.packets[-1].timestamp * media.scale // 1_000_000};mean={loud:.3f}"
     return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
@@ -255,7 +273,7 @@ def digest(text: bytes) -> tuple:
 _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Batches) -> Batches:
     names = ["doc_id", *(x.split()[0] for x in _DIGEST.split(", "))]
     for batch in batches:
         rows = [digest((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
@@ -272,29 +290,30 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return rows.mapInArrow(_digests, f"doc_id long, {_DIGEST}")
+    return rows.mapInArrow(tidy(_digests), f"doc_id long, {_DIGEST}")
 
 
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media_col: str = "media") -> DataFrame:
     """The id and a binary column of Matroska files, one for each row; null texts give null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             out = [None if t is None else pack(store(t.encode("utf-8", "replace"))) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], [id_col, media_col])
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, `{media_col}` binary")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, `{media_col}` binary")
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each packet: id, place, track, timestamp_ns, is_key, start and size in the stored bytes.
 
-    Null files give no rows. A file that can't be parsed gives one row with its
-    error and nulls, never a failed job.
+    Null files give no rows. A file that can't be parsed (cut off, no elements,
+    nested too deep, a scale of 0, numbers beyond 64 bits) gives one row with its
+    error and nulls. A file without blocks gives no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             of, rows = [], []
@@ -304,6 +323,8 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 try:
                     found = parse(data)
                     own = [(i, p.track, p.timestamp * found.scale, p.key, p.start, p.end - p.start, None) for i, p in enumerate(found.packets)]
+                    if any(abs(r[2]) >> 63 or r[1] >> 63 for r in own):
+                        raise ValueError("a timestamp or track beyond 64 bits")
                 except (ValueError, IndexError) as error:
                     own = [(None, None, None, None, None, None, str(error) or "cut off")]
                 rows += own
@@ -312,4 +333,4 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
             yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]], [id_col, "place", "track", "timestamp_ns", "is_key", "start", "size", "error"])
 
     rows = media.select(id_col, media_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, place long, track long, timestamp_ns long, is_key boolean, start long, size long, error string")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, place long, track long, timestamp_ns long, is_key boolean, start long, size long, error string")

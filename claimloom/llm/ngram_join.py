@@ -23,8 +23,10 @@ components are the classes. The product A * A' is never formed whole:
    bounds from sizes, positions and the parity of 256-bit column sketches
    (none of which can discard a link). What is left is verified exactly.
 
-Sizes are exact; n-grams are compared by hashes of 48 bits, of more
-as the data and with them the blocks grow (40 bits and the block's number).
+Words are known by keyed 128-bit digests. A set's size counts 128-bit digests of
+n-grams; overlaps are counted over 64-bit ones. Row names are a task's and a
+batch's number, so `docs` has to come in the same order whenever a lost task
+runs again: from files or a checkpoint, not straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -40,34 +42,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import broadcast_if_small, checkpointed, shuffle_width, slices, utf8
+from .common import Batches, broadcast_if_small, checkpointed, join_hot, shuffle_width, slices, tidy, utf8
 from .components import components
 from .words import U, mix, windows, words
 
 BATCH_BYTES = 8 << 20
+BLOCK_BYTES = 64 << 20
 _NONE = 0xFFFF
 _ROWS = "block long, batch long, payload binary"
 _DOCS = "uid long, doc_id long, n_shingles long, key string, grams binary"
 
 
-def gram_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each row; a shorter row's whole sequence is its one n-gram."""
+def gram_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[list[np.ndarray], list[int]]:
+    """The sorted distinct n-gram hashes of each row, and how many n-grams it has by 128-bit digests.
+
+    A shorter row's whole sequence is its one n-gram.
+    """
     rows = len(offsets) - 1
     found = words(raw, offsets)
-    grams, first = windows(found.hashes, found.row, width)
+    grams, first = windows(found.lanes[:, 0], found.row, width)
+    other, _ = windows(found.lanes[:, 1], found.row, width)
     counts = found.counts(rows)
     bounds = np.searchsorted(found.row[first], np.arange(rows + 1))
     starts = np.concatenate([[0], np.cumsum(counts)])
-    out = []
+    sets, sizes = [], []
     for k in range(rows):
         if 0 < counts[k] < width:
-            total = np.zeros(1, U)
-            for j, h in enumerate(found.hashes[starts[k] : starts[k + 1]]):
-                total = mix(total + h + U(1000 * int(counts[k]) + j))
-            out.append(total)
+            whole = hashlib.blake2b(found.lanes[starts[k] : starts[k + 1]].tobytes(), digest_size=8).digest()
+            sets.append(np.frombuffer(whole, U))
+            sizes.append(1)
         else:
-            out.append(np.unique(grams[bounds[k] : bounds[k + 1]]))
-    return out
+            own = slice(bounds[k], bounds[k + 1])
+            sets.append(np.unique(grams[own]))
+            sizes.append(max(len(sets[-1]), len(np.unique(other[own]))))  # a clash in one lane shows in the other
+    return sets, sizes
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -79,53 +87,70 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _low(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of each hash; the block implies the rest."""
-    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The low 56 bits of each hash; the block implies the rest."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _full(low: np.ndarray, top: int) -> np.ndarray:
+    """Hashes from their low bytes."""
+    whole = np.zeros((len(low) // 7, 8), np.uint8)
+    whole[:, :7] = low.reshape(-1, 7)
+    return whole.view(U).ravel() | U(top)
 
 
 def _pack(rows: int, hashes: np.ndarray, index: np.ndarray, collapsed: np.ndarray) -> bytes:
-    """Entries of one block and batch: how many each document has, their hashes by document, the collapsed columns."""
+    """Entries of one block and batch: their documents (as counts by document where that is shorter), their hashes, the collapsed columns."""
     order = np.argsort(index, kind="stable")
     counts = np.bincount(index, minlength=rows)
-    wide = int(counts.max(initial=0) > 255)
-    head = np.array([rows, wide, len(hashes)], np.uint32).tobytes()
-    return head + counts.astype(np.uint16 if wide else np.uint8).tobytes() + _low(hashes[order]) + _low(collapsed)
+    listed = int(rows > 2 * len(hashes) or counts.max(initial=0) > 255)
+    head = np.array([rows, listed, len(hashes)], np.uint32).tobytes()
+    return head + (index[order].astype(np.uint16) if listed else counts.astype(np.uint8)).tobytes() + _low(hashes[order]) + _low(collapsed)
 
 
 def _unpack(payload: bytes, top: int) -> tuple[np.ndarray, np.ndarray]:
-    rows, wide, own = np.frombuffer(payload, np.uint32, 3).tolist()
-    counts = np.frombuffer(payload, np.uint16 if wide else np.uint8, rows, 12)
-    low = np.frombuffer(payload, np.uint8, offset=12 + counts.nbytes).reshape(-1, 5)
-    hashes = np.zeros((len(low), 8), np.uint8)
-    hashes[:, :5] = low
-    index = np.full(len(low), _NONE, np.uint16)
-    index[:own] = np.repeat(np.arange(rows, dtype=np.uint16), counts)
-    return hashes.view(U).ravel() | U(top), index
+    rows, listed, own = np.frombuffer(payload, np.uint32, 3).tolist()
+    of = np.frombuffer(payload, np.uint16 if listed else np.uint8, own if listed else rows, 12)
+    hashes = _full(np.frombuffer(payload, np.uint8, offset=12 + of.nbytes), top)
+    index = np.full(len(hashes), _NONE, np.uint16)
+    index[:own] = of if listed else np.repeat(np.arange(rows, dtype=np.uint16), of)
+    return hashes, index
 
 
-def _incidence(width: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by block; block -1 - batch carries a batch's documents and its own shared n-grams."""
-    task = TaskContext.get().partitionId()
-    serial = 0
-    stored = U((((1 << bits) - 1) << (64 - bits)) | ((1 << 40) - 1))  # the bits that survive packing
+def _gathered(batches: Batches, most: int) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray]]:
+    """Ids, bytes and offsets of rows that fill `most` bytes together, across Arrow batches, and fewer than 65,535 rows."""
+    ids, texts, sizes, total = [], [], [], 0
     for batch in batches:
-        ids = batch.column(0).to_pandas().astype("Int64")
+        own = batch.column(0).to_pandas().astype("Int64")
         raw, offsets = utf8(batch.column(1))
-        for a, b in slices(offsets, BATCH_BYTES):
+        for a, b in slices(offsets, most):
             for c in range(a, b, _NONE):
                 d = min(b, c + _NONE)
-                name = (task << 24) + serial
-                serial += 1
-                sets = gram_sets(raw[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c], width)
-                yield from _one(name, ids.iloc[c:d], [np.unique(s & stored) for s in sets], bits)
+                size = int(offsets[d] - offsets[c])
+                if ids and (total + size > most or sum(map(len, ids)) + d - c > _NONE):
+                    yield pd.concat(ids), np.concatenate(texts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+                    ids, texts, sizes, total = [], [], [], 0
+                ids.append(own.iloc[c:d])
+                texts.append(raw[offsets[c] : offsets[d]])
+                sizes.append(np.diff(offsets[c : d + 1]))
+                total += size
+    if ids:
+        yield pd.concat(ids), np.concatenate(texts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _incidence(width: int, bits: int, batches: Batches) -> Batches:
+    """Rows by block; block -1 - batch carries a batch's documents and its own shared n-grams."""
+    task = TaskContext.get().partitionId()
+    most = min(64 << 20, max(BATCH_BYTES, (1 << bits) * 64))
+    for serial, (ids, raw, offsets) in enumerate(_gathered(batches, most)):
+        yield from _one((task << 24) + serial, ids, *gram_sets(raw, offsets, width), bits)
 
 
-def _one(name: int, ids: pd.Series, sets: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+def _one(name: int, ids: pd.Series, sets: list[np.ndarray], sizes: list[int], bits: int) -> Batches:
     seen: dict[tuple, int] = {}
     local = np.arange(len(sets))
     for k, s in enumerate(sets):
         if len(s):
-            local[k] = seen.setdefault((len(s), int(s.sum(dtype=U)), int(np.bitwise_xor.reduce(mix(s)))), k)
+            local[k] = seen.setdefault((sizes[k], hashlib.blake2b(s.tobytes(), digest_size=16).digest()), k)
     own = [k for k in range(len(sets)) if local[k] == k and len(sets[k])]
     blocks, payloads = [], []
     inner = b""
@@ -139,15 +164,15 @@ def _one(name: int, ids: pd.Series, sets: list[np.ndarray], bits: int) -> Iterat
         many[:-1] |= ~fresh[1:]
         inner = np.ascontiguousarray(hashes[many]).tobytes() + index[many].tobytes()
         own_hashes, own_index, collapsed = hashes[~many], index[~many], hashes[many & fresh]
-        cuts = np.arange(1 << bits, dtype=U) << U(64 - bits)
-        at, to = np.append(np.searchsorted(own_hashes, cuts), len(own_hashes)), np.append(np.searchsorted(collapsed, cuts), len(collapsed))
-        for k in range(1 << bits):
-            if at[k] < at[k + 1] or to[k] < to[k + 1]:
-                blocks.append(k)
-                payloads.append(_pack(len(sets), own_hashes[at[k] : at[k + 1]], own_index[at[k] : at[k + 1]], collapsed[to[k] : to[k + 1]]))
+        at, to = (h >> U(64 - bits) for h in (own_hashes, collapsed))
+        found = np.union1d(at, to)
+        cuts = [np.searchsorted(x, found, side) for x in (at, to) for side in ("left", "right")]
+        for k, a, b, c, d in zip(found.tolist(), *cuts, strict=True):
+            blocks.append(k)
+            payloads.append(_pack(len(sets), own_hashes[a:b], own_index[a:b], collapsed[c:d]))
     head = np.zeros((len(sets), 3), np.int64)
     head[:, 0] = ids.fillna(0).to_numpy(np.int64)
-    head[:, 1] = [len(s) for s in sets]
+    head[:, 1] = sizes
     head[:, 2] = local * 2 + ids.isna().to_numpy()
     blocks.append(-1 - name)
     payloads.append(len(sets).to_bytes(8, "little") + head.tobytes() + inner)
@@ -193,11 +218,9 @@ def _gather(percent: int, bits: int, table: pa.Table) -> pa.Table:
             hashes.append(np.frombuffer(payload, U, n))
             index.append(np.frombuffer(payload, np.uint16, n, 8 * n))
             continue
-        n = len(payload) // 7
-        full = np.zeros((n, 8), np.uint8)
-        full[:, :5] = np.frombuffer(payload, np.uint8, 5 * n).reshape(-1, 5)
-        hashes.append(full.view(U).ravel() | U(block << (64 - bits)))
-        index.append(np.frombuffer(payload, np.uint16, n, 5 * n))
+        n = len(payload) // 9
+        hashes.append(_full(np.frombuffer(payload, np.uint8, 7 * n), block << (64 - bits)))
+        index.append(np.frombuffer(payload, np.uint16, n, 7 * n))
     hashes, index = np.concatenate(hashes), np.concatenate(index)
     order = np.lexsort((hashes, index))
     hashes = np.ascontiguousarray(hashes[order])
@@ -212,7 +235,7 @@ def _gather(percent: int, bits: int, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(uid), ids, pa.array(head[:, 1]), pa.array(keys), pa.array(grams, pa.binary())], ["uid", "doc_id", "n_shingles", "key", "grams"])
 
 
-def _prefixes(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(percent: int, batches: Batches) -> Batches:
     for batch in batches:
         uid, n, grams = (batch.column(k) for k in range(3))
         uid, n = np.asarray(uid), np.asarray(n)
@@ -226,11 +249,20 @@ def _prefixes(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.record_batch([pa.array(np.concatenate([s[:t] for s, t in zip(sets, take, strict=True)])), pa.array(uid[rep]), pa.array((n - size)[rep]), pa.array(n[rep]), pa.array(size[rep] - at)], ["gram", "uid", "alone", "n", "left"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlaps(batches: Batches) -> Batches:
+    """A block of the product: the entries of both sides by (pair, column); each column that both have adds one to the pair's overlap."""
     for batch in batches:
-        x, y = batch.column(2), batch.column(3)
-        n = [len(np.intersect1d(np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U), assume_unique=True)) for a, b in zip(x, y, strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(4), pa.array(n, pa.int64())], ["a", "b", "sizes", "overlap"])
+        entries, pairs = [], []
+        for side in (2, 3):
+            raw, offsets = utf8(batch.column(side))
+            entries.append(np.frombuffer(raw, U))
+            pairs.append(np.repeat(np.arange(len(batch)), np.diff(offsets) // 8))
+        entry, pair = np.concatenate(entries), np.concatenate(pairs)
+        order = np.lexsort((entry, pair))
+        entry, pair = entry[order], pair[order]
+        both = (entry[1:] == entry[:-1]) & (pair[1:] == pair[:-1])
+        overlap = np.bincount(pair[1:][both], minlength=len(batch))
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(4), pa.array(overlap)], ["a", "b", "sizes", "overlap"])
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -260,19 +292,34 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("uid").alias("a"), F.col("grams").alias("x"), F.col("n").alias("nx"))
     y = sets.select(F.col("uid").alias("b"), F.col("grams").alias("y"), F.col("n").alias("ny"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("sizes"))
-    done = both.mapInArrow(_overlaps, "a long, b long, sizes long, overlap long")
+    done = both.mapInArrow(tidy(_overlaps), "a long, b long, sizes long, overlap long")
     return done.where((100 + percent) * F.col("overlap") >= percent * F.col("sizes")).select("a", "b", "overlap")
 
 
 def _members(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """Each document, and the shared n-grams of those that may link. Its own frames end with it, and so do their shuffle files."""
-    bits = min(16, max(8, (4 * shuffle_width(docs.sparkSession) - 1).bit_length()))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(lambda it: _incidence(width, bits, it), _ROWS)
+    # Blocks of about BLOCK_BYTES of text: their number follows the data, and the session's partitions from below.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, (4 * shuffle_width(docs.sparkSession) - 1).bit_length(), (size // BLOCK_BYTES).bit_length())
+    rows = texts.mapInArrow(tidy(_incidence, width, bits), _ROWS)
     kept = rows.groupBy("block").applyInArrow(lambda t: _shared(bits, t), _ROWS)
     return checkpointed(kept.groupBy("batch").applyInArrow(lambda t: _gather(percent, bits, t), _DOCS))
 
 
+def _wide_bucket(n: Column) -> Column:
+    """A bucket of sizes within a tenth of each other."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.1)))
+
+
+def _partner_buckets(percent: int) -> Column:
+    """The size buckets of all partners that the row named _a can still reach the bound with."""
+    low = F.lit(percent) * F.col("n_a") / 100
+    high = F.least(F.lit(100) * F.col("n_a") / percent, F.col("left_a") * F.lit(100 + percent) / percent - F.col("n_a"))
+    reach = F.sequence(_wide_bucket(F.ceil(low)), _wide_bucket(F.floor(high)))
+    return F.when(F.floor(high) >= F.ceil(low), reach).otherwise(F.array().cast("array<bigint>"))
+
+
 def _bounds(percent: int) -> Column:
     """What sizes and places leave possible for the rows named _a and _b that meet in a column."""
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
@@ -290,13 +337,13 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     empty table gives an empty table. percent lies in 1..100.
     """
     members = _members(docs, percent, width, id_col, text_col)
-    classes = members.groupBy("key").agg(F.min(F.when(F.col("grams").isNotNull(), F.col("uid"))).alias("linkable"), F.min("uid").alias("least")).select("key", F.coalesce("linkable", "least").alias("class"))
+    classes = members.groupBy("key").agg(F.min(F.when(F.col("grams").isNotNull(), F.col("uid"))).alias("linkable"), F.min("uid").alias("least"), F.count("*").alias("rows")).select("key", F.coalesce("linkable", "least").alias("class"), "rows")
     sets = members.where("grams is not null").select("uid", F.col("n_shingles").alias("n"), "grams")
     sets = sets.join(classes.select(F.col("class").alias("uid")), "uid", "left_semi")
     alone = F.col("n") - (F.octet_length("grams") / 8).cast("long")
     sets = checkpointed(sets.withColumn("alone", alone).withColumn("sketch", _sketch("grams", F.lit(256))).withColumn("wide", _sketch("grams", F.lit(2048))))
 
-    prefix = sets.select("uid", "n", "grams").mapInArrow(lambda it: _prefixes(percent, it), "gram long, uid long, alone long, n long, left long")
+    prefix = sets.select("uid", "n", "grams").mapInArrow(tidy(_prefixes, percent), "gram long, uid long, alone long, n long, left long")
     pivots = prefix.groupBy("gram").agg(F.min(F.struct("alone", "uid", "n", "left")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
     pivots = pivots.select("gram", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("uid", "alone", "n", "left")])
     near = prefix.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("uid", "alone", "n", "left")]).join(pivots, "gram")
@@ -313,11 +360,13 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     open_rows = labelled.join(mixed.select("gram", "largest"), "gram").join(sets.select("uid", "sketch"), "uid")
     open_rows = checkpointed(open_rows)
     one = open_rows.where("label <> largest").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("uid", "label", "n", "left", "alone", "sketch")])
-    two = open_rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("uid", "label", "n", "left", "alone", "sketch", "largest")])
+    one = one.withColumn("bucket_a", F.explode(_partner_buckets(percent)))
+    two = open_rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("uid", "label", "n", "left", "alone", "sketch", "largest")], _wide_bucket(F.col("n")).alias("bucket_b"))
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(4)), F.lit(0))
     condition = (
         (one["gram"] == two["gram"])
+        & (F.col("bucket_a") == F.col("bucket_b"))
         & (F.col("label_a") != F.col("label_b"))
         & ((F.col("label_b") == F.col("largest_b")) | (F.col("uid_a") < F.col("uid_b")))
         & _bounds(percent)
@@ -327,7 +376,7 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     more = checkpointed(_linked(rest, sets, percent).select("a", "b"))
     final = components(links.unionByName(more)) if not more.isEmpty() else first
 
-    placed = members.join(classes, "key").join(final.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.select("doc_id", "n_shingles", F.coalesce("label", "class").alias("own"))
-    smallest = placed.groupBy("own").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "own").select("doc_id", "n_shingles", "component_id")
+    joined = join_hot(members.select("doc_id", "uid", "n_shingles", "key"), classes, "key", "uid")
+    placed = checkpointed(joined.join(final.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "uid", "n_shingles", F.coalesce("label", "class").alias("own")))
+    smallest = placed.groupBy("own").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    return join_hot(placed, smallest, "own", "uid").select("doc_id", "n_shingles", "component_id")

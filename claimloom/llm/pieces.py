@@ -4,7 +4,13 @@ The vocabulary is a byte-pair model with byte fallback. A segmentation is the
 model's own exactly when each two neighbouring pieces are what the model makes
 of the two together, so encoding is a best path in the max-plus semiring: nodes
 are pieces in place, a step to the next piece weighs 0 if the pair stands and
-minus infinity if not, and just one path has weight 0.
+minus infinity if not. Just one path has weight 0: merging is deterministic and
+works inside any stretch that no applied merge crosses as it does on the stretch
+alone, so the model's own segmentation has pairs that all stand, and a path
+whose pairs all stand is reached by the same merges. All entries of a transfer
+matrix thus are 0 or minus infinity and are kept as one bit each; the max-plus
+product is the product of bit matrices. Tests count the paths of random texts
+and send whole tables through chunks of a few characters.
 
 A giant text is cut into chunks. The states at a boundary are the pieces that
 may straddle it or end at it. Each chunk yields the transfer matrix from its
@@ -31,12 +37,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpointed, shuffle_width, tokenizer_file
+from .common import Batches, checkpointed, shuffle_width, slices, tidy, tokenizer_file, utf8
 
 MARK = "▁"  # stands for a space inside pieces
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_MEMORY = 200_000
+_MEMORY = 100_000
 Piece = tuple[int, int, int]  # start, end, id
 
 
@@ -330,14 +337,18 @@ def cut(text: str, chunk: int, margin: int) -> Iterator[tuple[int, int, str, int
 _HEAD = "doc_id long, row long, digest string, no long, total long"
 
 
-def _encode_small(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_small(path: str, batches: Batches) -> Batches:
     own = model(path)
     for batch in batches:
-        ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "digest", "pieces"])
+        raw, offsets = utf8(batch.column(1))
+        for a, b in slices(offsets, 1 << 20):
+            texts = batch.column(1).slice(a, b - a).to_pylist()
+            ids = [own.encode(t or "") for t in texts]
+            back = [own.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], ["doc_id", "digest", "pieces", "round_trip"])
 
 
-def _cut(path: str, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(path: str, chunk: int, batches: Batches) -> Batches:
     own = model(path)
     for batch in batches:
         for k, text in enumerate(batch.column(1).to_pylist()):
@@ -347,7 +358,7 @@ def _cut(path: str, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             yield pa.record_batch([batch.column(0).take(at), batch.column(3).take(at), batch.column(2).take(at), pa.array(no, pa.int64()), pa.array(of, pa.int64()), pa.array(window), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "row", "digest", "no", "total", "window", "a", "b"])
 
 
-def _matrices(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrices(path: str, batches: Batches) -> Batches:
     own = model(path)
     for batch in batches:
         out = []
@@ -363,7 +374,7 @@ def _scan(table: pa.Table) -> pa.Table:
     return pa.table([table.column("row"), table.column("no"), pa.array([0, *right[:-1]], pa.int64()), pa.array(right, pa.int64())], ["row", "no", "left_state", "right_state"])
 
 
-def _backtrace(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _backtrace(path: str, batches: Batches) -> Batches:
     own = model(path)
     for batch in batches:
         ids = [own.backtrace(w, a, b, x, y, no == 0, no == of - 1) for no, of, w, a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(3, 10)), strict=True)]
@@ -371,7 +382,7 @@ def _backtrace(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def encode_pieces(docs: DataFrame, folder: str | None = None, file: str = "piece_bpe_32k.model", giant: int = 32_768, chunk: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (sha256 of the text), pieces (array of ids) for each row.
+    """doc_id, digest (sha256 of the text), pieces (array of ids) and round_trip (whether they decode to the text) for each row.
 
     Texts of more than `giant` characters go through the chunk scan. Null and
     empty texts have no pieces and the digest of the empty text. Repeated rows
@@ -381,35 +392,40 @@ def encode_pieces(docs: DataFrame, folder: str | None = None, file: str = "piece
     path = tokenizer_file(file, folder)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    small = rows.where(F.length("text") <= giant).mapInArrow(lambda it: _encode_small(path, it), "doc_id long, digest string, pieces array<int>")
+    small = rows.where(F.length("text") <= giant).mapInArrow(tidy(_encode_small, path), "doc_id long, digest string, pieces array<int>, round_trip boolean")
     long = rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id())
-    chunks = checkpointed(long.mapInArrow(lambda it: _cut(path, chunk, it), f"{_HEAD}, window string, a long, b long"))
+    chunks = checkpointed(long.mapInArrow(tidy(_cut, path, chunk), f"{_HEAD}, window string, a long, b long"))
     chunks = chunks.repartition(shuffle_width(docs.sparkSession), "row", "no")
-    matrices = chunks.select("row", "no", "total", "window", "a", "b").mapInArrow(lambda it: _matrices(path, it), "row long, no long, matrix array<binary>")
+    matrices = chunks.select("row", "no", "total", "window", "a", "b").mapInArrow(tidy(_matrices, path), "row long, no long, matrix array<binary>")
     states = matrices.groupBy("row").applyInArrow(_scan, "row long, no long, left_state long, right_state long")
     placed = chunks.join(states, ["row", "no"]).select("doc_id", "row", "digest", "no", "total", "window", "a", "b", "left_state", "right_state")
-    done = placed.mapInArrow(lambda it: _backtrace(path, it), "doc_id long, row long, digest string, no long, ids array<int>")
+    done = placed.mapInArrow(tidy(_backtrace, path), "doc_id long, row long, digest string, no long, ids array<int>")
     whole = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
-    return small.unionByName(whole.select("doc_id", "digest", F.flatten("parts.ids").alias("pieces")))
+    joined = whole.select("doc_id", "digest", F.flatten("parts.ids").alias("pieces"))
+    checked = decode_pieces(joined, folder, file, digest_only=True)
+    return small.unionByName(checked.select("doc_id", "digest", "pieces", (F.col("digest") == F.col("text_sha256")).alias("round_trip")))
 
 
 def decode_pieces(encoded: DataFrame, folder: str | None = None, file: str = "piece_bpe_32k.model", ids_col: str = "pieces", digest_only: bool = False) -> DataFrame:
     """All columns and text, decoded from the ids; with digest_only its sha256 as text_sha256 instead.
 
+    A column that has the new one's name already is replaced; others may be called anything.
     Null arrays decode to null, empty ones to the empty text; ids outside the
     vocabulary and control ids add nothing.
     """
     path = tokenizer_file(file, folder)
     name = "text_sha256" if digest_only else "text"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoded = encoded.drop(name) if name != ids_col else encoded
+    place = encoded.columns.index(ids_col)
+
+    def run(batches: Batches) -> Batches:
         own = model(path)
         for batch in batches:
             out = []
-            for ids in batch.column(ids_col):
+            for ids in batch.column(place):
                 text = None if not ids.is_valid else own.decode(np.asarray(ids.values).tolist())
                 out.append(text if text is None or not digest_only else hashlib.sha256(text.encode()).hexdigest())
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}`{name}` string")
+    return encoded.mapInArrow(tidy(run), StructType([*encoded.schema.fields, StructField(name, StringType())]))

@@ -8,7 +8,6 @@ conditional expression.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spread, utf8
-from .words import SPACE, windows, words
+from .common import SPACES, Batches, slices, spread, tidy, utf8
+from .words import windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_BATCH = 4 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+_BATCH = 2 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_chars_all", "n_kinds"]
 
 
@@ -52,9 +53,9 @@ def _repeated(found, rows: int) -> np.ndarray:
 def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The COUNTS of each row, from its UTF-8 bytes."""
     rows = len(offsets) - 1
-    found = words(raw, offsets, lower=False)
+    found = words(raw, offsets, table=None)
     points = (raw & 0xC0) != 0x80  # the first byte of each code point
-    spaces = SPACE[raw]
+    spaces = _SPACE[raw]
     kinds = np.zeros(rows, np.int64)
     if len(found.hashes):
         order = np.lexsort((found.hashes, found.row))
@@ -81,7 +82,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Batches) -> Batches:
     for batch in batches:
         raw, offsets = utf8(batch.column(1))
         for a, b in slices(offsets, _BATCH):
@@ -92,7 +93,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and COUNTS of every text; null texts have none of anything."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(tidy(_measure), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def ratios() -> dict[str, Column]:
@@ -194,12 +195,17 @@ def learn(x: np.ndarray, bad: np.ndarray, key: np.ndarray, names: list[str], mos
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", **settings) -> DecisionList:
-    """Learns from at most train_rows labelled ids, in a fixed pseudo-random order; label 0 is bad."""
+    """Learns from at most train_rows labelled ids, in a fixed pseudo-random order; label 0 is bad.
+
+    An id that several rows of docs have brings one of its texts (the smallest).
+    Without labelled texts there are no rules.
+    """
     named = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
     named = named.groupBy("label_id").agg(F.min("label").alias("label"))
     chosen = named.withColumn("place", spread(F.col("label_id"), "quality")).orderBy("place", "label_id").limit(train_rows)
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed("label_id", "doc_id")), "doc_id").where("text is not null")
-    facts = statistics(sample.select("doc_id", "text"), "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"))
+    facts = statistics(sample, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     names = list(ratios())
     rows = facts.select("label", "place", *[c.alias(n) for n, c in ratios().items()]).orderBy("place", *names).toPandas()
     return learn(rows[names].to_numpy(float), rows["label"].to_numpy() == 0, rows["place"].to_numpy(), names, **settings)

@@ -13,25 +13,24 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Batches, checkpointed, join_hot, tidy
 
 # Fixed patterns of the base kinds, in their listed order. The value is group 2 of assign, else the whole match.
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of [A-Z0-9] that fails the 20 characters fails from every later start too
 HEX = r"[0-9a-f]{24,}"  # likewise
-# Fixed patterns that the method adds.
+# Fixed patterns that the method adds. None begins inside a run that an earlier start has read, so each is linear in the text.
 MORE = {
     "forge": r"\bgh[pousr]_[A-Za-z0-9]{20,}",
     "chat": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-    "url": r"\b[a-z][a-z0-9+.-]{2,15}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+",
+    "pem": r"-----BEGIN (?:[A-Z]++ )*?PRIVATE KEY-----",
+    "url": r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]{3,}+@",
 }
 _HINTS = {"forge": "gh", "chat": "xox", "jwt": "eyJ", "pem": "-----BEGIN", "url": "://"}
 KINDS = ["assign", "access", "hex", *MORE]
@@ -63,7 +62,7 @@ def randomness(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Batches) -> Batches:
     for batch in batches:
         out = []
         for text in batch.column("_sec_text").to_pylist():
@@ -77,15 +76,16 @@ def spans_of(docs: DataFrame, text_col: str = "text", carry: list[Column] | None
     """The columns in carry, then sec_spans: array of (kind, start, end, digest of the value, bits)."""
     rows = docs.select(*(carry or []), F.col(text_col).alias("_sec_text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_sec_text").schema.fields)
-    return rows.mapInArrow(_scan, f"{kinds}sec_spans array<struct<kind:string,start:bigint,end:bigint,value:string,bits:double>>")
+    return rows.mapInArrow(tidy(_scan), f"{kinds}sec_spans array<struct<kind:string,start:bigint,end:bigint,value:string,bits:double>>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each value; found has repo, owner and sec_spans."""
+    """Distinct repositories and owners of each value, and its rows; found has repo, owner and sec_spans."""
     each = found.where(F.size("sec_spans") > 0).select("repo", "owner", F.explode("sec_spans").alias("s"))
     return each.groupBy(F.col("s.value").alias("value")).agg(
         F.count_distinct(F.coalesce(F.col("repo").cast("string"), F.lit("-"))).alias("repos"),
         F.count_distinct(F.coalesce(F.col("owner").cast("string"), F.lit("-"))).alias("owners"),
+        F.count("*").alias("rows"),
     )
 
 
@@ -117,7 +117,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("row", F.monotonically_increasing_id())
     owners = ownership(found)
     each = found.where(F.size("sec_spans") > 0).select("row", F.explode("sec_spans").alias("s")).select("row", "s", F.col("s.value").alias("value"))
-    judged = each.join(owners, "value").select("row", F.struct(F.col("s.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("place"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), _example(shared_owners, shared_repos).alias("example"), (F.col("s.bits") >= live_bits).alias("random"), F.col("repos")).alias("t"))
+    judged = join_hot(each, owners, "value", "row").select("row", F.struct(F.col("s.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("place"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), _example(shared_owners, shared_repos).alias("example"), (F.col("s.bits") >= live_bits).alias("random"), F.col("repos")).alias("t"))
     verdicts = judged.groupBy("row").agg(F.array_sort(F.collect_list("t")).alias("t"))
     out = found.join(verdicts, "row", "left").withColumn("t", F.coalesce("t", F.array().cast(verdicts.schema["t"].dataType)))
     live = F.filter("t", lambda s: ~s["example"] & s["random"])
@@ -135,7 +135,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _redact(mask: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _redact(mask: str, batches: Batches) -> Batches:
     for batch in batches:
         out = []
         for text, examples in zip(batch.column("_sec_text").to_pylist(), batch.column("_sec_keep").to_pylist(), strict=True):
@@ -156,18 +156,19 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc
     """The same rows and columns, each secret span in the text masked by its kind.
 
     Values that shared_owners owners or shared_repos repositories or more have
-    are copied examples and stay, all others go. Null texts stay null; rows are neither dropped nor added. The
+    are copied examples and stay; all others go, random or not (what scan_secrets
+    calls live is a subset: of it, one knows that the value is random). Null texts stay null; rows are neither dropped nor added. The
     table of texts with examples is broadcast up to broadcast_rows rows and
     joined by shuffle beyond.
     """
     digest = F.sha2(F.col(text_col).cast("binary"), 256)
     found = spans_of(docs, text_col, [F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), digest.alias("digest")])
     found = checkpointed(found.where(F.size("sec_spans") > 0))
-    examples = ownership(found).where(_example(shared_owners, shared_repos)).select("value")
     each = found.select("digest", F.explode("sec_spans.value").alias("value")).distinct()
-    keep = checkpointed(each.join(examples, "value").groupBy("digest").agg(F.collect_set("value").alias("_sec_keep")).withColumnRenamed("digest", "_sec_digest"))
+    judged = join_hot(each, ownership(found), "value", "digest").where(_example(shared_owners, shared_repos))
+    keep = checkpointed(judged.groupBy("digest").agg(F.collect_set("value").alias("_sec_keep")).withColumnRenamed("digest", "_sec_digest"))
     small = keep.limit(broadcast_rows + 1).count() <= broadcast_rows
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_sec_text"), digest.alias("_sec_digest"))
     rows = rows.join(F.broadcast(keep) if small else keep, "_sec_digest", "left").select("_row", "_sec_text", "_sec_keep")
-    done = rows.mapInArrow(lambda it: _redact(mask, it), f"_row {rows.schema['_row'].dataType.simpleString()}, _sec_new string")
+    done = rows.mapInArrow(tidy(_redact, mask), f"_row {rows.schema['_row'].dataType.simpleString()}, _sec_new string")
     return done.select(*[(F.col("_sec_new") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])

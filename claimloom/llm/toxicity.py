@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import checkpointed, held_out, spread, utf8
+from .common import Batches, checkpointed, held_out, slices, spread, tidy, utf8
 
 # Words that count as insults even without labels.
 INSULTS = ["clown", "disgusting", "fool", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -73,11 +72,14 @@ def features(text: bytes, lexicon: Lexicon, second: frozenset[bytes] = frozenset
 
 def _matrix(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     raw, offsets = utf8(column)
-    data = raw.tobytes()
-    return np.array([features(data[a:b], lexicon) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], float).reshape(-1, FEATURES)
+    out = np.zeros((len(column), FEATURES))
+    for a, b in slices(offsets, 1 << 20):
+        for k in range(a, b):
+            out[k] = features(raw[offsets[k] : offsets[k + 1]].tobytes(), lexicon)
+    return out
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _term_counts(batches: Batches) -> Batches:
     total: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         raw, offsets = utf8(batch.column(0))
@@ -96,7 +98,7 @@ def _learn_lexicon(sample: DataFrame, most: int, least_gain: float) -> Lexicon:
     bad, good = rows.get(1, 0), rows.get(0, 0)
     weights = {w.encode(): 3.0 for w in INSULTS}
     if bad and good:
-        counts = sample.select("text", "label").mapInArrow(_term_counts, "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        counts = sample.select("text", "label").mapInArrow(tidy(_term_counts), "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         share = (F.col("bad") + F.col("good")) / F.lit(float(bad + good))
         logs = lambda c, n: F.when(c > 0, c * F.log(c / (share * n))).otherwise(0.0)
         gain = 2 * (logs(F.col("bad"), float(bad)) + logs(F.col("good"), float(good)))
@@ -107,53 +109,73 @@ def _learn_lexicon(sample: DataFrame, most: int, least_gain: float) -> Lexicon:
     return Lexicon(weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_rows: int = 12_000, lexicon_terms: int = 3_000, least_gain: float = 24.0, id_col: str = "doc_id", text_col: str = "text"):
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_rows: int = 12_000, lexicon_terms: int = 3_000, least_gain: float = 24.0, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Learns from the labelled rows outside the held-out third.
 
     train_rows bounds the sample: that many labelled ids at most, in a fixed
-    pseudo-random order. Returns (lexicon, trees, calibration).
+    pseudo-random order, each with one of its texts (the smallest). lexicon_terms
+    bounds the lexicon, least_gain is the G-squared that a term needs to enter it.
     """
     named = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
     named = named.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = named.withColumn("place", spread(F.col("label_id"), "toxicity")).orderBy("place", "label_id").limit(train_rows)
     sample = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").where("text is not null")
-    sample = checkpointed(sample.select("text", "label", "place"))
+    sample = checkpointed(sample.groupBy("label_id", "label", "place").agg(F.min("text").alias("text")).select("text", "label", "place"))
     lexicon = _learn_lexicon(sample, lexicon_terms, least_gain)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Batches) -> Batches:
         for batch in batches:
             yield pa.record_batch([pa.array(list(_matrix(batch.column(0), lexicon)), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "place"])
 
-    rows = sample.mapInArrow(measure, "x array<double>, label int, place long").orderBy("place").toPandas()
+    rows = sample.mapInArrow(tidy(measure), "x array<double>, label int, place long").orderBy("place").toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, FEATURES))
     y, key = rows["label"].to_numpy(), rows["place"].to_numpy()
-    return lexicon, boosting.fit(x, y), boosting.isotonic(boosting.folds(x, y, key), y)
+    return Scorer(lexicon, boosting.fit(x, y), *boosting.isotonic(boosting.folds(x, y, key), y))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, **settings) -> DataFrame:
-    """doc_id, held_out, score in 0..1 and predicted (score >= threshold); all columns if carried.
+@dataclass
+class Scorer:
+    """A trained model: texts to scores in 0..1."""
+
+    lexicon: Lexicon
+    trees: boosting.Boosted
+    at: np.ndarray
+    level: np.ndarray
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        return np.clip(np.interp(self.trees.margin(_matrix(texts, self.lexicon)), self.at, self.level), 0.0, 1.0)
+
+
+def _scores(scorer: Scorer, batches: Batches) -> Batches:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scorer.score(batch.column(2)))], ["doc_id", "held_out", "score"])
+
+
+def _below(scorer: Scorer, place: int, threshold: float, batches: Batches) -> Batches:
+    for batch in batches:
+        yield batch.filter(pa.array(scorer.score(batch.column(place)) < threshold))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """doc_id, held_out, score in 0..1 and predicted (score >= threshold) for each row.
 
     Null and empty texts are scored as texts without words. Labels, language,
-    source and id never enter a score. Repeated rows get equal scores. Without
-    usable labels the fixed insults still are the lexicon, but all scores are 0.
-    Carried columns keep their names; new ones are tox_held_out, tox_score and
-    tox_predicted then. An empty table gives an empty table.
+    source and id never enter a score. Repeated rows get equal scores; other
+    columns are ignored, so their names can't clash. Without usable labels the
+    fixed insults still are the lexicon, but all scores are 0. An empty table
+    gives an empty table.
     """
-    lexicon, trees, (at, level) = train(docs, labels, id_col=id_col, text_col=text_col, **settings)
+    scorer = train(docs, labels, id_col=id_col, text_col=text_col, **settings)
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    scored = rows.mapInArrow(tidy(_scores, scorer), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = trees.margin(_matrix(batch.column("_tox_text"), lexicon))
-            value = np.clip(np.interp(margin, at, level), 0.0, 1.0)
-            kept = [(batch.schema.field(k), batch.column(k)) for k in range(batch.num_columns) if batch.schema.names[k] != "_tox_text"]
-            yield pa.record_batch([*[c for _, c in kept], pa.array(value)], [*[f.name for f, _ in kept], "tox_score"])
-
-    flag = held_out(F.col(id_col)).alias("tox_held_out")
-    own = [docs[f"`{c}`"] for c in docs.columns] if carry else [F.col(id_col).alias("doc_id")]
-    rows = docs.select(*own, flag, F.col(text_col).alias("_tox_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_tox_text").schema.fields)
-    scored = rows.mapInArrow(score, f"{kinds}, tox_score double")
-    scored = scored.withColumn("tox_predicted", (F.col("tox_score") >= threshold).cast("int"))
-    if carry:
-        return scored
-    return scored.select("doc_id", F.col("tox_held_out").alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows that score below the threshold, with all their columns and whatever these are called.
+
+    A text goes to the worker once and back once, as the column that it is.
+    Nulls, empty tables and absent labels are treated as score_toxicity does.
+    """
+    scorer = train(docs, labels, id_col=id_col, text_col=text_col, **settings)
+    return docs.mapInArrow(tidy(_below, scorer, docs.columns.index(text_col), threshold), docs.schema)

@@ -1,36 +1,38 @@
-"""Words of many texts at once, by numpy over their UTF-8 bytes.
+"""Words of many texts at once, from their UTF-8 bytes.
 
 Separators are ASCII in every contract, so splitting bytes splits code points
-alike. A word is known by a 64-bit polynomial hash of its bytes.
+alike. A word is known by a keyed 128-bit digest of its bytes, held as two
+64-bit lanes; n-grams mix the lanes of their words apart.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
-_POWERS: dict[str, np.ndarray] = {}
+STEP = U(0x9E3779B97F4A7C15)
+_KEY = b"claimloom words"
+_MEMORY, _LONG = 150_000, 64
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i below n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+class _Digests(dict):
+    """Digests by word; short words are remembered, so that each is digested once."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = blake2b(word, digest_size=16, key=_KEY).digest()
+        if len(word) <= _LONG:
+            if len(self) >= _MEMORY:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_known = _Digests()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,57 +46,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    starts: np.ndarray  # byte offsets
-    ends: np.ndarray
     row: np.ndarray  # row of each word
-    hashes: np.ndarray | None
+    lanes: np.ndarray  # two 64-bit halves of each word's digest
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.lanes[:, 0]
 
     def counts(self, rows: int) -> np.ndarray:
         return np.bincount(self.row, minlength=rows)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, lower: bool = True, hashed: bool = True) -> Words:
-    """Words of all rows; raw holds the rows' bytes one after another."""
-    raw = LOWER[raw] if lower else raw
-    inside = np.zeros(len(raw) + 1, bool)
-    np.logical_not(separators[raw], out=inside[:-1])
-    begins = inside[:-1].copy()
-    begins[1:] &= ~inside[:-2]
-    ends = inside[:-1] & ~inside[1:]
-    edges = np.unique(offsets[1:-1])
-    edges = edges[(edges > 0) & (edges < len(raw))]
-    begins[edges] = inside[edges]
-    ends[edges - 1] = inside[edges - 1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    row = np.searchsorted(offsets, first, side="right") - 1
-    return Words(first, last, row, hash_spans(raw, first, last) if hashed else None)
-
-
-def hash_spans(raw: np.ndarray, first: np.ndarray, last: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """Hashes of disjoint ascending byte spans, whatever block they fall in."""
-    out = np.zeros(len(first), U)
-    at = 0
-    while at < len(first):
-        base = int(first[at])
-        stop = max(int(np.searchsorted(last, base + block, side="right")), at + 1)
-        a, b = first[at:stop] - base, last[at:stop] - base
-        if b[-1] > block:
-            out[at] = _hash_long(raw[base : base + int(b[-1])], block)
-        else:
-            up, down = powers(int(b[-1]) + 1)
-            total = np.zeros(int(b[-1]) + 1, U)
-            np.cumsum(_BYTE[raw[base : base + int(b[-1])]] * up[: int(b[-1])], out=total[1:])
-            out[at:stop] = (total[b] - total[a]) * down[a]
-        at = stop
-    return mix(out ^ mix((last - first).astype(U)))
-
-
-def _hash_long(span: np.ndarray, block: int) -> np.uint64:
-    total, up = 0, powers(block)[0]
-    for k in range(0, len(span), block):
-        part = int((_BYTE[span[k : k + block]] * up[: len(span[k : k + block])]).sum(dtype=U))
-        total = (total + part * pow(int(BASE), k, 1 << 64)) % (1 << 64)
-    return U(total)
+def digest(word: bytes) -> bytes:
+    return _known[word]
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, table: bytes | None = LOWER) -> Words:
+    """Words of all rows, split at the six ASCII spaces after each byte went through the table."""
+    counts, lanes = np.zeros(len(offsets) - 1, np.int64), []
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        text = raw[a:b].tobytes()
+        terms = (text.translate(table) if table else text).split()
+        counts[k] = len(terms)
+        lanes.append(b"".join(map(_known.__getitem__, terms)))
+    return Words(np.repeat(np.arange(len(counts)), counts), np.frombuffer(b"".join(lanes), U).reshape(-1, 2))
 
 
 def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,5 +79,5 @@ def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     first = np.flatnonzero(row[width - 1 :] == row[: len(row) - width + 1])
     total = np.zeros(len(first), U)
     for k in range(width):
-        total = mix(total + hashes[first + k] * BASE + U(k + 1))
+        total = mix(total + hashes[first + k] * STEP + U(k + 1))
     return total, first

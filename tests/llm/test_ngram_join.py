@@ -5,12 +5,15 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from claimloom.llm import ngram_join
 from claimloom.llm.common import table
 from claimloom.llm.components import components
 from claimloom.llm.ngram_join import ngram_jaccard_classes
-from claimloom.llm.words import LOWER, hash_spans, words
+from claimloom.llm.words import words
 
 
 def lower(text):
@@ -76,13 +79,51 @@ def test_families_of_edited_copies(spark):
     assert classes(df) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [1, 3, 1 << 20])
-def test_word_hashes_do_not_depend_on_blocks(block):
+def test_words_of_rows():
     raw = np.frombuffer("Aa bb aa\tAA longerword aa".encode(), np.uint8)
     found = words(raw, np.array([0, 9, len(raw)]))
-    h = hash_spans(LOWER[raw], found.starts, found.ends, block)
-    assert (h == found.hashes).all() and h[0] == h[2] == h[3] == h[5] and len(set(h.tolist())) == 3
-    assert found.row.tolist() == [0, 0, 0, 1, 1, 1]
+    h = found.hashes
+    assert h[0] == h[2] == h[3] == h[5] and len(set(h.tolist())) == 3
+    assert found.row.tolist() == [0, 0, 0, 1, 1, 1] and found.counts(2).tolist() == [3, 3]
+
+
+def test_words_that_collide_under_polynomials(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64, whatever its base."""
+    one, two = ("".join("ab"[bin(k).count("1") % 2 ^ flip] for k in range(4096)) for flip in (0, 1))
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{one} {one}"), (2, f"{two} {two}"), (3, f"{rest} {one} {rest[:20]}"), (4, f"{rest} {two} {rest[:20]}"), (5, one), (6, two), (7, one)]
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_a_passage_that_alone_links_nothing(spark):
+    """All documents share 56 of their 72 shingles: every one meets every other in the same columns, and none links."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{passage} " + " ".join(f"d{k}x{j}" for j in range(16))) for k in range(150)]
+    rows += [(1000 + k, f"{passage} " + " ".join(f"d{k}x{j}" for j in range(15)) + " other") for k in range(3)]
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_batches_and_blocks_do_not_matter(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(30)))) for k in range(300)]
+    for bits in (8, 13):
+        out = [b for b in _incidence_of(rows, bits)]
+        assert sum(len(b) for b in out) > 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert classes(df) == brute(rows)
+
+
+def _incidence_of(rows, bits):
+    ids = pd.Series([r[0] for r in rows], dtype="Int64")
+    raw = np.frombuffer("".join(r[1] for r in rows).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
+    sets, sizes = ngram_join.gram_sets(raw, offsets, 5)
+    table_ = pa.Table.from_batches(ngram_join._one(7, ids, sets, sizes, bits))
+    blocks = [ngram_join._shared(bits, table_.filter(pc.equal(table_["block"], b))) for b in set(table_["block"].to_pylist())]
+    back = ngram_join._gather(75, bits, pa.concat_tables([b.cast(table_.schema) for b in blocks]))
+    for n, s, g in zip(back["n_shingles"].to_pylist(), sets, back["grams"].to_pylist(), strict=True):
+        assert n == len(s) and (g is None or set(np.frombuffer(g, np.uint64).tolist()) <= set(s.tolist()))
+    return table_.to_batches()
 
 
 def test_components(spark):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -41,6 +42,13 @@ def test_language_edges(odd, empty):
     assert {r.lang_pred for r in langid.identify_languages(odd, None).collect()} == {"und"}
 
 
+def test_more_than_a_thousand_languages_are_learned(spark):
+    rows = [(3 * 10**6 + k, f"{chr(97 + k % 26)}{k} {'abc'[k % 3] * 9} " * 3, f"l{k:04d}") for k in range(1001)]
+    docs = spark.createDataFrame([r for r in rows if crc(r[0]) % 3 != 1], "doc_id long, text string, lang string")
+    net = langid.learn(docs, train_rows=2000, epochs=1)
+    assert net.names == sorted(r.lang for r in docs.select("lang").distinct().collect())
+
+
 def test_windows_cover_long_texts():
     rng = np.random.default_rng(1)
     net = langid.Network([rng.normal(0, 1, (w, 256, 2)) for w in langid.WIDTHS], np.zeros(6), rng.normal(0, 1, (6, 2)), np.zeros(2), ["a", "b"])
@@ -96,6 +104,22 @@ def test_a_value_copied_widely_inside_one_source(spark):
     assert text == {i: copied for i in range(5)} | {9: "[assign]", 10: "none"}
 
 
+@pytest.mark.parametrize("unit", ["eyJaaaaaaaa-", "eyJaaaaaaaa.", "a://b:c", "-----BEGIN AAA ", "ghp_abc-", "xoxb-"])
+def test_added_kinds_take_linear_time(unit):
+    times = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        secrets.find_spans(unit * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0] + 0.5  # eight times the text; a square would be 64 times
+
+
+def test_added_kinds_have_no_length_limit():
+    texts = {"jwt": f"eyJ{'a' * 5000}.{'b' * 5000}.{'c' * 90}", "url": f"https://{'u' * 300}:{'p' * 300}@h", "pem": f"-----BEGIN {'VERY LONG ' * 20}PRIVATE KEY-----", "forge": f"ghp_{'aB1' * 400}", "chat": f"xoxb-{'1a-' * 300}"}
+    for kind, text in texts.items():
+        assert any(k == kind and (a, b) == (0, len(text) - (kind == "url")) for k, a, b, _ in secrets.find_spans(text)), kind
+
+
 # -- mixing ----------------------------------------------------------------------------------
 
 
@@ -156,6 +180,25 @@ def test_rules_are_learned_and_ordered():
     assert quality.learn(x, np.zeros(2000), np.arange(2000), ["words", "word_length"]).rules == []
 
 
+def test_quality_query_and_its_rules(spark, path):
+    """The query's verdict, by the rules that are learned again, applied in plain Python."""
+    docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
+    rules = quality.learn_rules(docs, labels)
+    facts = quality.statistics(docs).select("*", *[c.alias(n) for n, c in quality.ratios().items()]).collect()
+    hit = lambda r, rule: all((r[n] > v) if sign == ">" else (r[n] <= v) for n, sign, v in rule)
+    first = lambda r: next((k + 1 for k, rule in enumerate(rules.rules) if hit(r, rule)), 0)
+    base = lambda r: r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+    want = Counter((r.doc_id, first(r), not base(r) and not first(r)) for r in facts)
+    assert Counter((r.doc_id, r.rule, r.kept) for r in queries.op6_quality_rules(spark, path).collect()) == want
+
+
+def test_quality_without_labels_and_with_repeated_ids(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.learn_rules(odd, none).rules == [] and quality.learn_rules(empty, none).rules == []
+    same = spark.createDataFrame([(1, "a b")] * 50, "doc_id long, text string")
+    assert quality.learn_rules(same, spark.createDataFrame([(1, 0)], "doc_id long, quality int")).rules == []
+
+
 # -- toxicity --------------------------------------------------------------------------------
 
 
@@ -172,11 +215,19 @@ def test_toxicity_of_held_out_texts(spark):
 def test_toxicity_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert len(toxicity.score_toxicity(odd, none).collect()) == odd.count()
-    carried = toxicity.score_toxicity(odd, none, carry=True)
-    assert carried.columns[: len(odd.columns)] == odd.columns
+    kept = toxicity.drop_toxic(odd.selectExpr("*", "1 as tox_score", "2 as _tox_text"), none)
+    assert kept.columns == [*odd.columns, "tox_score", "_tox_text"] and kept.count() == odd.count()
+    assert toxicity.drop_toxic(empty, none).count() == 0
     assert toxicity.score_toxicity(empty, none).count() == 0
 
 
+def test_dropped_are_those_that_score_high(spark):
+    path = "/root/testdata/sf0.001"
+    docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
+    want = Counter(r.doc_id for r in toxicity.score_toxicity(docs, labels).where("predicted = 0").collect())
+    assert Counter(r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()) == want
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     m = rng.normal(size=500)
@@ -201,34 +252,84 @@ def test_license_base(spark, path, odd, empty):
         want = Counter()
         for r in docs.collect():
             w = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
-            at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+            at = [(k, label) for label, p in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
             want[r.doc_id, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at}))] += 1
         assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(docs).collect()) == want
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_automaton_gives_matching_statistics():
+def common_cells(text, template, least):
+    """Brute force: all (text, template) places inside a common run of `least` tokens or more."""
+    out = set()
+    for i in range(len(text)):
+        for j in range(len(template)):
+            n = 0
+            while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                n += 1
+            if n >= least:
+                out |= {(i + k, j + k) for k in range(n)}
+    return out
+
+
+def longest_chain(cells, gap):
+    best = {}
+    for i, j in sorted(cells):
+        best[i, j] = 1 + max((v for (a, b), v in best.items() if a < i and b < j and i - a - 1 <= gap), default=0)
+    return max(best.values(), default=0)
+
+
+def test_runs_and_chains_equal_brute_force():
     rng = random.Random(1)
-    templates = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(4)]
-    automaton = licenses.Automaton()
-    for k, t in enumerate(templates):
-        automaton.add(k, t)
-    automaton.finish()
-    known = {tuple(t[a:b]) for t in templates for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
-    for _ in range(300):
-        text = [rng.randrange(4) for _ in range(14)]
-        length = [max((n for n in range(e + 1) if n == 0 or tuple(text[e - n : e]) in known), default=0) for e in range(15)]
-        want = [(e, length[e]) for e in range(1, 15) if length[e] >= 2 and (e == 14 or length[e + 1] <= length[e])]
-        got = automaton.matches(text, 2)
-        assert [(e, n) for e, n, _ in got] == want
-        assert all(templates[k][p - n : p] == text[e - n : e] for e, n, s in got for k, p in automaton.ends[s].items())
+    for _ in range(150):
+        templates = [[rng.randrange(3) for _ in range(rng.randrange(1, 14))] for _ in range(3)]
+        automaton = licenses.Automaton()
+        for k, t in enumerate(templates):
+            automaton.add(k, t)
+        automaton.finish()
+        text, gap = [rng.randrange(4) for _ in range(rng.randrange(30))], rng.randrange(5)
+        known = {tuple(t[a:b]) for t in templates for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+        longest = [max((n for n in range(e + 2) if n == 0 or tuple(text[e + 1 - n : e + 1]) in known), default=0) for e in range(len(text))]
+        assert [n for n, _ in automaton.statistics(text)] == longest
+        runs = automaton.runs(text, 2)
+        for k, t in enumerate(templates):
+            cells = {(a + n, c + n) for a, c, size in runs.get(k, []) for n in range(size)}
+            assert cells == common_cells(text, t, 2)
+            chain = licenses.chain(runs.get(k, []), len(t), gap)
+            assert len(chain) == longest_chain(cells, gap) and set(chain) <= cells
+            assert all(a < c and b < d and c - a - 1 <= gap for (a, b), (c, d) in zip(chain, chain[1:]))
+            assert [(i + k, j + k) for i, e, j, _ in licenses.spans(chain) for k in range(e - i)] == chain
+
+
+def scanned(text, scanner):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    row = licenses.scan_rows(scanner, raw, np.array([0, len(raw)]))
+    return row[5][0].as_py(), row[6][0].as_py(), row[7][0].as_py()
+
+
+def test_a_run_that_repeats_inside_a_template():
+    scanner = licenses.build([("own", "a b c d e f a b c g h i")], share=0.9)
+    assert scanned("a b c d e f zz a b c zz g h i", scanner)[:2] == ("own", 1.0)
+
+
+def test_a_chain_of_more_than_seventy_matches():
+    words_ = [f"w{k}" for k in range(300)]
+    text = " ".join(w + (" zz" if k % 3 == 2 else "") for k, w in enumerate(words_))
+    label, score, covers = scanned(text, licenses.build([("own", " ".join(words_))], share=0.99))
+    assert (label, score) == ("own", 1.0) and len(covers) == 100
+    own = text.split()
+    assert all(own[c["start"] : c["stop"]] == words_[c["template_start"] : c["template_stop"]] for c in covers)
 
 
 def test_template_with_edits_is_found():
-    scanner = licenses.build()
-    text = licenses.TEMPLATES["bsd"].replace("without modification", "without any change")
-    row = licenses._scan_rows(scanner, *(lambda b: (b, np.array([0, len(b)])))(np.frombuffer(text.encode(), np.uint8)))
-    assert "bsd" in row[5][0].as_py() and 0.6 <= row[6][0].as_py() < 1
+    text = dict((x, t) for x, t in licenses.TEMPLATES if x != "mit")["bsd"].replace("without modification", "without any change")
+    label, score, _ = scanned(text, licenses.build())
+    assert label == "bsd" and 0.6 <= score < 1
+
+
+@pytest.mark.parametrize("label,text", licenses.TEMPLATES)
+def test_each_template_gives_its_label(label, text):
+    base = {x for x, p in licenses.PHRASES if re.search(rf"\b{p}\b", text.lower())}
+    assert scanned(f"Some words before. {text} And after it.", licenses.build())[0] == ",".join(sorted(base | {label}))
 
 
 # -- media -----------------------------------------------------------------------------------
@@ -268,30 +369,116 @@ def test_media_rows(spark, odd, empty):
     assert matroska.packet_table(spark.createDataFrame([(1, b"\x00junk"), (2, None)], "doc_id long, media binary")).collect()[0].error
 
 
+def test_broken_files_give_their_error(spark):
+    cue = matroska.element(matroska.SEGMENT, matroska.element(matroska.CUES, matroska.element(matroska.CUE, matroska.element(matroska.CUE_AT, matroska.uint(matroska.CUE_TRACK, 1)))))
+    scale = matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, matroska.uint(matroska.SCALE, 0)))
+    deep = b""
+    for _ in range(3000):
+        deep = matroska.element(matroska.GROUP, deep)
+    wide = matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, matroska.element(matroska.SCALE, b"\x7f" * 20)))
+    late = matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, matroska.element(matroska.SCALE, b"\x7f" * 8)) + matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 1 << 60) + matroska.element(matroska.SIMPLE_BLOCK, matroska.block(1, 0, [b"abc"]))))
+    good = matroska.pack(matroska.store(b"abc" * 500))
+    files = [good, cue, scale, deep, wide, late, good[:-7], *(good[:k] + bytes([good[k] ^ 255]) + good[k + 1 :] for k in range(0, 400, 3))]
+    media = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")
+    errors = {r.doc_id: r.error for r in matroska.packet_table(media).where("error is not null").collect()}
+    assert {2, 3, 4, 5, 6} <= set(errors) and not {0, 1} & set(errors)
+
+
+def test_media_query_equals_plain_digests(spark, path):
+    """All columns of the query, the stored form and the feature from a file written again in plain Python."""
+    want = Counter()
+    for r in table(spark, path, "documents").collect():
+        b = (r.text or "").encode()
+        payload = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+        stored = matroska.pack(payload)
+        packets = -(-len(payload) // 576)
+        want[r.doc_id, len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"mean={sum(payload) / len(payload):.3f}", payload in stored or packets > 1] += 1
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature.split(";")[-1], True) for r in queries.op9_media_columns(spark, path).collect())
+    assert got == want
+
+
 # -- token counts ----------------------------------------------------------------------------
 
 
+LETTERS = "ab 's're'll\n\t  1,2.é漢'd "
+
+
+def some_edits(rng, n):
+    at = sorted(rng.randint(0, n) for _ in range(2 * rng.randint(0, 4)))
+    return [(at[2 * k], at[2 * k + 1], "".join(rng.choice(LETTERS) for _ in range(rng.choice([0, 1, 3, 5, 400])))) for k in range(len(at) // 2)]
+
+
+def applied(text, edits):
+    for a, b, r in reversed(edits):
+        text = text[:a] + r + text[b:]
+    return text
+
+
 def test_edits_equal_full_counts():
     own = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken"))
-    rng, letters = random.Random(1), "ab 's're'll\n\t  1,2.é漢'd "
-    for _ in range(800):
-        n = rng.choice([0, 1, 3, 10, 40, 200])
-        text = "".join(rng.choice(letters) for _ in range(n))
-        at = sorted(rng.randint(0, n) for _ in range(2 * rng.randint(0, 4)))
-        edits = [(at[2 * k], at[2 * k + 1], "".join(rng.choice(letters) for _ in range(rng.randint(0, 5)))) for k in range(len(at) // 2)]
-        tree, want = token_counts.TokenTree(text, own), text
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice(LETTERS) for _ in range(rng.choice([0, 1, 3, 10, 40, 200, 2000])))
+        edits = some_edits(rng, len(text))
+        tree = token_counts.TokenTree(text, own)
         assert tree.total == len(own.encoding.encode_ordinary(text))
-        for a, b, r in reversed(edits):
-            want = want[:a] + r + want[b:]
+        want = applied(text, edits)
         assert tree.edit(edits) == want and tree.total == len(own.encoding.encode_ordinary(want))
 
 
+def test_a_hundred_edits_of_one_tree():
+    own = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken"))
+    for seed in range(12):
+        rng = random.Random(seed)
+        text = "".join(rng.choice(LETTERS) for _ in range(rng.choice([0, 30, 5000])))
+        tree = token_counts.TokenTree(text, own)
+        for _ in range(100):
+            edits = some_edits(rng, len(text))
+            text = applied(text, edits)
+            assert tree.edit(edits) == text
+            assert tree.total == len(own.encoding.encode_ordinary(text)) and tree.chars[1] == len(text)
+        for side in (tree.chars, tree.tokens):
+            assert (side[1 : tree.size] == side[2::2] + side[3::2]).all()
+
+
+def test_an_edit_counts_its_region_only():
+    own = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken"))
+    tree = token_counts.TokenTree("some words, and " * 20_000, own)
+    tree.edit([(160_003, 160_009, "other things")])
+    assert 0 < tree.recounted <= 3 * token_counts.LEAF
+    before = tree.total
+    assert tree.edit([(5, 2, "x"), (-1, 3, "x"), (4, 10**9, "x")]) == tree.text and tree.total == before
+
+
 def test_token_rows(spark, odd, empty, path):
     own = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken")).encoding
     mask = re.compile(queries.PERSONAL)
     for r, d in zip(*(sorted(x, key=lambda r: r.doc_id) for x in (queries.op10_token_counts(spark, path).collect(), table(spark, path, "documents").collect())), strict=True):
         edited = f"[{d.source or 'unknown'}] " + mask.sub("[MASKED]", d.text or "")
         assert (r.n_tokens, r.n_tokens_edited) == (len(own.encode_ordinary(d.text or "")), len(own.encode_ordinary(edited)))
-    got = token_counts.count_tokens(odd).collect()
-    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((r.doc_id, len(own.encode_ordinary(r.text or ""))) for r in odd.collect())
-    assert token_counts.count_tokens(empty).count() == 0
+    trees = token_counts.token_trees(odd)
+    assert Counter((r.doc_id, r.n) for r in trees.select("doc_id", token_counts.count_tokens().alias("n")).collect()) == Counter((r.doc_id, len(own.encode_ordinary(r.text or ""))) for r in odd.collect())
+    assert token_counts.token_trees(empty).count() == 0 and token_counts.edit_trees(token_counts.token_trees(empty)).count() == 0
+
+
+def test_trees_that_were_kept_are_edited_again(spark, odd, tmp_path):
+    own = token_counts.counter(tokenizer_file("byte_bpe_50k.tiktoken")).encoding
+    token_counts.token_trees(odd, carry=["source"]).write.parquet(f"{tmp_path}/trees")
+    first = token_counts.edit_trees(spark.read.parquet(f"{tmp_path}/trees"), F.expr("array(struct(0, 0, 'one '), struct(2, 5, 'two'), struct(3, 4, 'lost'))"))
+    second = token_counts.edit_trees(first, F.expr("array(struct(0, 3, 'ONE'))"), find=queries.PERSONAL, put="[MASKED]")
+    mask, want = re.compile(queries.PERSONAL), Counter()
+    for r in odd.collect():
+        text = r.text or ""
+        edits = [(0, 0, "one "), *([(2, 5, "two")] if len(text) >= 5 else [(3, 4, "lost")] if len(text) == 4 else [])]
+        text = applied(text, edits)
+        found = [(m.start(), m.end(), "[MASKED]") for m in mask.finditer(text) if m.start() >= 3]
+        text = applied(text, [(0, 3, "ONE"), *found])
+        want[r.doc_id, text, len(own.encode_ordinary(text)), r.source] += 1
+    assert Counter((r.doc_id, r.text, r.n, r.source) for r in second.select("doc_id", "text", token_counts.count_tokens().alias("n"), "row.source").collect()) == want
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "a.b-" * 60_000, "1" * 300_000, "a@" * 100_000])
+def test_personal_data_are_found_in_linear_time(text):
+    began = time.process_time()
+    re.compile(queries.PERSONAL).sub("", text)
+    assert time.process_time() - began < 3
