@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.llm import toxicity
 from claimloom.llm.common import SPACES, checkpointed, ship, table
 from claimloom.llm.mixing import mix_sources, with_sizes
 from claimloom.llm.ngram_join import ngram_jaccard_classes
-from claimloom.llm.pieces import decode_pieces, encode_pieces
+from claimloom.llm.pieces import encode_pieces
 from claimloom.llm.secrets import redact_secrets
-from claimloom.llm.toxicity import score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,8 +29,7 @@ _NOT_SPACE = "[^" + _SPACE[1:]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7."""
     ship(spark)
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.7, carry=True)
-    return scored.where("tox_predicted = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces and their number; round_trip says whether they decode to the text."""
     ship(spark)
-    decoded = decode_pieces(encode_pieces(docs), digest_only=True)
-    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", (F.col("digest") == F.col("text_sha256")).alias("round_trip"))
+    return encode_pieces(docs).select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
 
 
 STAGES: list[tuple[str, Stage]] = [
