@@ -49,24 +49,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: spark.checkpoint.dir of the session, or the context's if that is set.
 
-    Reads spark.checkpoint.dir from the session; where it is unset a local master
-    (tests, one machine) gets a folder under /tmp/checkpoints and a cluster an
-    error, since no other folder is known to be shared. A collection follows, so
-    that Spark's cleaner drops the shuffle files that the cut lineage no longer needs.
+    Where neither is set a local master (tests, one machine) gets a folder under
+    /tmp/checkpoints and a cluster an error, since no other folder is known to be shared.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(shared or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table of Parquet into the shared folder and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the folder that the cluster shares.
+
+    A collection follows, so that Spark's cleaner drops the shuffle files that the
+    cut lineage no longer needs.
+    """
+    shared_folder(df.sparkSession)
     cut = df.checkpoint(eager=True)
     del df
     gc.collect()
-    context._jvm.System.gc()
+    cut.sparkSession.sparkContext._jvm.System.gc()
     return cut
 
 

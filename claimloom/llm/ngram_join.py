@@ -337,7 +337,7 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     empty table gives an empty table. percent lies in 1..100.
     """
     members = _members(docs, percent, width, id_col, text_col)
-    classes = members.groupBy("key").agg(F.min(F.when(F.col("grams").isNotNull(), F.col("uid"))).alias("linkable"), F.min("uid").alias("least"), F.count("*").alias("rows")).select("key", F.coalesce("linkable", "least").alias("class"), "rows")
+    classes = members.groupBy("key").agg(F.min(F.when(F.col("grams").isNotNull(), F.col("uid"))).alias("linkable"), F.min("uid").alias("least"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")).select("key", F.coalesce("linkable", "least").alias("class"), "least_id", "rows")
     sets = members.where("grams is not null").select("uid", F.col("n_shingles").alias("n"), "grams")
     sets = sets.join(classes.select(F.col("class").alias("uid")), "uid", "left_semi")
     alone = F.col("n") - (F.octet_length("grams") / 8).cast("long")
@@ -376,7 +376,7 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
     more = checkpointed(_linked(rest, sets, percent).select("a", "b"))
     final = components(links.unionByName(more)) if not more.isEmpty() else first
 
-    joined = join_hot(members.select("doc_id", "uid", "n_shingles", "key"), classes, "key", "uid")
-    placed = checkpointed(joined.join(final.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "uid", "n_shingles", F.coalesce("label", "class").alias("own")))
-    smallest = placed.groupBy("own").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
-    return join_hot(placed, smallest, "own", "uid").select("doc_id", "n_shingles", "component_id")
+    named = classes.join(final.withColumnRenamed("node", "class"), "class", "left").select("key", "rows", "least_id", F.coalesce("label", "class").alias("own"))
+    smallest = named.groupBy("own").agg(F.min("least_id").alias("component_id"), F.count("*").alias("rows"))
+    placed = join_hot(named, smallest, "own", "key").select("key", "rows", "component_id")
+    return join_hot(members.select("doc_id", "uid", "n_shingles", "key"), placed, "key", "uid").select("doc_id", "n_shingles", "component_id")
