@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import toxicity
-from claimloom.llm.common import SPACES, checkpointed, ship, table
+from claimloom.llm.common import SPACES, broadcast_if_small, checkpointed, ship, table, written
 from claimloom.llm.mixing import mix_sources, with_sizes
 from claimloom.llm.ngram_join import ngram_jaccard_classes
 from claimloom.llm.pieces import encode_pieces
@@ -33,19 +33,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies, one row of it."""
+    """One row of each class of near copies: that with the smallest id (null last), then the first in the files.
+
+    Rows are told apart by their place in the files that `docs` is read from, so
+    rows without an id and rows that repeat an id are judged by their texts too.
+    """
     ship(spark)
-    classes = ngram_jaccard_classes(docs, percent=75, width=5)
-    first = classes.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # Rows that repeat an id are rare; only they are compared further.
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
-    again = checkpointed(again)
-    if again.isEmpty():
-        return kept
-    repeated = F.col("doc_id").eqNullSafe(F.col("_again"))
-    marked = again.select(F.col("doc_id").alias("_again"))
-    return kept.join(marked, repeated, "left_anti").unionByName(kept.join(marked, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    classes = ngram_jaccard_classes(numbered, percent=75, width=5, id_col=row).select(F.col("doc_id").alias("_at"), "component_id")
+    named = numbered.select(F.col(row).alias("_at"), F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c")).alias("_order"))
+    judged = checkpointed(named.join(classes, "_at"))
+    stay = judged.groupBy("component_id").agg(F.min("_order").alias("_order")).select(F.col("_order.c").alias("_at"))
+    go = checkpointed(judged.select("_at").join(stay, "_at", "left_anti"))
+    return numbered.join(broadcast_if_small(go), F.col(row) == F.col("_at"), "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,13 +84,13 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encode),
 ]
 
-#: Trained scores, near copies and byte-pair encoding have no SQL form; tests hold run() against brute force.
+#: Trained scores, near copies and byte-pair encoding have no SQL form; tests hold run() against plain Python, stage by stage.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents one after another."""
+    """Applies the stages to documents one after another; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
