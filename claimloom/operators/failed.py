@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, joined, mask, wrapped
+from ..params import Params
+from .pricing import price_lines
 
 
 def dispose(validated: DataFrame, gated: DataFrame) -> DataFrame:
@@ -29,6 +31,42 @@ def failed_records(disposed: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+def snapshots(disposed: DataFrame, lines: DataFrame, diagnoses: DataFrame, payers: DataFrame, as_of: datetime) -> DataFrame:
+    """Each failed claim's snapshot: twelve keys as wrapped JSON, with its first three diagnosis and procedure codes.
+
+    payers has financial_class_id and payer_name. Only failed claims' children are aggregated.
+    """
+    own = disposed.where("not is_valid")
+    keys = own.select("claim_id")
+
+    def first(rows: DataFrame, order: str, code: str) -> DataFrame:
+        found = rows.select("claim_id", order, code).where(F.col(order) <= 3).join(keys, "claim_id", "left_semi")
+        return found.groupBy("claim_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(order, code)))[code], 1, 3).alias(code))
+
+    x = own.join(payers, "financial_class_id", "left").join(first(diagnoses, "sequence", "icd_code"), "claim_id", "left").join(first(lines, "line_number", "cpt_code"), "claim_id", "left")
+    none = F.array().cast("array<string>")
+    text = lambda c: F.col(c).cast("string")
+    body = F.to_json(F.struct(
+        "claim_id", "facility_id", mask("account", "account_number").alias("patient_account_number"), text("service_date").alias("service_date"), text("total_charge").alias("total_charge"), "payer_name",
+        F.coalesce("icd_code", none).alias("diagnoses_codes"), F.coalesce("cpt_code", none).alias("procedure_codes"), F.col("status").alias("original_staging_status"), F.col("final_status").alias("final_pipeline_status"),
+        F.col("assigned_filter").alias("ml_filters_attempted"), F.round("confidence", 3).cast("decimal(4,3)").cast("string").alias("ml_confidence"),
+    ), {"ignoreNullFields": "false"})
+    return x.select(F.col("claim_id").alias("original_claim_id"), wrapped(body).alias("snapshot"), at(as_of).alias("failed_at"))
+
+
+def production_wide(disposed: DataFrame, lines: DataFrame, rvu: DataFrame, payers: DataFrame, params: Params) -> DataFrame:
+    """Valid claims with all that production keeps of them and the test tables have, personal data masked, priced from their own lines only."""
+    own = disposed.where("is_valid")
+    priced = price_lines(lines.join(own.select("claim_id"), "claim_id", "left_semi"), rvu, params)
+    paid = priced.groupBy("claim_id").agg(F.sum("amount").alias("_paid"), F.count("*").alias("_lines"))
+    x = own.join(payers, "financial_class_id", "left").join(paid, "claim_id", "left")
+    return x.select(
+        "claim_id", "facility_id", mask(F.col("patient_id").cast("string"), "generic_id").alias("patient_id"), "patient_age", mask("account", "account_number").alias("patient_account_number"), "service_date", "end_date",
+        F.col("total_charge").alias("total_charge_amount"), "department_id", "financial_class_id", "payer_name", F.col("final_status").alias("processing_status"), at(params.as_of_claims).alias("processed_date"),
+        F.lit("VALIDATED_RULES_PASSED").alias("validation_status"), "assigned_filter", "confidence", F.coalesce("_paid", F.lit(0)).cast("decimal(18,2)").alias("reimbursement"), F.coalesce("_lines", F.lit(0)).alias("priced_lines"), "created_date", F.lit("system").alias("created_by"),
+    )
+
+
 def production_rows(disposed: DataFrame) -> DataFrame:
     """Valid claims as production has them."""
     return disposed.where("is_valid").select("claim_id", "facility_id", "department_id", "financial_class_id", "patient_id", "patient_age", "service_date", "total_charge", F.lit("COMPLETED").alias("status"), F.lit("VALIDATED").alias("validation_status"), F.array("assigned_filter").alias("assigned_filters"))

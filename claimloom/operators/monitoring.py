@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, at, label_key, mean, percent, since
+from ..session import ship
 
 #: Trailing windows of the metrics report, in minutes.
 WINDOWS = {"1h": 60, "6h": 360, "24h": 1440, "7d": 10080}
@@ -108,19 +109,7 @@ def rolling_mean(points: DataFrame, n: int = 100, key: str = "name") -> DataFram
     return points.withColumn("rolling_avg", F.sum("value").over(own).cast("double") / F.count("value").over(own))
 
 
-def moving_average(points: DataFrame, weight: float = 0.1, key: str = "name", depth: int = 200) -> DataFrame:
-    """Exponential moving average seeded by the first value.
-
-    A fold over the last `depth` values, the oldest of them standing for what
-    came before; at weight 0.1 that share is 0.9 ** 200, below 1e-9.
-    """
-    own = Window.partitionBy(key).orderBy("ts", "point_id").rowsBetween(1 - depth, 0)
-    values = F.collect_list(F.col("value").cast("double")).over(own)
-    fold = F.aggregate(F.slice(F.col("_values"), 2, depth), F.element_at("_values", 1), lambda acc, x: acc * (1 - weight) + x * weight)
-    return points.withColumn("_values", values).withColumn("ema", fold).drop("_values")
-
-
-def moving_average_exact(points: DataFrame, weight: float = 0.1, key: str = "name", block: str = "hour") -> DataFrame:
+def moving_average(points: DataFrame, weight: float = 0.1, key: str = "name", block: str = "hour") -> DataFrame:
     """Exponential moving average over all values, seeded by the first one; null values change nothing.
 
     Each block of time is folded apart, from nothing, to the decay of what came
@@ -187,6 +176,25 @@ def streaks(results: DataFrame, key: str = "name") -> DataFrame:
     return x.withColumn("streak", F.sum(F.col("failed").cast("int")).over(inner)).drop("run")
 
 
+Breaker = tuple[str, int, int, float]  # state, failures and successes in a row, when it opened
+CLOSED: Breaker = ("CLOSED", 0, 0, 0.0)
+
+
+def breaker_step(state: Breaker, t: float, failed: bool, threshold: int = 5, timeout_seconds: int = 60) -> tuple[str, Breaker]:
+    """The state that a call meets, and the breaker after it."""
+    kind, bad, good, opened = state
+    if kind == "OPEN" and t - opened >= timeout_seconds:
+        kind, good = "HALF_OPEN", 0
+    met = kind
+    if kind != "OPEN":
+        bad, good = (bad + 1, 0) if failed else (0, good + 1)
+        if failed and (kind == "HALF_OPEN" or bad >= threshold):
+            kind, opened = "OPEN", t
+        elif not failed and kind == "HALF_OPEN" and good >= 3:
+            kind = "CLOSED"
+    return met, (kind, bad, good, opened)
+
+
 def breaker(results: DataFrame, threshold: int = 5, timeout_seconds: int = 60, key: str = "name") -> DataFrame:
     """State of a circuit breaker before each call, folded over each key's failure streaks.
 
@@ -195,40 +203,20 @@ def breaker(results: DataFrame, threshold: int = 5, timeout_seconds: int = 60, k
     The fold carries four numbers, its input is streamed in time order.
     """
 
-    def step(rows, state):  # one key's rows in order
-        kind, bad, good, since_ = state
-        out = []
-        for t, failed in rows:
-            if kind == "OPEN" and t - since_ >= timeout_seconds:
-                kind, good = "HALF_OPEN", 0
-            out.append(kind)
-            if kind == "OPEN":
-                continue
-            if failed:
-                bad, good = bad + 1, 0
-                if kind == "HALF_OPEN" or bad >= threshold:
-                    kind, since_ = "OPEN", t
-            else:
-                good += 1
-                bad = 0
-                if kind == "HALF_OPEN" and good >= 3:
-                    kind = "CLOSED"
-        return out, (kind, bad, good, since_)
-
     def run(batches):
         import pyarrow as pa
 
-        last, state = None, ("CLOSED", 0, 0, 0.0)
+        last, state = None, CLOSED
         for batch in batches:
-            names, times, failed = (batch.column(k).to_pylist() for k in (0, 1, 2))
             out = []
-            for n, t, f in zip(names, times, failed, strict=True):
+            for n, t, f in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 if n != last:
-                    last, state = n, ("CLOSED", 0, 0, 0.0)
-                own, state = step([(t, f)], state)
-                out += own
+                    last, state = n, CLOSED
+                seen, state = breaker_step(state, t, f, threshold, timeout_seconds)
+                out.append(seen)
             yield pa.record_batch([*[batch.column(k) for k in range(4)], pa.array(out, pa.string())], ["key", "t", "failed", "point_id", "state"])
 
+    ship(results.sparkSession)
     x = results.select(F.col(key).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "failed", "point_id")
     return x.repartition("key").sortWithinPartitions("key", "t", "point_id").mapInArrow(run, "key string, t double, failed boolean, point_id long, state string")
 
@@ -293,3 +281,42 @@ def api_metrics(points: DataFrame, keep: int = 1000) -> DataFrame:
     x = keep_last(points, keep)
     hit = F.count_if(F.col("labels")["bucket"] == "0")
     return x.groupBy("name").agg(F.count("*").alias("n"), mean("value").alias("avg_value"), F.min("value").cast(MONEY).alias("min_value"), F.max("value").cast(MONEY).alias("max_value"), percent(hit, F.count("*")).alias("hit_ratio"))
+
+
+def metric_state(points: DataFrame) -> DataFrame:
+    """What recorders hold after all points: counters their sum, gauges the last value, samples their sum and number."""
+    kind = F.when(F.col("type").isin("counter", "gauge"), F.col("type")).otherwise("samples")
+    g = points.groupBy(label_key(F.col("name"), F.col("labels")).alias("metric"), kind.alias("kind")).agg(F.max_by("value", F.struct("ts", "point_id")).alias("l"), F.sum("value").alias("s"), F.count("*").alias("n"))
+    return g.select("metric", "kind", F.when(F.col("kind") == "gauge", F.col("l")).otherwise(F.col("s")).cast(MONEY).alias("value"), "n")
+
+
+def operation_errors(points: DataFrame, operation: Column) -> DataFrame:
+    """Error counters added to the operations that have timings."""
+    bad = F.col("name") == "error"
+    sums = points.groupBy(operation.alias("operation")).agg(F.count_if(~bad).alias("timings"), F.sum(F.when(bad, F.col("value")).otherwise(0)).cast(MONEY).alias("error_count"))
+    return sums.where("timings > 0")
+
+
+def rate_windows(points: DataFrame, as_of: datetime, windows: dict[str, int] | None = None) -> DataFrame:
+    """Points a minute and percent of errors in each trailing window (minutes) that has points."""
+    sizes = WINDOWS if windows is None else windows
+    reach = F.array_compact(F.array(*[F.when(since("ts", as_of, m, "MINUTES"), F.struct(F.lit(w).alias("window"), F.lit(m).alias("minutes"))) for w, m in sizes.items()]))
+    each = points.select("name", F.inline(reach))
+    n = F.count("*")
+    return each.groupBy("window", "minutes").agg((n / (F.col("minutes") * F.lit(60.0)) * 60).alias("per_minute"), percent(F.count_if(F.col("name") == "error"), n).alias("error_rate")).drop("minutes")
+
+
+def throughput(claims: DataFrame, key: str = "facility_id") -> DataFrame:
+    """Processed, successful and failed claims by key, over the time from the first creation to the last processing."""
+    n = F.count("*")
+    seconds = F.timestamp_diff("SECOND", F.min("created_date"), F.max("processed_date"))
+    sums = claims.where("processed_date is not null").groupBy(key).agg(n.alias("total_processed"), F.count_if(F.col("validation_status") == "VALIDATED").alias("successful"), F.count_if(F.col("validation_status") == "FAILED").alias("failed"), seconds.alias("duration_seconds"))
+    return sums.withColumn("throughput", F.when(F.col("duration_seconds") > 0, F.col("total_processed") / F.col("duration_seconds")).otherwise(0.0))
+
+
+def connection_report(points: DataFrame, states: DataFrame, keep: int = 100, slow: float = 50.0) -> DataFrame:
+    """Each connection's number of queries, mean of its last ones, breaker state and status."""
+    counts = points.groupBy("name").agg(F.count("*").alias("queries"))
+    recent = keep_last(points, keep).groupBy("name").agg(mean("value").alias("avg_last_100"))
+    x = counts.join(recent, "name").join(states.withColumnRenamed("key", "name"), "name")
+    return x.withColumn("status", F.when(F.col("state") == "OPEN", "unhealthy").when(F.col("avg_last_100") > slow, "degraded").otherwise("healthy"))

@@ -1 +1,3 @@
 
+
+from . import lifecycle, queries  # noqa: F401  lifecycle adds its queries to the registry

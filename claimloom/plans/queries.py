@@ -137,8 +137,8 @@ query("sync_status", sql("SELECT count(*) FILTER (status = 'PENDING') AS pending
 query("dequeue_pending", sql("SELECT claim_id, created_date, 'PROCESSING' AS status FROM claims WHERE status = 'PENDING' ORDER BY created_date, claim_key LIMIT 2000"))(lambda t: readers.pending(t.claims, 2000).select("claim_id", "created_date", F.lit("PROCESSING").alias("status")))
 query("claim_with_children", sql("SELECT c.claim_id, (SELECT string_agg(line_number || ':' || cpt_code || ':' || units, ',' ORDER BY line_number) FROM lines l WHERE l.claim_id = c.claim_id) AS lines, (SELECT string_agg(icd_code, ',' ORDER BY sequence) FROM diagnoses d WHERE d.claim_id = c.claim_id) AS diagnoses FROM claims c"))(
     lambda t: readers.with_children(t.claims.select("claim_id"), t.lines, t.diagnoses).select("claim_id", F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["line_number"].cast("string"), x["cpt_code"], x["units"].cast("string"))), ",").alias("lines"), F.array_join("diagnoses.icd_code", ",").alias("diagnoses")))
-query("json_recordset", sql("SELECT claim_id, status, patient_age FROM claims"))(lambda t: readers.json_records(t.claims.groupBy(F.pmod("claim_key", F.lit(500))).agg(F.to_json(F.collect_list(F.struct("claim_id", "status", "patient_age"))).alias("j")), "j", "claim_id string, status string, patient_age bigint"))
-query("split_ids", sql("SELECT claim_id FROM claims"))(lambda t: readers.split_ids(t.claims.groupBy(F.pmod("claim_key", F.lit(500))).agg(F.array_join(F.collect_list("claim_id"), ", ").alias("ids")), "ids"))
+query("json_recordset", sql("SELECT claim_id, status, patient_age FROM claims"))(lambda t: readers.json_records(t.claims.groupBy(F.floor(F.col("claim_key") / 1000)).agg(F.to_json(F.collect_list(F.struct("claim_id", "status", "patient_age"))).alias("j")), "j", "claim_id string, status string, patient_age bigint"))
+query("split_ids", sql("SELECT claim_id FROM claims"))(lambda t: readers.split_ids(t.claims.groupBy(F.floor(F.col("claim_key") / 1000)).agg(F.array_join(F.collect_list("claim_id"), ", ").alias("ids")), "ids"))
 query("month_series_gap", sql("SELECT m::DATE AS month FROM generate_series(TIMESTAMP '1994-06-01', TIMESTAMP '2002-03-01', INTERVAL 1 MONTH) g(m) WHERE m::DATE NOT IN (SELECT date_trunc('month', service_date)::DATE FROM claims WHERE service_date IS NOT NULL)"))(lambda t: readers.missing_months(t.spark, t.claims.where("service_date is not null"), "service_date", date(1994, 6, 1), date(2002, 3, 1)))
 query("partition_lag", sql("SELECT boundary, n AS rows, lag(boundary) OVER (ORDER BY boundary) AS lower_boundary FROM (SELECT date_trunc('month', service_date)::DATE AS boundary, count(*) AS n FROM claims WHERE service_date IS NOT NULL GROUP BY 1)"))(lambda t: readers.partition_lag(t.claims))
 query("latest_claims", sql("SELECT claim_id, created_date FROM claims ORDER BY created_date DESC, claim_key LIMIT 10"))(lambda t: t.claims.orderBy(F.desc("created_date"), "claim_key").limit(10).select("claim_id", "created_date"))
@@ -199,8 +199,8 @@ query("recovery_effectiveness", sql("SELECT coalesce(category || '_' || code, 'o
 query("operation_stats", sql(f"SELECT name, bucket, count(*) AS n, {money('value')} AS sum_value, min(value)::DECIMAL(18,2) AS min_value, max(value)::DECIMAL(18,2) AS max_value, {mean('value')} AS avg_value, {rate('count(*) FILTER (value < 100)', 'count(*)')} AS success_rate FROM (SELECT * FROM metric_points QUALIFY row_number() OVER (PARTITION BY name, bucket ORDER BY ts DESC, point_id DESC) <= 1000) GROUP BY 1, 2"))(lambda t: monitoring.operation_stats(t.metric_points))
 query("keep_last_n", sql("SELECT name, point_id, row_number() OVER (PARTITION BY name ORDER BY ts DESC, point_id DESC)::INTEGER AS place FROM metric_points QUALIFY place <= 100"))(lambda t: monitoring.keep_last(t.metric_points, 100).select("name", "point_id", "place"))
 query("rolling_avg_100", sql("SELECT point_id, (sum(value) OVER w)::DOUBLE / count(value) OVER w AS rolling_avg FROM metric_points WINDOW w AS (PARTITION BY name ORDER BY ts, point_id ROWS 99 PRECEDING)"))(lambda t: monitoring.rolling_mean(t.metric_points).select("point_id", "rolling_avg"))
-query("ema_latency", sql("SELECT point_id, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ema FROM (SELECT point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS 199 PRECEDING) AS v FROM metric_points)"))(lambda t: monitoring.moving_average(t.metric_points).select("point_id", F.round("ema", 6).alias("ema")))
-query("ema_latency_exact", sql("SELECT point_id, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ema FROM (SELECT point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS v FROM metric_points)"))(lambda t: monitoring.moving_average_exact(t.metric_points).select("point_id", F.round("ema", 6).alias("ema")))
+query("ema_latency", sql("SELECT point_id, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ema FROM (SELECT point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS v FROM metric_points)"))(lambda t: monitoring.moving_average(t.metric_points).select("point_id", F.round("ema", 6).alias("ema")))
+query("ema_latency_exact", sql("SELECT point_id, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ema FROM (SELECT point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS v FROM metric_points)"))(lambda t: monitoring.moving_average(t.metric_points).select("point_id", F.round("ema", 6).alias("ema")))
 query("trailing_5m_rate", sql("SELECT point_id, round(n / greatest(epoch_us(ts) - first, 1000000)::DOUBLE * 1000000, 6) AS rate FROM (SELECT point_id, ts, count(*) OVER w AS n, min(epoch_us(ts)) OVER w AS first FROM metric_points WINDOW w AS (PARTITION BY name ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))"))(lambda t: monitoring.trailing_rate(t.metric_points, 3600).select("point_id", F.round("rate", 6).alias("rate")))
 query("failure_streaks", sql("SELECT point_id, (sum(failed::INTEGER) OVER (PARTITION BY name, run ORDER BY ts, point_id))::BIGINT AS streak FROM (SELECT *, sum((NOT failed)::INTEGER) OVER (PARTITION BY name ORDER BY ts, point_id) AS run FROM (SELECT *, value > 12 AS failed FROM metric_points))"))(lambda t: monitoring.streaks(t.metric_points.withColumn("failed", F.col("value") > 12)).select("point_id", "streak"))
 query("alert_statistics", sql("SELECT stage, count(*) AS total, count(*) FILTER (status = 'Resolved') AS resolved, count(*) FILTER (status <> 'Resolved') AS active, sum(date_sub('second', failed_at, resolved_at))::DOUBLE / count(resolved_at) AS avg_seconds, max(date_sub('second', failed_at, resolved_at)) AS max_seconds FROM failed_claims GROUP BY 1"))(lambda t: monitoring.alert_statistics(t.failed_claims))
@@ -208,8 +208,6 @@ query("health_rollup", sql("SELECT *, CASE WHEN unhealthy > 0 THEN 'unhealthy' W
 _HIT = "count(*) FILTER (bucket = '0')"
 query("api_metrics", sql(f"SELECT name, count(*) AS n, {mean('value')} AS avg_value, min(value)::DECIMAL(18,2) AS min_value, max(value)::DECIMAL(18,2) AS max_value, {rate(_HIT, 'count(*)')} AS hit_ratio FROM (SELECT * FROM metric_points QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, point_id DESC) <= 1000) GROUP BY 1"))(lambda t: monitoring.api_metrics(t.metric_points))
 query("fired_alerts", sql("SELECT 'high_error_rate' AS rule, 'pipeline' AS component, 'HIGH' AS severity, 'Error rate above 10 %' AS message FROM metric_points WHERE ts >= {E} - INTERVAL 48 HOUR HAVING count(*) FILTER (name = 'error') * 100.0 / count(*) > 10 UNION ALL SELECT 'low_throughput', 'pipeline', 'MEDIUM', 'Throughput below 10 a second' FROM metric_points WHERE ts >= {E} - INTERVAL 48 HOUR HAVING count(*) / 172800.0 < 10 UNION ALL SELECT 'slow_operations', 'pipeline', 'LOW', 'Mean time above 10' FROM metric_points WHERE ts >= {E} - INTERVAL 48 HOUR HAVING sum(value)::DOUBLE / count(value) > 10"))(lambda t: monitoring.fire_alerts(monitoring.health_score(t.metric_points, P.as_of_events, 48)))
-query("alert_cooldown")(lambda t: monitoring.cooldown(t.metric_points.where("value > 30"), 60).select("key", "point_id"))
-query("circuit_breaker")(lambda t: monitoring.breaker(t.metric_points.withColumn("failed", F.col("value") > 12)).select("key", "point_id", "state"))
 query("training_imputation", sql(f"SELECT claim_id, coalesce(charge, (SELECT quantile_cont(charge, 0.5) FROM x)) AS charge, coalesce(facility_id, (SELECT facility_id FROM (SELECT facility_id, count(*) AS n FROM x WHERE facility_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, facility_id LIMIT 1))) AS facility_id FROM x", " x AS (SELECT claim_id, facility_id, CASE WHEN claim_key % 10 <> 0 THEN total_charge::DOUBLE END AS charge FROM claims)"))(
     lambda t: scoring.impute(t.claims.select("claim_id", "facility_id", F.when(F.col("claim_key") % 10 != 0, F.col("total_charge").cast("double")).alias("charge")), ["charge"], ["facility_id"]))
 

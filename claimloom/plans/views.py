@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, boundaries, count_if, mean, percent, since, total, truncated
@@ -28,6 +28,33 @@ def _lines(t: Tables) -> DataFrame:
     return t.lines
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """Exact interpolated percentiles of each group, rounded to six digits.
+
+    From counts of distinct values and their running sums, so that no group's
+    values are gathered in memory.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(own.orderBy("_v"))).withColumn("_all", F.sum("_n").over(own))
+    place = {name: (F.col("_all") - 1) * F.lit(share) for name, share in shares.items()}
+    at_ = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    ends = [x for name, p in place.items() for x in (at_(F.floor(p)).alias(f"_low_{name}"), at_(F.ceil(p)).alias(f"_high_{name}"), F.max(p - F.floor(p)).alias(f"_part_{name}"))]
+    found = ranked.groupBy(*keys).agg(*ends)
+    mixed = {name: F.round(F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * F.col(f"_part_{name}"), 6) for name in shares}
+    return found.select(*keys, *[c.alias(name) for name, c in mixed.items()])
+
+
+def with_percentiles(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """Groups (by keys, nulls included) with the percentiles of their rows; a group without values gets nulls."""
+    found = percentiles(rows, keys, value, **shares)
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *shares)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return groups.join(found, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def processing_summary(t: Tables, p: Params) -> DataFrame:
     own = staged(t, p).where(since("created_date", p.as_of_claims, 7, "DAYS"))
     return own.groupBy(truncated("hour", "created_date").alias("processing_hour"), "status", "facility_validated", "department_validated", "financial_class_validated").agg(
@@ -59,7 +86,8 @@ def validation_failure_patterns(t: Tables, p: Params) -> DataFrame:
 def financial_metrics(t: Tables, p: Params) -> DataFrame:
     own = t.claims.where(since("service_date", p.as_of_claims, 90, "DAYS") & F.col("exported"))
     classes = t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description"), "payer_id").join(t.payers.select("payer_id", "payer_category"), "payer_id", "left")
-    priced = price_lines(_lines(t), t.rvu, p).select("claim_id", "amount")
+    # Only lines of claims in the window are priced; the window is found in orders alone, before anything is joined.
+    priced = price_lines(_lines(t).join(own.select("claim_id"), "claim_id", "left_semi"), t.rvu, p).select("claim_id", "amount")
     x = own.join(t.facilities.select("facility_id", "facility_type"), "facility_id").join(classes, "financial_class_id", "left").join(priced, "claim_id", "left")
     charges, paid = F.sum("total_charge"), F.sum("amount")
     return x.groupBy(F.col("service_date").alias("service_day"), "fc_description", "payer_category", "facility_type").agg(
@@ -70,11 +98,12 @@ def financial_metrics(t: Tables, p: Params) -> DataFrame:
 
 def ml_model_performance(t: Tables, p: Params) -> DataFrame:
     own = t.validation_results.where((F.col("validation_type") == "ML_FILTER") & since("created_date", p.as_of_events, p.window_days, "DAYS") & F.col("inference_ms").isNotNull())
-    x = own.withColumn("ms", F.col("inference_ms").cast("double"))
-    return x.groupBy("model_version", truncated("hour", "created_date").alias("prediction_hour")).agg(
-        F.count("*").alias("total_predictions"), mean("inference_ms").alias("avg_inference"), F.round(F.percentile("ms", F.lit(0.5)), 6).alias("median_inference"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95_inference"),
+    x, keys = own.withColumn("prediction_hour", truncated("hour", "created_date")), ["model_version", "prediction_hour"]
+    groups = x.groupBy(*keys).agg(
+        F.count("*").alias("total_predictions"), mean("inference_ms").alias("avg_inference"),
         F.round(F.avg("confidence"), 6).alias("avg_confidence"), count_if(F.col("confidence") > 0.8).alias("high_confidence"),
     )
+    return with_percentiles(groups, x, keys, "inference_ms", median_inference=0.5, p95_inference=0.95)
 
 
 def claims_for_validation(t: Tables, p: Params) -> DataFrame:
@@ -83,8 +112,10 @@ def claims_for_validation(t: Tables, p: Params) -> DataFrame:
     x = own.join(t.facilities.select("facility_id", "facility_name"), "facility_id", "left").join(t.departments.select("department_id", "department_name"), "department_id", "left")
     x = x.join(t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description")), "financial_class_id", "left")
     dated = F.col("service_date").isNotNull()
-    ill = t.diagnoses.groupBy("claim_id").agg(F.array_sort(F.collect_set("icd_code")).alias("icd"), F.count("*").alias("n_ill"))
-    line = price_lines(_lines(t), t.rvu, p).groupBy("claim_id").agg(F.array_sort(F.collect_set("cpt_code")).alias("cpt"), F.count("*").alias("n_line"), F.sum("amount").alias("paid"))
+    # Children of other claims go before they are priced or gathered.
+    keys = own.select("claim_id")
+    ill = t.diagnoses.join(keys, "claim_id", "left_semi").groupBy("claim_id").agg(F.array_sort(F.collect_set("icd_code")).alias("icd"), F.count("*").alias("n_ill"))
+    line = price_lines(_lines(t).join(keys, "claim_id", "left_semi"), t.rvu, p).groupBy("claim_id").agg(F.array_sort(F.collect_set("cpt_code")).alias("cpt"), F.count("*").alias("n_line"), F.sum("amount").alias("paid"))
     y = x.join(ill, "claim_id", "left").join(line, "claim_id", "left")
     text = lambda c: F.when(dated & F.col(c).isNotNull(), F.array_join(c, ",")).otherwise("")
     return y.select(
@@ -96,17 +127,19 @@ def claims_for_validation(t: Tables, p: Params) -> DataFrame:
 
 def high_volume_stats(t: Tables, p: Params) -> DataFrame:
     own = staged(t, p).where(since("created_date", p.as_of_claims, p.window_days, "DAYS"))
-    return own.groupBy(truncated("hour", "created_date").alias("processing_hour"), "status").agg(
+    x, keys = own.withColumn("processing_hour", truncated("hour", "created_date")), ["processing_hour", "status"]
+    groups = x.groupBy(*keys).agg(
         F.count("*").alias("claim_count"), count_if(F.col("facility_validated")).alias("validated_count"), count_if(F.col("exported")).alias("exported_count"), total("total_charge").alias("total_charges"), mean("total_charge").alias("avg_charge"),
-        F.round(F.percentile(F.col("total_charge").cast("double"), F.lit(0.5)), 6).alias("median_charge"), F.count_distinct("facility_id").alias("unique_facilities"), F.count_distinct(F.substring("account", 1, 3)).alias("account_prefixes"),
+        F.count_distinct("facility_id").alias("unique_facilities"), F.count_distinct(F.substring("account", 1, 3)).alias("account_prefixes"),
     )
+    return with_percentiles(groups, x, keys, "total_charge", median_charge=0.5)
 
 
 def validation_summary(t: Tables, p: Params) -> DataFrame:
     own = t.validation_results.where(since("created_date", p.as_of_events, 7, "DAYS"))
-    return own.groupBy(truncated("hour", "created_date").alias("hour"), "validation_type", "validation_status").agg(
-        F.count("*").alias("n"), mean("processing_ms").alias("avg_ms"), F.round(F.percentile(F.col("processing_ms").cast("double"), F.lit(0.95)), 6).alias("p95_ms"), count_if(F.col("validation_status") == "FAILED").alias("failed_count"),
-    )
+    x, keys = own.withColumn("hour", truncated("hour", "created_date")), ["hour", "validation_type", "validation_status"]
+    groups = x.groupBy(*keys).agg(F.count("*").alias("n"), mean("processing_ms").alias("avg_ms"), count_if(F.col("validation_status") == "FAILED").alias("failed_count"))
+    return with_percentiles(groups, x, keys, "processing_ms", p95_ms=0.95)
 
 
 def facility_metrics(t: Tables, p: Params) -> DataFrame:

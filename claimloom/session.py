@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +19,17 @@ SETTINGS = {
 def build(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("claimloom").config(map=SETTINGS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once for each context, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_claimloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._claimloom_shipped = True

@@ -28,7 +28,7 @@ def test_moving_average_keeps_the_oldest_value(spark, weight):
     values = [1000.0] + [None if i % 7 == 3 else float(i % 5) for i in range(1, 600)]
     rows = [(k, n, start + timedelta(minutes=k), v) for n in ("a", "b", None) for k, v in enumerate([None, *values] if n == "b" else values)]
     points = spark.createDataFrame(rows, "point_id long, name string, ts timestamp_ntz, value double")
-    got = {(r.name, r.point_id): r.ema for r in monitoring.moving_average_exact(points, weight).collect()}
+    got = {(r.name, r.point_id): r.ema for r in monitoring.moving_average(points, weight).collect()}
     assert len(got) == len(rows)
     last, mean = object(), None
     for k, n, _, v in rows:
