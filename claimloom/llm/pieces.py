@@ -43,10 +43,32 @@ from .common import Batches, checkpointed, shuffle_width, slices, tidy, tokenize
 
 MARK = "▁"  # stands for a space inside pieces
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_MEMORY = 100_000
+_MEMORY, _PAIRS = 150_000, 300_000
 Piece = tuple[int, int, int]  # start, end, id
 
 
+class _Words(dict):
+    """Packed ids of words: those after a space, or those after a line's end. Two generations of short words are remembered."""
+
+    def __init__(self, model: Model, mark: str):
+        self.model, self.mark, self.older = model, mark, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word and self.model.lines:  # no piece holds a line's end, so the parts are segmented apart
+            first, *rest = word.split("\n")
+            return self.model.line_end.join([self[first], *map(self.model.after_line.__getitem__, rest)])
+        found = self.older.get(word)
+        if found is None:
+            text = self.mark + word
+            found = np.array(self.model.ids(text, self.model.path(text)), np.int32).tobytes()
+        if len(word) <= 64:
+            if len(self) >= _MEMORY:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Model:
     """Pieces, and what the model makes of a pair of them."""
 
@@ -65,9 +87,20 @@ class Model:
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.made: dict[int, bool] = {}
-        self.reach: dict[str, int] = {}  # length of the longest piece by its first two characters
+        sizes: dict[str, set[int]] = {}
         for p in self.pieces:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+            if len(p) > 3:
+                sizes.setdefault(p[:4], {1, 2, 3}).add(len(p))
+        #: Lengths of pieces by their first four characters, longest first; other pieces have three at most.
+        self.sizes = {p: tuple(sorted(own, reverse=True)) for p, own in sizes.items()}
+        self.lines = not any("\n" in p for p in self.pieces)
+        self.line_end = np.array([self.bytes[10]], np.int32).tobytes()
+        self.after_space, self.after_line = _Words(self, MARK), _Words(self, "")
+        self.shown = [n if i in self.scores else "" for i, n in enumerate(names)]
+        for b in range(128):  # a byte below 128 is a character of its own
+            self.shown[self.bytes[b]] = chr(b)
+        self.wide_bytes = np.zeros(size, bool)
+        self.wide_bytes[self.bytes[128:]] = True
 
     def normal(self, text: str) -> str:
         """The model's normal form: a leading space, and marks for spaces."""
@@ -96,7 +129,7 @@ class Model:
         if found is None:
             x, y = self.names[a], self.names[b]
             found = self.merge(x + y) == [x, y]
-            if len(self.pairs) > 4 * _MEMORY:
+            if len(self.pairs) > _PAIRS:
                 self.pairs.clear()
             self.pairs[key] = found
         return found
@@ -142,32 +175,30 @@ class Model:
         A place that a standing path reaches has just that path, so a place
         from which no step leads on is dead for good and the search is linear.
         """
-        n, pieces, reach, dead = len(text), self.pieces, self.reach, set()
+        n, pieces, sizes, dead = len(text), self.pieces, self.sizes, set()
         out: list[Piece] = []
-        at, last, end = 0, -1, 0
-        end = min(n, reach.get(text[:2], 1))
+        at, last, most = 0, -1, n  # most: where the next step may end
         while at < n:
             step = None
-            while end > at:
-                if end not in dead:
-                    i = pieces.get(text[at:end])
-                    if i is None:
-                        if end == at + 1:
-                            step = (at, end, -1)
-                            break
-                    elif self.whole(text[at:end], i) and (last < 0 or self.stands(last, i)):
-                        step = (at, end, i)
-                        break
-                end -= 1
+            for size in sizes.get(text[at : at + 4], (3, 2, 1)):
+                end = at + size
+                if end > most or end in dead:
+                    continue
+                i = pieces.get(text[at:end])
+                if i is None:
+                    if size == 1:
+                        step = (at, end, -1)
+                elif self.whole(text[at:end], i) and (last < 0 or self.stands(last, i)):
+                    step = (at, end, i)
+                    break
             if step is None:
                 dead.add(at)
                 at, end, _ = out.pop()
-                end -= 1
+                most = end - 1
                 last = out[-1][2] if out else -1
                 continue
             out.append(step)
-            at, last = end, step[2]
-            end = min(n, at + reach.get(text[at : at + 2], 1))
+            at, last, most = step[1], step[2], n
         return out
 
     def ids(self, text: str, path: Sequence[Piece]) -> list[int]:
@@ -189,6 +220,12 @@ class Model:
             out += self.known.get(u) or self.unit(u)
         return out
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        if self.crossing or "  " in text or MARK in text or text[:1] == " " or text[-1:] == " ":
+            return np.array(self.encode(text), np.int32).tobytes()
+        return b"".join(map(self.after_space.__getitem__, text.split(" "))) if text else b""
+
     # -- chunks of giant texts -----------------------------------------------------------
 
     def _clean(self, text: str, at: int) -> bool:
@@ -264,8 +301,14 @@ class Model:
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; bytes join into characters, and the leading space goes."""
+        own = np.asarray(ids)
+        if not len(own):
+            return ""
+        if own.min() >= 0 and own.max() < len(self.shown) and not self.wide_bytes[own].any():
+            text = "".join(map(self.shown.__getitem__, own.tolist())).replace(MARK, " ")
+            return text[1:] if text[:1] == " " else text
         parts, raw = [], bytearray()
-        for i in ids:
+        for i in own.tolist():
             b = self.byte_of.get(i)
             if b is not None:
                 raw.append(b)
@@ -343,9 +386,11 @@ def _encode_small(path: str, batches: Batches) -> Batches:
         raw, offsets = utf8(batch.column(1))
         for a, b in slices(offsets, 1 << 20):
             texts = batch.column(1).slice(a, b - a).to_pylist()
-            ids = [own.encode(t or "") for t in texts]
-            back = [own.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], ["doc_id", "digest", "pieces", "round_trip"])
+            ids = [own.packed(t or "") for t in texts]
+            back = [own.decode(np.frombuffer(i, np.int32)) == (t or "") for i, t in zip(ids, texts, strict=True)]
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+            pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pieces, pa.array(back)], ["doc_id", "digest", "pieces", "round_trip"])
 
 
 def _cut(path: str, chunk: int, batches: Batches) -> Batches:

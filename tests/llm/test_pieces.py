@@ -52,3 +52,33 @@ def test_rows(spark, both, odd, empty):
     plain = [r.text or "" for r in odd.collect() if "▁" not in (r.text or "")]
     assert all(back[hashlib.sha256(t.encode()).hexdigest()] == t for t in plain)
     assert encode_pieces(empty).count() == 0
+
+
+def test_one_path_stands(both):
+    """Of all ways to cut a text into pieces just one has neighbours that all stand: the model's own."""
+    m, library = both
+    rng = random.Random(6)
+
+    def paths(text, at, before):
+        if at == len(text):
+            return [[]]
+        return [[p, *rest] for p in m.starting(text, at, len(text)) if m.follows(before, p) for rest in paths(text, p[1], p)]
+
+    for _ in range(150):
+        text = "".join(rng.choice("abcdeing é0▁") for _ in range(rng.randrange(1, 12)))
+        found = paths(m.normal(text), 0, None)
+        assert len(found) == 1 and m.ids(m.normal(text), found[0]) == library.encode(text)
+
+
+def test_all_documents_go_through_chunks(spark, both, path):
+    """With every text a giant of short chunks, the scan gives the public encoder's pieces for the whole table."""
+    _, library = both
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("length(text) > 0")
+    got = {r.doc_id: (tuple(r.pieces), r.round_trip) for r in encode_pieces(docs, giant=0, chunk=400).collect()}
+    assert got == {r.doc_id: (tuple(library.encode(r.text)), True) for r in docs.collect()}
+
+
+def test_clashing_names(spark):
+    encoded = spark.createDataFrame([(1, [22172, 3186], "old"), (2, None, "old")], "id int, pieces array<int>, text string")
+    got = decode_pieces(encoded)
+    assert got.columns == ["id", "pieces", "text"] and [r.text is None for r in got.orderBy("id").collect()] == [False, True]
