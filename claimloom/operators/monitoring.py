@@ -92,7 +92,10 @@ def recovery_effectiveness(errors: DataFrame) -> DataFrame:
 
 
 def operation_stats(points: DataFrame, keep: int = 1000) -> DataFrame:
-    """Each operation over its last `keep` points: counts, range, mean, success rate."""
+    """Each operation over its last `keep` points: counts, range, mean, success rate.
+
+    Spark keeps the last points of each task before it shuffles, up to 1,000 for a key.
+    """
     place = F.row_number().over(Window.partitionBy("name", "bucket").orderBy(F.desc("ts"), F.desc("point_id")))
     x = points.withColumn("bucket", F.col("labels")["bucket"]).withColumn("_place", place).where(F.col("_place") <= keep)
     good = F.count_if(F.col("value") < 100)
@@ -104,9 +107,33 @@ def keep_last(points: DataFrame, n: int, key: str = "name") -> DataFrame:
     return points.withColumn("place", place).where(F.col("place") <= n)
 
 
-def rolling_mean(points: DataFrame, n: int = 100, key: str = "name") -> DataFrame:
-    own = Window.partitionBy(key).orderBy("ts", "point_id").rowsBetween(1 - n, 0)
-    return points.withColumn("rolling_avg", F.sum("value").over(own).cast("double") / F.count("value").over(own))
+def _blocks(points: DataFrame, key: str, block: str) -> tuple[DataFrame, Column]:
+    """Rows with the time block that they fall in, and the columns that tell a key's blocks apart, nulls included."""
+    x = points.withColumn("_block", F.date_trunc(block, "ts"))
+    return x, F.struct(F.col(key).alias("k"), F.col("_block").alias("b"))
+
+
+def rolling_mean(points: DataFrame, n: int = 100, key: str = "name", block: str = "hour", chunk: int = 100_000) -> DataFrame:
+    """Mean of each row and the n - 1 before it. Null values don't count; repeated places count in any order.
+
+    Rows are numbered by block counts and their running sums, cut into chunks of
+    `chunk` numbers, and the last n - 1 of a chunk also go to the next one, so a
+    key with a third of all rows is spread over its chunks.
+    """
+    x, name = _blocks(points, key, block)
+    x = x.withColumn("_name", name)
+    counts = x.groupBy("_name").agg(F.count("*").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy("_name.k").orderBy("_name.b"))
+    before = counts.select(F.col("_name").alias("_at"), (upto - F.col("_rows")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_name").orderBy("ts", "point_id")) - 1
+    x = x.withColumn("_inner", inner).join(before, F.col("_name").eqNullSafe(F.col("_at"))).withColumn("_place", F.col("_before") + F.col("_inner"))
+    size = max(chunk, n)
+    own = F.floor(F.col("_place") / size)
+    late = F.col("_place") % size > size - n
+    x = x.withColumn("_own", own).withColumn("_chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(key, "_chunk").orderBy("_place").rowsBetween(1 - n, 0)
+    rolled = x.withColumn("rolling_avg", F.sum("value").over(frame).cast("double") / F.count("value").over(frame))
+    return rolled.where("_chunk = _own").select(*points.columns, "rolling_avg")
 
 
 def moving_average(points: DataFrame, weight: float = 0.1, key: str = "name", block: str = "hour") -> DataFrame:
@@ -160,20 +187,44 @@ def moving_average(points: DataFrame, weight: float = 0.1, key: str = "name", bl
 
 
 def trailing_rate(points: DataFrame, seconds: int = 300, key: str = "name") -> DataFrame:
-    """Points of the last seconds (start excluded) over the time they span, one second at least."""
-    epoch = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = Window.partitionBy(key).orderBy("_at").rangeBetween(1 - seconds * 1_000_000, 0)
-    x = points.withColumn("_at", epoch)
-    span = F.greatest((F.col("_at") - F.min("_at").over(own)) / F.lit(1e6), F.lit(1.0))
-    return x.withColumn("rate", F.count("*").over(own) / span).drop("_at")
-
-
-def streaks(results: DataFrame, key: str = "name") -> DataFrame:
-    """Failures in a row up to each point: runs are numbered by the successes before them."""
-    own = Window.partitionBy(key).orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = results.withColumn("run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(own))
-    inner = Window.partitionBy(key, "run").orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("streak", F.sum(F.col("failed").cast("int")).over(inner)).drop("run")
+    """Points of the last seconds (start excluded) over the time they span, one second at least.
+
+    Time is cut into ranges of twelve times `seconds`; the points of a range's
+    last `seconds` also go to the next one, so no key is one task's work. Points
+    without a time count among themselves and have no rate.
+    """
+    reach = seconds * 1_000_000
+    width = 12 * reach
+    x = points.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    own = F.floor(F.col("_at") / width)
+    late = F.pmod(F.col("_at"), F.lit(width)) > width - reach
+    x = x.withColumn("_own", own).withColumn("_range", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(key, "_range").orderBy("_at").rangeBetween(1 - reach, 0)
+    span = F.greatest((F.col("_at") - F.min("_at").over(frame)) / F.lit(1e6), F.lit(1.0))
+    rate = F.when(F.col("_at").isNotNull(), F.count("*").over(frame) / span)
+    return x.withColumn("rate", rate).where(F.col("_range").eqNullSafe(F.col("_own"))).select(*points.columns, "rate")
+
+
+def streaks(results: DataFrame, key: str = "name", block: str = "hour") -> DataFrame:
+    """Failures in a row up to each point; an unknown outcome ends a row as a success does.
+
+    Each block of time counts on its own; rows before a block's first success
+    also take what the blocks before it carry over, summed over blocks only.
+    """
+    x, name = _blocks(results, key, block)
+    x = x.withColumn("_name", name).withColumn("_bad", F.coalesce(F.col("failed"), F.lit(False)).cast("long"))
+    order = Window.partitionBy("_name").orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_run", F.sum(1 - F.col("_bad")).over(order))
+    inner = Window.partitionBy("_name", "_run").orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_streak", F.sum("_bad").over(inner))
+    runs = x.groupBy("_name", "_run").agg(F.sum("_bad").alias("_tail"))
+    ends = runs.groupBy("_name").agg(F.max("_run").alias("_good"), F.max_by("_tail", "_run").alias("_tail"))
+    keyed = Window.partitionBy("_name.k").orderBy("_name.b")
+    ends = ends.withColumn("_series", F.sum((F.col("_good") > 0).cast("long")).over(keyed))
+    ends = ends.withColumn("_out", F.sum("_tail").over(Window.partitionBy("_name.k", "_series").orderBy("_name.b")))
+    carried = ends.select(F.col("_name").alias("_place"), F.coalesce(F.lag("_out").over(keyed), F.lit(0)).alias("_carry"))
+    joined = x.join(carried, F.col("_name").eqNullSafe(F.col("_place")))
+    return joined.withColumn("streak", F.col("_streak") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(0)).select(*results.columns, "streak")
 
 
 Breaker = tuple[str, int, int, float]  # state, failures and successes in a row, when it opened
