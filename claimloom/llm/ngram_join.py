@@ -320,6 +320,11 @@ def _partner_buckets(percent: int) -> Column:
     return F.when(F.floor(high) >= F.ceil(low), reach).otherwise(F.array().cast("array<bigint>"))
 
 
+def _excess(percent: int) -> Column:
+    """How far a row's own n-grams go beyond its half of what a link allows; the sum over a link's two rows is 0 at most."""
+    return (100 + percent) * F.col("alone") - (100 - percent) * F.col("n")
+
+
 def _bounds(percent: int) -> Column:
     """What sizes and places leave possible for the rows named _a and _b that meet in a column."""
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
@@ -355,9 +360,11 @@ def ngram_jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5, id
 
     # Columns that still meet several components.
     labelled = prefix.join(broadcast_if_small(first.select(F.col("node").alias("uid"), "label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    sizes = labelled.groupBy("gram", "label").agg(F.count("*").alias("rows"))
-    mixed = sizes.groupBy("gram").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
-    open_rows = labelled.join(mixed.select("gram", "largest"), "gram").join(sets.select("uid", "sketch"), "uid")
+    labelled = labelled.withColumn("excess", _excess(percent))
+    sizes = labelled.groupBy("gram", "label").agg(F.count("*").alias("rows"), F.min("excess").alias("least"))
+    mixed = sizes.groupBy("gram").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.min("least").alias("least"), F.count("*").alias("labels")).where("labels > 1")
+    # Rows that not even the best partner of their column can reach the bound with go before any pair is formed.
+    open_rows = labelled.join(mixed.select("gram", "largest", "least"), "gram").where("excess + least <= 0").drop("excess", "least").join(sets.select("uid", "sketch"), "uid")
     open_rows = checkpointed(open_rows)
     one = open_rows.where("label <> largest").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("uid", "label", "n", "left", "alone", "sketch")])
     one = one.withColumn("bucket_a", F.explode(_partner_buckets(percent)))
