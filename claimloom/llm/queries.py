@@ -79,6 +79,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "row.n_tokens", count_tokens().alias("n_tokens_edited"), "n_recounted", "n_edits")
 
 
+def secret_scans_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4 that SQL can express."""
+    return op4_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_scans_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def media_columns_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -90,6 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
+    "secret_scans_base": secret_scans_base,
+    "quality_rules_base": quality_rules_base,
+    "license_scans_base": license_scans_base,
+    "media_columns_base": media_columns_base,
 }
 
 ORACLE: dict[str, str] = {
@@ -121,5 +145,39 @@ due AS (
     ELSE 2.0::DOUBLE * demand / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * demand)) END AS moment FROM taken)
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, passes::INTEGER AS passes,
   CASE WHEN passes > 0 THEN round(least(greatest(moment, 0.0::DOUBLE), 1.0::DOUBLE), 9) END AS position FROM due
+""",
+    "secret_scans_base": r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24))::BIGINT AS n_hex
+FROM documents
+""",
+    "quality_rules_base": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS place FROM docs),
+runs AS (SELECT r, place, word AS a, lead(word) OVER w AS b, lead(word, 2) OVER w AS c FROM found WINDOW w AS (PARTITION BY r ORDER BY place)),
+twice AS (SELECT r, place FROM (SELECT r, place, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM runs WHERE c IS NOT NULL) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT place + step)::BIGINT AS n FROM twice, (VALUES (0), (1), (2)) s(step) GROUP BY r),
+counted AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM docs LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+""",
+    "license_scans_base": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+found AS (SELECT r, unnest(words) AS a, generate_subscripts(words, 1) - 1 AS place FROM docs),
+ahead AS (SELECT r, place, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d FROM found WINDOW w AS (PARTITION BY r ORDER BY place)),
+places AS (
+  SELECT r, place, CASE WHEN a = 'gnu' AND b = 'general' AND c = 'public' AND d = 'license' THEN 'gpl' WHEN a = 'apache' AND b = 'license' THEN 'apache' WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'mit' AND b = 'license' THEN 'mit' END AS label FROM ahead),
+each AS (SELECT r, count(*) AS n, min(place) AS first, max(place) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places WHERE label IS NOT NULL GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM docs LEFT JOIN each USING (r)
+""",
+    "media_columns_base": r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+sized AS (SELECT *, octet_length(bytes)::BIGINT AS n_bytes FROM docs),
+padded AS (SELECT *, greatest(1, (n_bytes + 575) // 576) * 576 AS payload_bytes FROM sized)
+SELECT doc_id, n_bytes, payload_bytes::BIGINT AS payload_bytes, sha256(bytes || repeat('\xFF'::BLOB, payload_bytes - n_bytes)) AS payload_sha256 FROM padded
 """,
 }
