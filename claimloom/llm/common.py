@@ -93,8 +93,15 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
-def _release() -> None:
-    """Gives a Python worker's free memory back, since Spark keeps idle workers for the next stage."""
+#: How to forget what a module remembers between the tasks of a worker.
+REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def _release(module: str) -> None:
+    """Forgets what modules other than this one remember and gives free memory back, since Spark keeps idle workers for the next stage."""
+    for name, forget in REMEMBERED.items():
+        if name != module:
+            forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(ctypes.CDLL(None), "malloc_trim"):
@@ -102,14 +109,19 @@ def _release() -> None:
 
 
 def tidy(run: Callable[..., Batches], *settings: object) -> Callable[[Batches], Batches]:
-    """run(*settings, batches) for mapInArrow; its memory is given back when a task ends."""
+    """run(*settings, batches) for mapInArrow.
+
+    Its memory is given back when a task ends, and what other operators left in
+    the worker when one begins; only what its own module remembers stays.
+    """
 
     @wraps(run)
     def whole(batches: Batches) -> Batches:
+        _release(run.__module__)
         try:
             yield from run(*settings, batches)
         finally:
-            _release()
+            _release(run.__module__)
 
     return whole
 

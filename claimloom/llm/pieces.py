@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Batches, checkpointed, shuffle_width, slices, tidy, tokenizer_file, utf8
+from .common import REMEMBERED, Batches, checkpointed, shuffle_width, slices, tidy, tokenizer_file, utf8
 
 MARK = "▁"  # stands for a space inside pieces
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -329,6 +329,9 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+REMEMBERED[__name__] = model.cache_clear
+
+
 def compose(one: Sequence[int], two: Sequence[int]) -> list[int]:
     """The max-plus product of two transfer matrices (each a list of left-state bits by right state)."""
     out = []

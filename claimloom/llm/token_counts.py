@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, slices, tidy, tokenizer_file, utf8
+from .common import REMEMBERED, Batches, slices, tidy, tokenizer_file, utf8
 
 #: Fixed value: the split that the 50k byte-pair vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -78,6 +78,9 @@ def counter(path: str, pattern: str = SPLIT) -> Counter:
     return Counter(path, pattern)
 
 
+REMEMBERED[__name__] = counter.cache_clear
+
+
 def heap(leaves: np.ndarray) -> np.ndarray:
     """Sums above the leaves: node k has the children 2k and 2k + 1, node 1 is the root, the leaves fill the second half."""
     size = 1 << (max(1, len(leaves)) - 1).bit_length()
