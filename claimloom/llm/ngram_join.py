@@ -47,6 +47,7 @@ from .components import components
 from .words import U, mix, windows, words
 
 BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 64 << 20
 _NONE = 0xFFFF
 _ROWS = "block long, batch long, payload binary"
@@ -142,7 +143,12 @@ def _incidence(width: int, bits: int, batches: Batches) -> Batches:
     task = TaskContext.get().partitionId()
     most = min(64 << 20, max(BATCH_BYTES, (1 << bits) * 64))
     for serial, (ids, raw, offsets) in enumerate(_gathered(batches, most)):
-        yield from _one((task << 24) + serial, ids, *gram_sets(raw, offsets, width), bits)
+        sets, sizes = [], []
+        for a, b in slices(offsets, SLICE_BYTES):
+            own = gram_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+            sets += own[0]
+            sizes += own[1]
+        yield from _one((task << 24) + serial, ids, sets, sizes, bits)
 
 
 def _one(name: int, ids: pd.Series, sets: list[np.ndarray], sizes: list[int], bits: int) -> Batches:
