@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
+from .hard_negatives import mine_hard_negatives
 from .langid import identify_languages, learn
+from .lexical import search_documents
 from .licenses import scan_licenses
 from .matroska import media_digests
 from .mixing import mix_sources, with_sizes
 from .ngram_join import ngram_jaccard_classes
 from .pieces import encode_pieces
 from .quality import apply_quality_rules, learn_rules
+from .repeats import cut_repeats
 from .secrets import scan_secrets
 from .token_counts import count_tokens, edit_trees, token_trees
 from .toxicity import score_toxicity
@@ -79,6 +82,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "row.n_tokens", count_tokens().alias("n_tokens_edited"), "n_recounted", "n_edits")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row whose vec_id is divisible by 7 has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label, positives=5, negatives=10, low_percent=30, high_percent=90, scale=256)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def secret_scans_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op4 that SQL can express."""
     return op4_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -110,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
     "secret_scans_base": secret_scans_base,
     "quality_rules_base": quality_rules_base,
     "license_scans_base": license_scans_base,
@@ -145,6 +166,50 @@ due AS (
     ELSE 2.0::DOUBLE * demand / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * demand)) END AS moment FROM taken)
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, passes::INTEGER AS passes,
   CASE WHEN passes > 0 THEN round(least(greatest(moment, 0.0::DOUBLE), 1.0::DOUBLE), 9) END AS position FROM due
+""",
+    "op11_hard_negatives": r"""
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+met AS (
+  SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 10
+""",
+    "op12_lexical_search": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT r, doc_id, len(terms)::BIGINT AS n, terms FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sized),
+postings AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term),
+items AS (
+  SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+scored AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), whole GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op13_suffix_array_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS (SELECT r, p, md5(b[p + 1:p + 200]) AS k FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS p FROM docs WHERE octet_length(b) >= 200)),
+again AS (SELECT r, p FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT r, p, CASE WHEN p - 200 <= lag(p) OVER w THEN 0 ELSE 1 END AS fresh FROM again WINDOW w AS (PARTITION BY r ORDER BY p)),
+numbered AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+runs AS (SELECT r, run, min(p) AS a, max(p) + 200 AS e FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM runs),
+cut AS (SELECT r, count(*)::BIGINT AS n_spans, sum(e - a)::BIGINT AS n_removed, max(e) AS last, string_agg(hex(b[since + 1:a]), '' ORDER BY a) AS head FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '')) || b[coalesce(last, 0) + 1:]) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
 """,
     "secret_scans_base": r"""
 SELECT doc_id,
