@@ -28,7 +28,10 @@ SECOND = ["du", "dein", "deine", "dich", "dir", "ihr", "euch", "te", "ti", "toi"
 _LETTER = [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]
 _WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if b in set(_LETTER) else 32 for b in range(256))
 _LEET = bytes.maketrans(b"0134578@$!*", b"oieastbasii")
-_ODD = re.compile(rb"(?<![a-z0-9@$!*])(?=[a-z0-9@$!*._-]*[0-9@$!*._-][a-z])[a-z@$](?:[a-z0-9@$!*]|[._-](?=[a-z0-9])){2,30}")
+#: A run of letters, digits and marks that stand for letters, with single dots or dashes inside; plain words don't match. All
+#: repeats are possessive and a run is entered at its start only, so that the search is linear in the text.
+_RUN = re.compile(rb"(?<![a-z0-9@$!*])(?:[a-z]++(?=[0-9@$!*]|[._-][a-z0-9])|[@$])(?:[a-z0-9@$!*]|[._-](?=[a-z0-9]))*+")
+_TRICK = re.compile(rb"[0-9@$!*._-][a-z]")
 _HEAD = 5
 FEATURES = 13
 
@@ -42,6 +45,11 @@ def _terms(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def obfuscated(text: bytes) -> list[bytes]:
+    """Whole runs of three characters or more in which a digit, mark, dot or dash stands before a letter."""
+    return [run for run in _RUN.findall(text.lower()) if len(run) > 2 and _TRICK.search(run)]
+
+
 def features(text: bytes, lexicon: Lexicon, second: frozenset[bytes] = frozenset(w.encode() for w in SECOND)) -> list[float]:
     terms = _terms(text)
     n = max(1, len(terms))
@@ -54,10 +62,10 @@ def features(text: bytes, lexicon: Lexicon, second: frozenset[bytes] = frozenset
         at = [k for k, w in enumerate(terms) if w in hits or w in heads]
         near = sum(not second.isdisjoint(terms[max(0, k - 4) : k + 5]) for k in at)
     odd = tricked = 0
-    for found in _ODD.finditer(text.lower()):
+    for found in obfuscated(text):
         odd += 1
-        plain = found[0].translate(_LEET, b"._-")
-        tricked += plain in weights and found[0] not in weights
+        plain = found.translate(_LEET, b"._-")
+        tricked += plain in weights and found not in weights
     tally = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     letters = max(1, int(tally[65:91].sum() + tally[97:123].sum() + tally[128:].sum()))
     size = max(1, len(text))
