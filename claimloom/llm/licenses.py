@@ -5,8 +5,9 @@ knows all places where it stands. A text's tokens stream through it and yield
 matching statistics: at each token the longest run ending there that some
 template contains; suffix links give the shorter runs that other templates or
 places share. Runs of `least` tokens or more are chained in the order of text
-and template into covered spans; the share of a template's tokens that its best
-chain covers is its score.
+and template into covered spans. A token weighs the more the fewer labels have
+it in a template, so that words all licences use don't make one; the share of a
+template's weight that its best chain covers is its score.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .words import U, digest, words
 #: Bytes that part words (all of ASCII but digits and letters) become spaces, capitals small letters.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+_ROUNDING = 1e-10
 Run = tuple[int, int, int]  # start in the text, start in the template, tokens
 Span = tuple[int, int, int, int]  # start and end in the text, start and end in the template
 
@@ -178,6 +180,7 @@ class Scanner:
     automaton: Automaton
     labels: list[str]
     sizes: list[int]
+    weights: list[np.ndarray]  # of each template's tokens, 1 together
     vocabulary: np.ndarray
     phrases: list[tuple[str, list[int]]]
     least: int
@@ -186,7 +189,7 @@ class Scanner:
 
 
 def build(templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, least: int = 3, share: float = 0.6, gap: int = 12) -> Scanner:
-    """least: tokens of a long match; share: of a template's tokens to report it; gap: text tokens between matches of one chain.
+    """least: tokens of a long match; share: of a template's weight to report it; gap: text tokens between matches of one chain.
 
     Templates and phrases are (label, text); several may have one label. A
     template of fewer than `least` tokens is never found.
@@ -196,8 +199,15 @@ def build(templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tu
     for k, sequence in enumerate(found):
         automaton.add(k, sequence)
     automaton.finish()
+    having: dict[int, set[str]] = {}
+    for (label, _), sequence in zip(templates, found, strict=True):
+        for token in sequence:
+            having.setdefault(token, set()).add(label)
+    every = len({label for label, _ in templates})
+    weights = [np.log([(1 + every) / len(having[t]) for t in s]) for s in found]
+    weights = [w / w.sum() if len(w) else w for w in weights]
     vocabulary = np.unique(np.array([h for s in found for h in s], U))
-    return Scanner(automaton, [label for label, _ in templates], [len(s) for s in found], vocabulary, [(label, tokens(text)) for label, text in phrases], least, share, gap)
+    return Scanner(automaton, [label for label, _ in templates], [len(s) for s in found], weights, vocabulary, [(label, tokens(text)) for label, text in phrases], least, share, gap)
 
 
 def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -219,11 +229,12 @@ def covered(sequence: np.ndarray, known: np.ndarray, scanner: Scanner) -> list[t
                 runs.setdefault(template, []).extend((a + x, y, n) for x, y, n in own)
     claims = []
     for template, own in runs.items():
-        size = scanner.sizes[template]
-        if len({c + k for _, c, n in own for k in range(n)}) >= scanner.share * size:
-            cells = chain(own, size, scanner.gap)
-            if len(cells) >= scanner.share * size:
-                claims.append((-len(cells), -len(cells) / size, scanner.labels[template], cells))
+        weights = scanner.weights[template]
+        if weights[list({c + k for _, c, n in own for k in range(n)})].sum() >= scanner.share - _ROUNDING:
+            cells = chain(own, scanner.sizes[template], scanner.gap)
+            share = min(1.0, float(weights[[j for _, j in cells]].sum()) + _ROUNDING)
+            if share >= scanner.share:
+                claims.append((-len(cells), -round(share, 9), scanner.labels[template], cells))
     out: dict[str, tuple[float, list[Span]]] = {}
     owner: dict[int, str] = {}
     for n, share, label, cells in sorted(claims):
@@ -304,7 +315,7 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str =
     words, no labels, no spans and score 0. Overlapping places of phrases all
     count. Repeated rows give repeated rows; other columns are ignored. An empty
     table gives an empty table. The score is 1 with a base phrase, else the
-    largest share of a template that is covered, from scanner.share up, else 0.
+    largest share of a template's weight that is covered, from scanner.share up, else 0.
     """
     scanner = scanner or build()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))

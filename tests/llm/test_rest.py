@@ -212,6 +212,56 @@ def test_toxicity_of_held_out_texts(spark):
     assert sum(got[i].predicted for i in held if not labels[i]) <= 0.05 * len(held)
 
 
+def plain_features(text, lexicon):
+    """The same features by loops over characters and words."""
+    word, terms = b"", []
+    for c in text + b" ":
+        if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128:
+            word += bytes([c + 32 if 65 <= c <= 90 else c])
+        elif word:
+            terms.append(word)
+            word = b""
+    weights, n = lexicon.weights, max(1, len(terms))
+    whole = [w for w in terms if w in weights]
+    begun = [w for w in terms if w not in weights and len(w) > 5 and b"^" + w[:5] in weights]
+    near = sum(any(t.decode(errors="ignore") in toxicity.SECOND for t in terms[max(0, k - 4) : k + 5]) for k, w in enumerate(terms) if w in whole or w in begun)
+    low, runs, at = text.lower(), [], 0
+    inner = b"abcdefghijklmnopqrstuvwxyz0123456789@$!*"
+    while at < len(low):
+        if low[at] in b"abcdefghijklmnopqrstuvwxyz@$" and (at == 0 or low[at - 1] not in inner):
+            end = at
+            while end < len(low) and (low[end] in inner or (end > at and low[end] in b"._-" and end + 1 < len(low) and chr(low[end + 1]).isalnum() and low[end + 1] < 128)):
+                end += 1
+            runs.append(low[at:end])
+            at = max(end, at + 1)
+        else:
+            at += 1
+    runs = [r for r in runs if len(r) > 2 and any(a in b"0123456789@$!*._-" and 97 <= b <= 122 for a, b in zip(r, r[1:], strict=False))]
+    swap = dict(zip(b"0134578@$!*", b"oieastbasii", strict=True))
+    tricked = sum(p in weights and r not in weights for r in runs for p in [bytes(swap.get(c, c) for c in r if c not in b"._-")])
+    count = lambda test: sum(map(test, text))
+    letters = max(1, count(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128))
+    size, h, b = max(1, len(text)), len(whole), len(begun)
+    mass = sum(weights[w] for w in whole) + sum(weights[b"^" + w[:5]] for w in begun)
+    marks = count(lambda c: 33 <= c < 127 and not chr(c).isalnum())
+    return [h / n, b / n, np.log1p(h), np.log1p(b), near / n, mass / n, tricked / n, len(runs) / n, count(lambda c: 65 <= c <= 90) / letters, count(lambda c: c in b"!?") / size, marks / size, count(lambda c: 48 <= c <= 57) / size, np.log1p(len(terms))]
+
+
+def test_features_equal_plain_counts(spark, path):
+    lexicon = toxicity.Lexicon({b"idiot": 3.0, b"trash": 2.0, b"stupid": 1.5, b"^moron": 2.5, b"die": 1.0})
+    texts = [b"You id10t, st.u.p.i.d! u are trash... h3llo me@x.org MORONIC moron3", b"", b"@.", b"a1b2c3 -x- $tup1d !!! @ss", "tu es un idiot é.a-b".encode()]
+    texts += [(r.text or "").encode() for r in table(spark, path, "documents").limit(60).collect()]
+    for text in texts:
+        assert np.allclose(toxicity.features(text, lexicon), plain_features(text, lexicon)), text
+
+
+@pytest.mark.parametrize("unit", ["@.", "a.", "a-1", "a", "1a", "@", "$x!", "a.-"])
+def test_features_take_linear_time(unit):
+    began = time.time()
+    toxicity.features((unit * 300_000)[:300_000].encode(), toxicity.Lexicon({b"idiot": 1.0}))
+    assert time.time() - began < 5
+
+
 def test_toxicity_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert len(toxicity.score_toxicity(odd, none).collect()) == odd.count()
@@ -326,6 +376,23 @@ def test_template_with_edits_is_found():
     assert label == "bsd" and 0.6 <= score < 1
 
 
+PROSE = [
+    "The ship was released under the name of the Queen.", "The album was released under the label of a friend and sold well.", "She said that this work is licensed under no terms at all.",
+    "This work is licensed under the terms of a treaty.", "You may not use this file to open the box.", "you may not use this file except in compliance with the wishes of its owner",
+    "It is distributed in the hope that it will be useful, and all rights are kept.", "In no event shall the king be liable for any claim or damages of his guests.",
+    "Permission is hereby granted to enter the garden free of charge to any person who asks.", "Redistributions of food in winter must retain the above notice.",
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_has_no_licence(text):
+    assert scanned(f"Once upon a time. {text} And so on.", licenses.build()) == ("", 0.0, [])
+
+
+def test_words_of_one_licence_do_not_make_another():
+    assert scanned("Released under the Apache License", licenses.build())[0] == "apache"
+
+
 @pytest.mark.parametrize("label,text", licenses.TEMPLATES)
 def test_each_template_gives_its_label(label, text):
     base = {x for x, p in licenses.PHRASES if re.search(rf"\b{p}\b", text.lower())}
