@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, broadcast_if_small, checkpointed, held_out, slices, spread, tidy, utf8
+from .common import Batches, broadcast_if_small, checkpointed, column, held_out, slices, spread, tidy, utf8
 
 WIDTHS = (2, 3, 4)
 WINDOW = 256
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, train_rows: int = 3_000, id_col: str = "doc_id", text
     about an equal share of them (all its texts if it has fewer), in a fixed
     pseudo-random order. None without such rows.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    named = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
     known = named.where(F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("text").rlike(r"\p{L}"))
     counts = checkpointed(known.groupBy("lang").agg(F.count("*").alias("n")))
     langs = counts.count()
@@ -207,5 +207,5 @@ def identify_languages(docs: DataFrame, net: Network | None, id_col: str = "doc_
     and id never enter a prediction. Repeated rows give equal rows; extra columns
     are ignored. An empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("lettered"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), held_out(column(id_col)).alias("held_out"), column(text_col).alias("text"), column(text_col).rlike(r"\p{L}").alias("lettered"))
     return rows.mapInArrow(tidy(_apply, net), "doc_id long, held_out boolean, lang_pred string, score double")

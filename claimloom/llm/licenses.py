@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, slices, tidy, utf8
+from .common import Batches, column, slices, tidy, utf8
 from .license_texts import PHRASES, TEMPLATES
 from .words import U, digest, words
 
@@ -318,6 +318,6 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str =
     largest share of a template's weight that is covered, from scanner.share up, else 0.
     """
     scanner = scanner or build()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, license_spans array<struct<label:string,start:bigint,stop:bigint,template_start:bigint,template_stop:bigint>>"
     return rows.mapInArrow(tidy(_scan, scanner), schema)

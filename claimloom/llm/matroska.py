@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, tidy
+from .common import Batches, column, tidy
 
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
@@ -289,7 +289,7 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     values. Repeated rows give repeated rows; other columns are ignored. An
     empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col))
     return rows.mapInArrow(tidy(_digests), f"doc_id long, {_DIGEST}")
 
 

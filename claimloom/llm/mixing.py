@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, column
 
 #: Relative weight at even moments from the start to the end of training, in turn as the weights are.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -32,9 +32,9 @@ SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 
 def with_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """(id, source, size, row): size counts words, row holds all columns if they are carried."""
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if carry else F.lit(None).cast("struct<unused:int>")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("row"))
+    row = F.struct(*[column(c).alias(c) for c in docs.columns]) if carry else F.lit(None).cast("struct<unused:int>")
+    size = F.coalesce(F.regexp_count(column(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(column(id_col).alias("id"), column(source_col).alias("source"), size.alias("size"), row.alias("row"))
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:

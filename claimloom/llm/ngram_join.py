@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Batches, broadcast_if_small, checkpointed, join_hot, shuffle_width, slices, tidy, utf8
+from .common import Batches, broadcast_if_small, checkpointed, column, join_hot, shuffle_width, slices, tidy, utf8
 from .components import components
 from .words import U, mix, windows, words
 
@@ -304,7 +304,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _members(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """Each document, and the shared n-grams of those that may link. Its own frames end with it, and so do their shuffle files."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     # Blocks of about BLOCK_BYTES of text: their number follows the data, and the session's partitions from below.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (4 * shuffle_width(docs.sparkSession) - 1).bit_length(), (size // BLOCK_BYTES).bit_length())

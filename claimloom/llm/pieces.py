@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import REMEMBERED, Batches, checkpointed, shuffle_width, slices, tidy, tokenizer_file, utf8
+from .common import Batches, REMEMBERED, checkpointed, column, shuffle_width, slices, tidy, tokenizer_file, utf8
 
 MARK = "▁"  # stands for a space inside pieces
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -438,8 +438,8 @@ def encode_pieces(docs: DataFrame, folder: str | None = None, file: str = "piece
     empty table.
     """
     path = tokenizer_file(file, folder)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
     small = rows.where(F.length("text") <= giant).mapInArrow(tidy(_encode_small, path), "doc_id long, digest string, pieces array<int>, round_trip boolean")
     long = rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id())
     chunks = checkpointed(long.mapInArrow(tidy(_cut, path, chunk), f"{_HEAD}, window string, a long, b long"))

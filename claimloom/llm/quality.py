@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Batches, slices, spread, tidy, utf8
+from .common import Batches, SPACES, column, slices, spread, tidy, utf8
 from .words import windows, words
 
 _SYMBOL = np.zeros(256, bool)
@@ -92,7 +92,7 @@ def _measure(batches: Batches) -> Batches:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and COUNTS of every text; null texts have none of anything."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col))
     return rows.mapInArrow(tidy(_measure), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
@@ -200,10 +200,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     An id that several rows of docs have brings one of its texts (the smallest).
     Without labelled texts there are no rules.
     """
-    named = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
+    named = labels.select(column(id_col).alias("label_id"), column(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
     named = named.groupBy("label_id").agg(F.min("label").alias("label"))
     chosen = named.withColumn("place", spread(F.col("label_id"), "quality")).orderBy("place", "label_id").limit(train_rows)
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed("label_id", "doc_id")), "doc_id").where("text is not null")
+    sample = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed("label_id", "doc_id")), "doc_id").where("text is not null")
     sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"))
     facts = statistics(sample, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     names = list(ratios())

@@ -17,8 +17,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import Batches, checkpointed, join_hot, tidy
+from .common import Batches, checkpointed, column, join_hot, tidy
 
 # Fixed patterns of the base kinds, in their listed order. The value is group 2 of assign, else the whole match.
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,6 +40,7 @@ _more = {k: re.compile(p) for k, p in MORE.items()}
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
 Span = tuple[str, int, int, str]
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("value", StringType()), StructField("bits", DoubleType())]))
 
 
 def find_spans(text: str) -> list[Span]:
@@ -74,9 +76,8 @@ def _scan(batches: Batches) -> Batches:
 
 def spans_of(docs: DataFrame, text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
     """The columns in carry, then sec_spans: array of (kind, start, end, digest of the value, bits)."""
-    rows = docs.select(*(carry or []), F.col(text_col).alias("_sec_text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_sec_text").schema.fields)
-    return rows.mapInArrow(tidy(_scan), f"{kinds}sec_spans array<struct<kind:string,start:bigint,end:bigint,value:string,bits:double>>")
+    rows = docs.select(*(carry or []), column(text_col).alias("_sec_text"))
+    return rows.mapInArrow(tidy(_scan), StructType([*rows.schema.fields[:-1], StructField("sec_spans", SPANS)]))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repositories and owners count as one each. Repeated rows give repeated rows
     but one ownership. An empty table gives an empty table.
     """
-    found = checkpointed(spans_of(docs, text_col, [F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner")]))
+    found = checkpointed(spans_of(docs, text_col, [column(id_col).alias("doc_id"), column(repo_col).alias("repo"), column(owner_col).alias("owner")]))
     found = found.withColumn("row", F.monotonically_increasing_id())
     owners = ownership(found)
     each = found.where(F.size("sec_spans") > 0).select("row", F.explode("sec_spans").alias("s")).select("row", "s", F.col("s.value").alias("value"))
@@ -161,14 +162,14 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc
     table of texts with examples is broadcast up to broadcast_rows rows and
     joined by shuffle beyond.
     """
-    digest = F.sha2(F.col(text_col).cast("binary"), 256)
-    found = spans_of(docs, text_col, [F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), digest.alias("digest")])
+    digest = F.sha2(column(text_col).cast("binary"), 256)
+    found = spans_of(docs, text_col, [column(repo_col).alias("repo"), column(owner_col).alias("owner"), digest.alias("digest")])
     found = checkpointed(found.where(F.size("sec_spans") > 0))
     each = found.select("digest", F.explode("sec_spans.value").alias("value")).distinct()
     judged = join_hot(each, ownership(found), "value", "digest").where(_example(shared_owners, shared_repos))
     keep = checkpointed(judged.groupBy("digest").agg(F.collect_set("value").alias("_sec_keep")).withColumnRenamed("digest", "_sec_digest"))
     small = keep.limit(broadcast_rows + 1).count() <= broadcast_rows
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_sec_text"), digest.alias("_sec_digest"))
+    rows = docs.select(F.struct(*[column(c).alias(c) for c in docs.columns if c != text_col]).alias("_row"), column(text_col).alias("_sec_text"), digest.alias("_sec_digest"))
     rows = rows.join(F.broadcast(keep) if small else keep, "_sec_digest", "left").select("_row", "_sec_text", "_sec_keep")
-    done = rows.mapInArrow(tidy(_redact, mask), f"_row {rows.schema['_row'].dataType.simpleString()}, _sec_new string")
+    done = rows.mapInArrow(tidy(_redact, mask), StructType([rows.schema["_row"], StructField("_sec_new", StringType())]))
     return done.select(*[(F.col("_sec_new") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])

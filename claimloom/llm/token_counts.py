@@ -24,8 +24,9 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import REMEMBERED, Batches, slices, tidy, tokenizer_file, utf8
+from .common import REMEMBERED, Batches, column, slices, tidy, tokenizer_file, utf8
 
 #: Fixed value: the split that the 50k byte-pair vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -241,9 +242,9 @@ def token_trees(docs: DataFrame, carry: Sequence[str] = (), folder: str | None =
     tokens. Repeated rows give repeated rows; other columns are ignored. An empty
     table gives an empty table.
     """
-    kept = F.struct(*[docs[f"`{c}`"] for c in carry]) if carry else F.lit(None).cast("struct<unused:int>")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), kept.alias("row"))
-    return rows.mapInArrow(tidy(_build, tokenizer_file(file, folder), pattern), f"{_TREE}, row {rows.schema['row'].dataType.simpleString()}")
+    kept = F.struct(*[column(c).alias(c) for c in carry]) if carry else F.lit(None).cast("struct<unused:int>")
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"), kept.alias("row"))
+    return rows.mapInArrow(tidy(_build, tokenizer_file(file, folder), pattern), StructType.fromDDL(_TREE).add(rows.schema["row"]))
 
 
 def edit_trees(trees: DataFrame, edits: Column | None = None, find: str | None = None, put: str = "", folder: str | None = None, file: str = "byte_bpe_50k.tiktoken", pattern: str = SPLIT) -> DataFrame:

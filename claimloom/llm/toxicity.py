@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import Batches, checkpointed, held_out, slices, spread, tidy, utf8
+from .common import Batches, checkpointed, column, held_out, slices, spread, tidy, utf8
 
 # Words that count as insults even without labels.
 INSULTS = ["clown", "disgusting", "fool", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -124,10 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_ro
     pseudo-random order, each with one of its texts (the smallest). lexicon_terms
     bounds the lexicon, least_gain is the G-squared that a term needs to enter it.
     """
-    named = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
+    named = labels.select(column(id_col).alias("label_id"), column(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
     named = named.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = named.withColumn("place", spread(F.col("label_id"), "toxicity")).orderBy("place", "label_id").limit(train_rows)
-    sample = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").where("text is not null")
+    sample = docs.select(column(id_col).alias("label_id"), column(text_col).alias("text")).join(F.broadcast(chosen), "label_id").where("text is not null")
     sample = checkpointed(sample.groupBy("label_id", "label", "place").agg(F.min("text").alias("text")).select("text", "label", "place"))
     lexicon = _learn_lexicon(sample, lexicon_terms, least_gain)
 
@@ -174,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     gives an empty table.
     """
     scorer = train(docs, labels, id_col=id_col, text_col=text_col, **settings)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), held_out(column(id_col)).alias("held_out"), column(text_col).alias("text"))
     scored = rows.mapInArrow(tidy(_scores, scorer), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -186,4 +186,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
     Nulls, empty tables and absent labels are treated as score_toxicity does.
     """
     scorer = train(docs, labels, id_col=id_col, text_col=text_col, **settings)
-    return docs.mapInArrow(tidy(_below, scorer, docs.columns.index(text_col), threshold), docs.schema)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't pass mapInArrow
+    return rows.mapInArrow(tidy(_below, scorer, docs.columns.index(text_col), threshold), rows.schema).toDF(*docs.columns)

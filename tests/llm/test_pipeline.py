@@ -76,3 +76,22 @@ def test_repeated_rows_and_empty_table(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 7: 1, 2: 1})
     assert corpus_pipeline.drop_near_copies(spark, rows.limit(0), "").count() == 0
     assert corpus_pipeline.mix(spark, rows.limit(0), "").count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark, odd):
+    """Clashing names, names with dots, nulls: each stage keeps all columns and its own rule on them."""
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    labels.write.mode("overwrite").parquet("/tmp/checkpoints/odd-labels/labels.parquet")
+    docs = odd.selectExpr("*", "1L as n_chars")
+    kept = [written(corpus_pipeline.STAGES[0][1](spark, docs, "/tmp/checkpoints/odd-labels"), "odd-0")]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:-1], 1):
+        kept.append(written(stage(spark, kept[-1], ""), f"odd-{k}"))
+    assert all(k.columns == docs.columns for k in kept)
+    rows = [k.collect() for k in kept]
+    source = docs.collect()
+    assert len(rows[0]) == len(source)
+    classes = defaultdict(list)
+    for k, _, component in brute([(k, r.text) for k, r in enumerate(source)]):
+        classes[component].append((source[k].doc_id is None, source[k].doc_id or 0, k))
+    assert Counter(r.doc_id for r in rows[1]) == Counter(source[min(own)[2]].doc_id for own in classes.values())
+    assert len(rows[2]) == len(rows[1]) and len(corpus_pipeline.encode(spark, kept[-1], "").collect()) == len(rows[3])
