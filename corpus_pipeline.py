@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import toxicity
-from claimloom.llm.common import SPACES, broadcast_if_small, checkpointed, ship, table, written
+from claimloom.llm.common import SPACES, broadcast_if_small, checkpointed, column, ship, table, written
 from claimloom.llm.mixing import mix_sources, with_sizes
 from claimloom.llm.ngram_join import ngram_jaccard_classes
 from claimloom.llm.pieces import encode_pieces
@@ -35,20 +35,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: that with the smallest id (null last), then the first in the files.
 
-    Rows are told apart by their place in the files that `docs` is read from, so
-    rows without an id and rows that repeat an id are judged by their texts too.
+    Rows are told apart by their place in the files that `docs` is read from (a
+    frame without files is checkpointed first), so rows without an id and rows
+    that repeat an id are judged by their texts too.
     """
     ship(spark)
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    classes = ngram_jaccard_classes(numbered, percent=75, width=5, id_col=row).select(F.col("doc_id").alias("_at"), "component_id")
-    named = numbered.select(F.col(row).alias("_at"), F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c")).alias("_order"))
-    judged = checkpointed(named.join(classes, "_at"))
-    stay = judged.groupBy("component_id").agg(F.min("_order").alias("_order")).select(F.col("_order.c").alias("_at"))
-    go = checkpointed(judged.select("_at").join(stay, "_at", "left_anti"))
-    return numbered.join(broadcast_if_small(go), F.col(row) == F.col("_at"), "left_anti").select(docs.columns)
+    if not docs.inputFiles():
+        docs = checkpointed(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[column(c).alias(c) for c in docs.columns]).alias("row"))
+    classes = ngram_jaccard_classes(rows.select("at", "row.text"), percent=75, width=5, id_col="at").select(F.col("doc_id").alias("at"), "component_id")
+    place = F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.col("at").alias("c"))
+    judged = checkpointed(rows.select("at", place.alias("place")).join(classes, "at"))
+    stay = judged.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.c").alias("at"))
+    go = checkpointed(judged.select("at").join(stay, "at", "left_anti"))
+    return rows.join(broadcast_if_small(go), "at", "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +63,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = F.split(F.regexp_replace(F.col("row.text"), f"^{_SPACE}+", ""), f"(?<={_SPACE})(?={_NOT_SPACE})")
     part = F.array_join(F.slice(words, 1, F.col("part").cast("int")), "")
     passes = F.arrays_zip(F.col("due"), F.sequence(F.lit(1), F.greatest(F.col("passes"), F.lit(1))).alias("number"))
-    each = mixed.where("passes > 0").withColumn("_pass", F.explode(passes))
-    text = F.when(F.col("_pass.number") > F.col("whole"), part).otherwise(F.col("row.text"))
+    each = mixed.where("passes > 0").withColumn("pass", F.explode(passes))
+    text = F.when(F.col("pass.number") > F.col("whole"), part).otherwise(F.col("row.text"))
     columns = [(text if c == "text" else F.char_length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns]
-    placed = each.select(F.col("_pass.due").alias("_due"), *columns)
-    return placed.orderBy("_due", "doc_id").select(docs.columns)
+    placed = each.select(F.col("pass.due").alias("due"), F.struct(*columns).alias("row"))
+    return placed.orderBy("due", "row.doc_id").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
