@@ -3,7 +3,8 @@
 A rule is a head and a conjunction: validation_error(C, 'ID', 'field', 'message')
 <= term, term, ... A term is claim_attribute(C, 'name', V), a fact about a value
 as in master_facility_active(V) or its negation ~master_facility_active(V), or a
-comparison of a variable with a number or a quoted text.
+comparison of a variable with a number or a quoted text. Rules of any other
+form are evaluated over tables of facts by operators.datalog.
 """
 
 from __future__ import annotations
@@ -61,6 +62,18 @@ def condition(text: str, attributes: Mapping[str, str] = ATTRIBUTES, facts: Mapp
     return rule, field, message, F.coalesce(out, F.lit(False))
 
 
+def split(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Rules that one claim's columns decide, and all others, which need facts to be joined."""
+    plain, joined = [], []
+    for text in texts:
+        try:
+            condition(text)
+            plain.append(text)
+        except (ValueError, KeyError):
+            joined.append(text)
+    return plain, joined
+
+
 def apply(claims: DataFrame, texts: list[str]) -> DataFrame:
     """claim_id, rule_id, field, message of each rule that holds, in one pass; claims carry the columns behind facts."""
     found = [condition(t) for t in texts]

@@ -1,31 +1,28 @@
-"""Claim validation: direct checks, rules as data, assignment checks, data quality."""
+"""Claim validation: direct checks, compiled rules, assignment checks, data quality."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank
 from ..params import Params
 from ..sources.testdata import Tables
+from . import datalog, rules
 
-# The direct checks, in their order: (rule, field, message, source).
+# The direct checks, in their order: (rule, field, message, source); {name} stands for the claim's value.
 DIRECT = [
     ("CORE_FAC_01", "facility_id", "Facility ID is missing.", "CORE"),
-    ("CORE_FAC_02", "facility_id", "Facility not found or inactive.", "CORE"),
-    ("CORE_PAT_01", "patient_account_number", "Patient Account Number is missing.", "CORE"),
-    ("CORE_DATE_01", "service_date", "Service date is missing.", "CORE"),
-    ("CORE_DATE_02", "service_date", "Service date is in the future.", "CORE"),
-    ("CORE_FC_01", "financial_class_id", "Financial class is missing.", "CORE"),
-    ("CORE_FC_03", "financial_class_id", "Financial class not active for the facility.", "CORE"),
+    ("CORE_FAC_02", "facility_id", "Facility ID '{facility_id}' not found or is inactive.", "CORE"),
+    ("CORE_PAT_01", "patient_account_number", "Patient Account Number is missing or empty.", "CORE"),
+    ("CORE_DATE_01", "service_date", "Claim service_date is missing.", "CORE"),
+    ("CORE_DATE_02", "service_date", "Claim service_date cannot be in the future.", "CORE"),
+    ("CORE_FC_01", "financial_class_id", "Financial Class ID is missing.", "CORE"),
+    ("CORE_FC_03", "financial_class_id", "Financial Class '{financial_class_id}' not valid for facility '{facility_id}'.", "CORE"),
     ("CORE_DATE_03", "end_date", "End date is before the service date.", "SPEC"),
 ]
-# Rules as data: a condition over the claim's columns and facility_active / facility_known.
-RULES = [
-    ("FACILITY_INACTIVE", "facility_id", "facility_id IS NOT NULL AND facility_id <> '' AND NOT facility_active", "Facility is not active."),
-    ("CHARGE_TOO_LOW", "total_charge", "total_charge < 50", "Total charge is below the minimum."),
-    ("CHARGE_TOO_HIGH", "total_charge", "total_charge > 20000", "Total charge is above the maximum."),
-]
 
 
 def facts(tables: Tables, claims: DataFrame, params: Params) -> DataFrame:
@@ -57,30 +54,45 @@ def direct_failures(params: Params) -> dict[str, Column]:
     }
 
 
-def rule_failures(rules: list[tuple[str, str, str, str]] | None = None) -> dict[str, Column]:
-    """Rules as data, each a Spark SQL condition; an unknown outcome is no failure."""
-    return {name: F.coalesce(F.expr(condition), F.lit(False)) for name, _, condition, _ in (RULES if rules is None else rules)}
+def _entry(rule: str, field: str, message: str) -> Column:
+    """rule|field|message with the claim's values in the message."""
+    parts = re.split(r"\{(\w+)\}", message)
+    texts = [F.lit(p) if k % 2 == 0 else F.col(p).cast("string") for k, p in enumerate(parts)]
+    return F.concat(F.lit(f"{rule}|{field}|"), *texts)
 
 
-def validate(tables: Tables, claims: DataFrame, params: Params = Params(), rules: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
-    """Claims with errors (array of rule|field|message, distinct by rule and field, in order), the two flags and the outcome.
+def validate(tables: Tables, claims: DataFrame, params: Params = Params(), texts: list[str] | None = None, existing: str | None = None) -> DataFrame:
+    """Claims with errors (array of rule|field|message), the two flags and the outcome.
 
-    One pass over the claims with broadcast dimensions; the errors of source
-    SPEC warn without making a claim invalid.
+    texts: rules as the rule table keeps them, the shipped ones by default.
+    Rules on a claim's own attributes become conditions, all checked in one pass
+    with the direct checks; rules that look at more than one fact of a claim are
+    joined over the facts (operators.datalog). existing: a column of errors that
+    claims have already; they stay in front. Errors are distinct by rule and
+    field; those of source SPEC warn without making a claim invalid.
     """
-    named = RULES if rules is None else rules
+    plain, joined = rules.split(rules.TEXTS if texts is None else texts)
     known = facts(tables, claims, params)
     failed = direct_failures(params)
-    entry = lambda rule, field, text: F.lit(f"{rule}|{field}|{text}")
-    core = F.array(*[F.when(failed[r], entry(r, f, t)) for r, f, t, s in DIRECT if s == "CORE"])
-    spec = F.array(*[F.when(failed[r], entry(r, f, t)) for r, f, t, s in DIRECT if s == "SPEC"])
-    ruled = F.array(*[F.when(c, entry(n, f, t)) for (n, f, _, t), c in zip(named, rule_failures(named).values(), strict=True)])
-    lists = known.withColumns({"core_errors": F.array_compact(core), "rule_errors": F.array_compact(ruled), "warnings": F.array_compact(spec)})
+    core = F.array(*[F.when(failed[r], _entry(r, f, m)) for r, f, m, s in DIRECT if s == "CORE"])
+    spec = F.array(*[F.when(failed[r], _entry(r, f, m)) for r, f, m, s in DIRECT if s == "SPEC"])
+    ruled = F.array(*[F.when(holds, F.lit(f"{r}|{f}|{m}")) for r, f, m, holds in map(rules.condition, plain)]).cast("array<string>")
+    more = F.array().cast("array<string>")
+    if joined:
+        found = datalog.evaluate(joined, claim_relations(tables, claims), datalog.ERRORS, 4).toDF("_claim", "r", "f", "m")
+        found = found.groupBy("_claim").agg(F.array_sort(F.collect_set(F.concat_ws("|", "r", "f", "m"))).alias("_more"))
+        known, more = known.join(found, F.col("claim_id") == F.col("_claim"), "left"), F.coalesce("_more", more)
+    lists = known.withColumns({"core_errors": F.array_compact(core), "rule_errors": F.concat(F.array_compact(ruled), more), "warnings": F.array_compact(spec)})
     ok, by_rules = F.size("core_errors") == 0, F.size("rule_errors") == 0
+    before = F.coalesce(F.col(existing), F.array().cast("array<string>")) if existing else F.array().cast("array<string>")
+    every = F.concat(before, "core_errors", "rule_errors")
+    named = F.transform(every, lambda e: F.substring_index(e, "|", 2))
+    first = F.filter(every, lambda e, k: F.array_position(named, F.element_at(named, k + 1)) == k + 1)
     return lists.withColumns({
-        "errors": F.array_distinct(F.concat("core_errors", "rule_errors")), "core_valid": ok, "rules_valid": by_rules, "is_valid": ok & by_rules,
+        "errors": first, "core_valid": ok, "rules_valid": by_rules, "is_valid": ok & by_rules,
         "validation_outcome": F.when(ok & by_rules, "VALIDATION_PASSED").otherwise("VALIDATION_FAILED_RULES"), "facility_validated": F.col("facility_active"),
-    })
+        "financial_class_validated": F.col("facility_active") & F.col("fc_active"),
+    }).drop("_claim", "_more")
 
 
 def error_rows(validated: DataFrame) -> DataFrame:
@@ -96,6 +108,20 @@ def claim_facts(claims: DataFrame) -> DataFrame:
     return each.where("value is not null and value <> ''")
 
 
+def claim_relations(tables: Tables, claims: DataFrame) -> dict[str, DataFrame]:
+    """The facts that rules see: claims and their attributes, lines and diagnoses, and the facilities' state and parents."""
+    f = tables.facilities
+    return {
+        "claim": claims.select("claim_id"),
+        "claim_attribute": claim_facts(claims),
+        "claim_line": tables.lines.select("claim_id", "line_number", "cpt_code", "units", "line_charge", "line_date"),
+        "claim_diagnosis": tables.diagnoses.select("claim_id", "sequence", "icd_code"),
+        "master_facility_exists": f.select("facility_id"),
+        "master_facility_active": f.where("active").select("facility_id"),
+        "facility_parent": tables.facility_parents,
+    }
+
+
 def late_lines(claims: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines outside their claim's window: a join on the claim with a band residual."""
     outside = (F.col("line_date") < F.col("service_date")) | (F.col("line_date") > F.col("end_date"))

@@ -1,3 +1,3 @@
 
 
-from . import lifecycle, queries  # noqa: F401  lifecycle adds its queries to the registry
+from . import lifecycle, queries, rulesets  # noqa: F401  the others add their queries to the registry

@@ -57,16 +57,16 @@ facts AS (
 checked AS (
   SELECT *, list_filter([
     CASE WHEN facility_id IS NULL THEN 'CORE_FAC_01|facility_id|Facility ID is missing.' END,
-    CASE WHEN facility_id IS NOT NULL AND NOT facility_active THEN 'CORE_FAC_02|facility_id|Facility not found or inactive.' END,
-    CASE WHEN account IS NULL OR trim(account) = '' THEN 'CORE_PAT_01|patient_account_number|Patient Account Number is missing.' END,
-    CASE WHEN service_date IS NULL THEN 'CORE_DATE_01|service_date|Service date is missing.' END,
-    CASE WHEN service_date > DATE '2001-08-02' THEN 'CORE_DATE_02|service_date|Service date is in the future.' END,
-    CASE WHEN financial_class_id IS NULL THEN 'CORE_FC_01|financial_class_id|Financial class is missing.' END,
-    CASE WHEN financial_class_id IS NOT NULL AND facility_active AND NOT fc_active THEN 'CORE_FC_03|financial_class_id|Financial class not active for the facility.' END], lambda x: x IS NOT NULL) AS core_errors,
+    CASE WHEN facility_id IS NOT NULL AND NOT facility_active THEN 'CORE_FAC_02|facility_id|Facility ID ''' || facility_id || ''' not found or is inactive.' END,
+    CASE WHEN account IS NULL OR trim(account) = '' THEN 'CORE_PAT_01|patient_account_number|Patient Account Number is missing or empty.' END,
+    CASE WHEN service_date IS NULL THEN 'CORE_DATE_01|service_date|Claim service_date is missing.' END,
+    CASE WHEN service_date > DATE '2001-08-02' THEN 'CORE_DATE_02|service_date|Claim service_date cannot be in the future.' END,
+    CASE WHEN financial_class_id IS NULL THEN 'CORE_FC_01|financial_class_id|Financial Class ID is missing.' END,
+    CASE WHEN financial_class_id IS NOT NULL AND facility_active AND NOT fc_active THEN 'CORE_FC_03|financial_class_id|Financial Class ''' || financial_class_id || ''' not valid for facility ''' || facility_id || '''.' END], lambda x: x IS NOT NULL) AS core_errors,
   list_filter([
-    CASE WHEN facility_id IS NOT NULL AND NOT facility_active THEN 'FACILITY_INACTIVE|facility_id|Facility is not active.' END,
-    CASE WHEN total_charge < 50 THEN 'CHARGE_TOO_LOW|total_charge|Total charge is below the minimum.' END,
-    CASE WHEN total_charge > 20000 THEN 'CHARGE_TOO_HIGH|total_charge|Total charge is above the maximum.' END], lambda x: x IS NOT NULL) AS rule_errors FROM facts),
+    CASE WHEN facility_id IS NOT NULL AND NOT facility_active THEN 'FACILITY_INACTIVE|facility_id|Facility ID on claim does not exist or is inactive' END,
+    CASE WHEN total_charge < 50 THEN 'CHARGE_TOO_LOW|total_charge_amount|Total charge amount is less than 50' END,
+    CASE WHEN total_charge > 20000 THEN 'CHARGE_TOO_HIGH|total_charge_amount|Total charge amount is over 20000' END], lambda x: x IS NOT NULL) AS rule_errors FROM facts),
 validated AS (SELECT *, list_concat(core_errors, rule_errors) AS errors, len(core_errors) = 0 AS core_valid, len(rule_errors) = 0 AS rules_valid, len(core_errors) = 0 AND len(rule_errors) = 0 AS is_valid, facility_active AS facility_validated FROM checked),
 priced AS (
   SELECT l.*, rvu_value, CASE WHEN units <= 0 THEN 'INVALID_UNITS' WHEN rvu_value IS NULL THEN 'RVU_NOT_FOUND' ELSE 'CALCULATED_OK' END AS pricing_status,

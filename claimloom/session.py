@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,3 +35,18 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._claimloom_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: spark.checkpoint.dir, or one under /tmp/checkpoints with a local master where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return shared or "file:///tmp/checkpoints"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: a table of Parquet in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -43,6 +43,12 @@ class Tables:
             F.when(n % 2 == 0, "Teaching").otherwise("Non-Teaching").alias("facility_type"), F.when(n % 7 == 0, "Y").otherwise("N").alias("critical_access"), (~n.isin(3, 17)).alias("active"),
         )
 
+    @cached_property
+    def facility_parents(self) -> DataFrame:
+        """(facility_id, parent_id): a binary tree of facilities under the first."""
+        n = F.col("n_nationkey")
+        return self.read("nation").where(n > 0).select(code("FAC", n).alias("facility_id"), code("FAC", F.floor(n / 2)).alias("parent_id"))
+
     @cached_property
     def payers(self) -> DataFrame:
         names = self.read("customer").select(F.col("c_mktsegment").alias("payer_name")).distinct()
