@@ -190,25 +190,34 @@ def _shards(length: int, batches: Batches) -> Batches:
         yield judged(waiting)
 
 
+def _covered(places: list[dict], length: int) -> list[list[int]]:
+    """The repeated starts of one text's contexts as disjoint covered runs (start, end), in order."""
+    found = []
+    for p in places:
+        runs = p["runs"]
+        for t in range(p["count"]):
+            lo = p["lo"] + t * p["stride"]
+            found += [(lo + a, lo + b + length) for a, b in zip(runs[::2], runs[1::2], strict=True)]
+    out: list[list[int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _cut(length: int, batches: Batches) -> Batches:
     """Texts without the bytes that repeated strings cover."""
     for batch in batches:
         raw, offsets = utf8(batch.column(1))
-        kept, sizes, spans = [], [], []
-        for k, places in enumerate(batch.column(2).to_pylist()):
-            text = raw[offsets[k] : offsets[k + 1]]
-            edge = np.zeros(len(text) + 1, np.int32)
-            for p in places or ():
-                ends = np.array(p["runs"], np.int64).reshape(-1, 2)
-                first = (p["lo"] + np.arange(p["count"])[:, None] * p["stride"] + ends[None, :, 0]).ravel()
-                last = (p["lo"] + np.arange(p["count"])[:, None] * p["stride"] + ends[None, :, 1] + length).ravel()
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            turns = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-            kept.append(text[~gone].tobytes())
-            sizes.append(len(text))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in turns])
+        data, kept, sizes, spans = memoryview(raw), [], [], []
+        for first, end, places in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
+            gone = _covered(places, length) if places else []
+            edges = [0, *(e for run in gone for e in run), end - first]
+            kept.append(b"".join(data[first + a : first + b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            sizes.append(end - first)
+            spans.append([{"start": a, "end": b} for a, b in gone])
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
