@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, at, label_key, mean, percent, since
-from ..session import ship
+from . import machines
 
 #: Trailing windows of the metrics report, in minutes.
 WINDOWS = {"1h": 60, "6h": 360, "24h": 1440, "7d": 10080}
@@ -246,55 +246,26 @@ def breaker_step(state: Breaker, t: float, failed: bool, threshold: int = 5, tim
     return met, (kind, bad, good, opened)
 
 
-def breaker(results: DataFrame, threshold: int = 5, timeout_seconds: int = 60, key: str = "name") -> DataFrame:
-    """State of a circuit breaker before each call, folded over each key's failure streaks.
+def breaker(results: DataFrame, threshold: int = 5, timeout_seconds: int = 60, key: str = "name", block_seconds: int | None = None) -> DataFrame:
+    """State of a circuit breaker before each call: key, t, failed, point_id, state.
 
     Open from the failure that fills the threshold until the timeout, then half
     open until three successes in a row close it or a failure opens it again.
-    The fold carries four numbers, its input is streamed in time order.
+    A key's calls are spread over blocks of time (operators.machines).
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, state = None, CLOSED
-        for batch in batches:
-            out = []
-            for n, t, f in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                if n != last:
-                    last, state = n, CLOSED
-                seen, state = breaker_step(state, t, f, threshold, timeout_seconds)
-                out.append(seen)
-            yield pa.record_batch([*[batch.column(k) for k in range(4)], pa.array(out, pa.string())], ["key", "t", "failed", "point_id", "state"])
-
-    ship(results.sparkSession)
-    x = results.select(F.col(key).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "failed", "point_id")
-    return x.repartition("key").sortWithinPartitions("key", "t", "point_id").mapInArrow(run, "key string, t double, failed boolean, point_id long, state string")
+    machine = machines.breaking(threshold, 3, timeout_seconds * 1_000_000)
+    met = machines.run(results, machine, F.col(key), F.col("ts"), F.col("failed"), F.col("point_id"), block_seconds and block_seconds * 1_000_000)
+    state = F.when(F.col("met") == machines.UNMET, "OPEN").when(F.col("met") < threshold, "CLOSED").otherwise("HALF_OPEN")
+    return met.select("key", (F.col("time") / F.lit(1e6)).alias("t"), (F.col("flag") == 1).alias("failed"), F.col("id").alias("point_id"), state.alias("state"))
 
 
-def cooldown(alerts: DataFrame, minutes: int, key: str = "name") -> DataFrame:
-    """Alerts that are sent: the first, and then each that follows the last sent one by the cooldown or more.
+def cooldown(alerts: DataFrame, minutes: int, key: str = "name", block_seconds: int | None = None) -> DataFrame:
+    """Alerts that are sent (key, t, point_id, sent): the first, and then each that follows the last sent one by the cooldown or more.
 
-    The fold keeps one time for each key; a window array isn't needed, so a
-    key's rows stream through in order.
+    A key's alerts are spread over blocks of time (operators.machines).
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, sent = None, None
-        for batch in batches:
-            out = []
-            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if n != last:
-                    last, sent = n, None
-                go = sent is None or t - sent >= minutes * 60
-                sent = t if go else sent
-                out.append(go)
-            yield pa.record_batch([*[batch.column(k) for k in range(3)], pa.array(out, pa.bool_())], ["key", "t", "point_id", "sent"])
-
-    x = alerts.select(F.col(key).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "point_id")
-    return x.repartition("key").sortWithinPartitions("key", "t", "point_id").mapInArrow(run, "key string, t double, point_id long, sent boolean").where("sent")
+    met = machines.run(alerts, machines.cooling(minutes * 60_000_000), F.col(key), F.col("ts"), F.lit(False), F.col("point_id"), block_seconds and block_seconds * 1_000_000)
+    return met.where(F.col("met") != machines.UNMET).select("key", (F.col("time") / F.lit(1e6)).alias("t"), F.col("id").alias("point_id"), F.lit(True).alias("sent"))
 
 
 #: Rules of alerts as data: name, component, severity, condition over a row of health numbers, message.
