@@ -11,7 +11,7 @@ from ..functions import columns as fn
 from ..operators import alerts, dml, failed, monitoring, registry, rules, scoring, taxonomy, validation
 from ..sources import generators, readers, sinks
 from ..sources.testdata import Tables
-from ..streaming import jobs
+from ..streaming import jobs, signals
 from .oracle import AS_OF_EVENTS, mean, sql
 from .queries import P, disposed, query
 
@@ -273,3 +273,10 @@ def bulk_status_by_ids(t: Tables) -> DataFrame:
 
 query("stream_breaker", recursive("SELECT name AS key, point_id, seen AS state FROM walk WHERE rn > 0", _BREAKER))(lambda t: jobs.breaker_stream(t))
 query("stream_latest", sql("SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1"))(lambda t: jobs.counted(t))
+
+_SIGNALS = """ points AS MATERIALIZED (SELECT name, point_id, ts, epoch_us(ts) AS t, value, value > 12 AS failed, row_number() OVER (PARTITION BY name ORDER BY ts, point_id) AS rn FROM metric_points),
+onward AS MATERIALIZED (SELECT name, rn, min(rn) OVER (PARTITION BY name ORDER BY t RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM points),
+sent(name, rn) AS (SELECT name, min(rn) FROM points GROUP BY 1 UNION ALL SELECT s.name, f.after FROM sent s JOIN onward f ON f.name = s.name AND f.rn = s.rn WHERE f.after IS NOT NULL)"""
+query("stream_signals", recursive("""SELECT name AS key, point_id, (name, rn) IN (SELECT (name, rn) FROM sent) AS sent, round(list_reduce(v, lambda acc, x: acc * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS average, streak
+FROM (SELECT name, rn, point_id, list(value::DOUBLE) OVER (PARTITION BY name ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS v,
+  (sum(failed::INTEGER) OVER (PARTITION BY name, run ORDER BY ts, point_id))::BIGINT AS streak FROM (SELECT *, sum((NOT failed)::INTEGER) OVER (PARTITION BY name ORDER BY ts, point_id) AS run FROM points))""", _SIGNALS))(lambda t: signals.signal_stream(t))
