@@ -37,9 +37,11 @@ def view(name: str, f: Callable[[Tables, Params], DataFrame], oracle: str) -> No
     query(name, oracle)(lambda t: f(t, P))
 
 
-def disposed(t: Tables) -> DataFrame:
-    valid = validation.validate(t, t.claims, P)
-    gated = scoring.gate(scoring.formula_predictions(scoring.features(t.claims, t.lines, t.diagnoses)), P)
+def disposed(t: Tables, claims: DataFrame | None = None) -> DataFrame:
+    """The given claims, or all, validated, gated and disposed."""
+    claims = t.claims if claims is None else claims
+    valid = validation.validate(t, claims, P)
+    gated = scoring.gate(scoring.formula_predictions(scoring.features(claims, t.lines, t.diagnoses)), P)
     return failed.dispose(valid, gated)
 
 
