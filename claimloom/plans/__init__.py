@@ -1,3 +1,3 @@
 
 
-from . import exports, lifecycle, queries, rulesets  # noqa: F401  the others add their queries to the registry
+from . import deltas, exports, lifecycle, queries, rulesets  # noqa: F401  the others add their queries to the registry

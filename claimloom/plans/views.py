@@ -35,6 +35,11 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, **shares: float) -
     values are gathered in memory.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    return percentiles_of_counts(counts, keys, **shares)
+
+
+def percentiles_of_counts(counts: DataFrame, keys: list[str], **shares: float) -> DataFrame:
+    """The same from rows of keys, _v and _n: how often each value stands in a group."""
     own = Window.partitionBy(*keys)
     ranked = counts.withColumn("_upto", F.sum("_n").over(own.orderBy("_v"))).withColumn("_all", F.sum("_n").over(own))
     place = {name: (F.col("_all") - 1) * F.lit(share) for name, share in shares.items()}
@@ -47,7 +52,11 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, **shares: float) -
 
 def with_percentiles(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
     """Groups (by keys, nulls included) with the percentiles of their rows; a group without values gets nulls."""
-    found = percentiles(rows, keys, value, **shares)
+    return joined_null_safe(groups, percentiles(rows, keys, value, **shares), keys, list(shares))
+
+
+def joined_null_safe(groups: DataFrame, found: DataFrame, keys: list[str], shares: list[str]) -> DataFrame:
+    """Groups with columns of found, null keys matching null keys."""
     found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *shares)
     same = F.lit(True)
     for k in keys:
