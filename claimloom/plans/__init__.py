@@ -1,3 +1,3 @@
 
 
-from . import deltas, exports, lifecycle, queries, ranges, rulesets  # noqa: F401  the others add their queries to the registry
+from . import deltas, exports, lifecycle, queries, ranges, rulesets, searches  # noqa: F401  the others add their queries to the registry
