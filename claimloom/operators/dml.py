@@ -31,6 +31,24 @@ def upsert(target: DataFrame, rows: DataFrame, key: str, as_of: datetime, touche
     return old.unionByName(fresh.select(old.columns))
 
 
+def outcomes(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Of each key in a batch: in_batch, inserted, updated, skipped (rows of it). The first row of a new key is inserted, each further row of a key updates, rows without a key are skipped.
+
+    Keys are counted before they meet the target, so that a key with most of the rows is one row in the join.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("in_batch"))
+    known = target.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("_known")).distinct()
+    new = F.when(F.col(key).isNotNull() & F.col("_known").isNull(), 1).otherwise(0).cast("long")
+    skipped = F.when(F.col(key).isNull(), F.col("in_batch")).otherwise(F.lit(0).cast("long"))
+    x = counts.join(known, key, "left").withColumns({"inserted": new, "skipped": skipped})
+    return x.withColumn("updated", F.col("in_batch") - F.col("inserted") - F.col("skipped")).select(key, "in_batch", "inserted", "updated", "skipped")
+
+
+def outcome_counts(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One row: inserted, updated and skipped rows of a batch; zeros for an empty one."""
+    return outcomes(target, rows, key).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("inserted", "updated", "skipped")])
+
+
 def merge_latest(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """All rows of both, of each key the one that is new, or else latest."""
     both = target.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
