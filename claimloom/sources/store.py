@@ -33,12 +33,12 @@ def month_of(column: str) -> Column:
     return F.coalesce(F.date_format(column, "yyyy-MM"), F.lit(NO_MONTH))
 
 
-class ClaimStore:
+class Folders:
+    """Folders below one that the cluster shares, moved and dropped through the Hadoop file system of the session."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    # -- folders ---------------------------------------------------------------------------
-
     def path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
 
@@ -52,17 +52,21 @@ class ClaimStore:
         files, path = self._files(self.path(*parts))
         return files.exists(path)
 
-    def _drop(self, *parts: str) -> None:
+    def drop(self, *parts: str) -> None:
         files, path = self._files(self.path(*parts))
         files.delete(path, True)
 
-    def _move(self, source: str, target: str) -> None:
+    def move(self, source: str, target: str) -> None:
         files, path = self._files(source)
         _, there = self._files(target)
         files.mkdirs(there.getParent())
         if not files.rename(path, there):
             raise OSError(f"{source} couldn't be moved to {target}")
 
+
+class ClaimStore(Folders):
+    # -- tables ----------------------------------------------------------------------------
+
     def write(self, rows: DataFrame, name: str, *by: str, whole: bool = False) -> None:
         """Replaces the partitions that rows fall into, or the whole table; rows meet by partition first, so that each gets few files.
 
@@ -132,7 +136,7 @@ class ClaimStore:
             disposed = dispose(self.take(batch, **choice))
             number = F.lit(batch).cast("long")
             for name, rows in (("production", valid(disposed)), ("failed", failed(disposed))):
-                self._drop(name, f"batch={batch}")
+                self.drop(name, f"batch={batch}")
                 self.write(rows.withColumn("batch", number), name, "batch", "service_month")
             said = disposed.select("claim_id", "final_status", F.col("is_valid").alias("is_exported"))
             said.write.mode("overwrite").parquet(self.path("status", f"batch={batch}"))
@@ -180,7 +184,7 @@ class ClaimStore:
             self.write(out, "archive-new", "service_month", whole=True)
             self._swap()
         for month in whole:
-            self._move(self.path("claims", f"service_month={month}"), self.path("archive", f"service_month={month}"))
+            self.move(self.path("claims", f"service_month={month}"), self.path("archive", f"service_month={month}"))
         return self.spark.createDataFrame([(m["service_month"], m["archived"], m["kept"]) for m in months], "service_month string, archived long, kept long")
 
     def _swap(self) -> None:
@@ -194,9 +198,9 @@ class ClaimStore:
                 if left:
                     self.write(self.read("claims-new"), "claims", "service_month")
                 for month in months - left:
-                    self._drop("claims", f"service_month={month}")
-        self._drop("claims-new")
-        self._drop("archive-new")
+                    self.drop("claims", f"service_month={month}")
+        self.drop("claims-new")
+        self.drop("archive-new")
 
     def _parts(self, name: str) -> bool:
         files, path = self._files(self.path(name))
@@ -207,8 +211,8 @@ class ClaimStore:
         months = [r[0] for r in self.read("archive").where(F.col("service_month") < first).select("service_month").distinct().collect()] if self.exists("archive") else []
         done = [r[0] for r in self.read("manifest", MANIFEST).where(F.col("batch") < batches_before).select("batch").collect()] if self.exists("manifest") else []
         for month in months:
-            self._drop("archive", f"service_month={month}")
+            self.drop("archive", f"service_month={month}")
         for batch in done:
             for name in ("batches", "manifest", "status"):
-                self._drop(name, f"batch={batch}")
+                self.drop(name, f"batch={batch}")
         return self.spark.createDataFrame([("months", len(months)), ("batches", len(done))], "what string, dropped long")
