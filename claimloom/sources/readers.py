@@ -1,4 +1,4 @@
-"""Sources: files, JSON record sets, identifier lists, month series, JDBC, rule and model registries."""
+"""Sources: files, JSON record sets, identifier lists, month series, rule and model registries."""
 
 from __future__ import annotations
 
@@ -17,16 +17,6 @@ def read_rvu_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("rvu_value").isNotNull() & ~F.isnan("rvu_value")).withColumn("rvu_value", F.col("rvu_value").cast("decimal(8,2)"))
 
 
-def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=TRAINING_SCHEMA, header=True)
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 32, **options: str) -> DataFrame:
-    """A parallel read by ranges of a numeric key. The driver jar is the user's to supply."""
-    ranges = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **ranges, **options).load()
-
-
 def json_records(df: DataFrame, column: str, schema: str) -> DataFrame:
     """A JSON array of records in a column, as rows."""
     return df.select(F.inline(F.from_json(F.col(column), f"array<struct<{schema}>>")))
