@@ -72,14 +72,28 @@ def production_rows(disposed: DataFrame) -> DataFrame:
     return disposed.where("is_valid").select("claim_id", "facility_id", "department_id", "financial_class_id", "patient_id", "patient_age", "service_date", "total_charge", F.lit("COMPLETED").alias("status"), F.lit("VALIDATED").alias("validation_status"), F.array("assigned_filter").alias("assigned_filters"))
 
 
+# What a suggestion says.
+REPAIRS = {
+    "facility_id": ("Verify facility ID against master list. Check for typos.", ["FAC001_VALID", "FAC002_VALID"], 0.70, "Error code VAL_FAC_001 indicates facility ID was not found or inactive."),
+    "patient_account_number": ("Ensure patient account number is provided and correct.", None, 0.90, "Patient account number is a required field for billing."),
+}
+
+
 def suggest_repairs(failed: DataFrame) -> DataFrame:
-    """Up to two suggestions for each failed claim."""
+    """Up to two suggestions for each failed claim; suggested_value_options is null where any value may be right."""
     facility = F.col("error_codes").rlike("VAL_FAC_001|CORE_FAC_0[12]")
     account = F.col("error_messages").contains("Patient Account Number is missing")
-    one = lambda field, value, action, sure: F.struct(F.lit(field).alias("field_to_correct"), value.alias("current_value"), F.lit(action).alias("suggested_action"), F.lit(sure).alias("confidence"))
+
+    def one(field: str, value: Column) -> Column:
+        action, options, sure, reason = REPAIRS[field]
+        listed = F.lit(None).cast("array<string>") if options is None else F.array(*map(F.lit, options))
+        return F.struct(
+            F.lit(field).alias("field_to_correct"), value.alias("current_value"), F.lit(action).alias("suggested_action"), listed.alias("suggested_value_options"), F.lit(sure).alias("confidence"), F.lit(reason).alias("reasoning"),
+        )
+
     found = F.array_compact(F.array(
-        F.when(facility, one("facility_id", F.coalesce("facility_id", F.lit("N/A")), "Verify the facility against the master list.", 0.70)),
-        F.when(account, one("patient_account_number", F.lit(""), "Provide the patient account number.", 0.90)),
+        F.when(facility, one("facility_id", F.coalesce("facility_id", F.lit("N/A")))),
+        F.when(account, one("patient_account_number", F.lit(""))),
     ))
     return failed.select("failed_id", "original_claim_id", F.inline(found))
 

@@ -77,8 +77,17 @@ query("failed_claim_records", sql("""SELECT claim_id AS original_claim_id, facil
   array_to_string(list_transform(errors, lambda e: split_part(e, '|', 1)), ', ') AS error_codes, array_to_string(list_transform(errors, lambda e: 'Comp: RULES, Field: ' || split_part(e, '|', 2) || ' - ' || split_part(e, '|', 3)), chr(10)) AS error_messages, 'New' AS status
   FROM disposed WHERE NOT is_valid""".replace("ELSE account END", "ELSE CASE WHEN length(account) > 3 THEN repeat('*', length(account)) ELSE account END END")))(lambda t: failed.failed_records(disposed(t), P.as_of_claims).drop("snapshot", "failed_at"))
 query("production_rows", sql("SELECT claim_id, facility_id, department_id, financial_class_id, patient_id, patient_age, service_date, total_charge, 'COMPLETED' AS status, 'VALIDATED' AS validation_status, assigned_filter AS filters FROM disposed WHERE is_valid"))(lambda t: failed.production_rows(disposed(t)).withColumn("filters", F.array_join("assigned_filters", ",")).drop("assigned_filters"))
-query("repair_suggestions", sql("""SELECT failed_id, original_claim_id, 'facility_id' AS field_to_correct, facility_id AS current_value, 'Verify the facility against the master list.' AS suggested_action, 0.7::DOUBLE AS confidence FROM failed_claims WHERE error_codes IN ('CORE_FAC_01', 'CORE_FAC_02')
-  UNION ALL SELECT failed_id, original_claim_id, 'patient_account_number', '', 'Provide the patient account number.', 0.9::DOUBLE FROM failed_claims WHERE contains(error_messages, 'Patient Account Number is missing')"""))(lambda t: failed.suggest_repairs(t.failed_claims))
+_REPAIRS = """SELECT failed_id, original_claim_id, 'facility_id' AS field_to_correct, coalesce(facility_id, 'N/A') AS current_value, 'Verify facility ID against master list. Check for typos.' AS suggested_action, 'FAC001_VALID,FAC002_VALID' AS suggested_value_options, 0.7::DOUBLE AS confidence,
+    'Error code VAL_FAC_001 indicates facility ID was not found or inactive.' AS reasoning FROM failing WHERE error_codes IN ('CORE_FAC_01', 'CORE_FAC_02')
+  UNION ALL SELECT failed_id, original_claim_id, 'patient_account_number', '', 'Ensure patient account number is provided and correct.', NULL, 0.9::DOUBLE, 'Patient account number is a required field for billing.' FROM failing WHERE contains(error_messages, 'Patient Account Number is missing')"""
+
+
+def _repairs(rows: DataFrame) -> DataFrame:
+    return failed.suggest_repairs(rows).withColumn("suggested_value_options", F.array_join("suggested_value_options", ","))
+
+
+query("repair_suggestions", sql(_REPAIRS, " failing AS (SELECT * FROM failed_claims)"))(lambda t: _repairs(t.failed_claims))
+query("claim_repairs", sql(_REPAIRS, " failing AS (SELECT * FROM failed_claims QUALIFY row_number() OVER (PARTITION BY original_claim_id ORDER BY failed_at DESC, failed_id DESC) = 1)"))(lambda t: _repairs(failed.latest_failures(t.failed_claims)))
 query("audit_trail", sql("SELECT claim_id AS resource_id, unnest(['VALIDATE', 'PREDICT', 'EXPORT']) AS action, unnest([CASE WHEN is_valid THEN 'PASS' ELSE 'FAIL' END, CASE WHEN is_valid THEN assigned_filter ELSE 'SKIPPED' END, final_status]) AS outcome FROM disposed"))(lambda t: failed.audit_trail(disposed(t)))
 query("optimal_batch_size", sql("SELECT facility_id, greatest(least(512 * 1024, 30 * 100, greatest(n // 100, 100), 10000), 100)::BIGINT AS batch_size FROM (SELECT facility_id, count(*) * 1000 AS n FROM claims GROUP BY 1)"))(lambda t: t.claims.groupBy("facility_id").agg((F.count("*") * 1000).alias("n")).select("facility_id", fn.batch_size(F.col("n"), F.lit(512), F.lit(30)).alias("batch_size")))
 query("phi_masking_all", sql("SELECT claim_id, CASE WHEN length(account) > 4 THEN '********' || right(account, 4) WHEN length(account) > 3 THEN repeat('*', length(account)) ELSE account END AS account_masked, CASE WHEN length(account) > 1 THEN left(account, 1) || '***' || right(account, 1) WHEN length(account) = 1 THEN account || '****' ELSE account END AS name_masked, CASE WHEN length(account) >= 9 THEN '***-**-' || right(account, 4) WHEN length(account) > 3 THEN repeat('*', length(account)) ELSE account END AS ssn_masked, strftime(service_date, '%Y') || '-XX-XX' AS dob_masked FROM claims"))(
@@ -95,10 +104,10 @@ view("mv_facility_performance", views.facility_performance_daily, sql(f"SELECT f
 view("mv_validation_failure_patterns", views.validation_failure_patterns, sql(f"SELECT e.validation_type, e.model_version, e.validation_day, count(*) AS failure_count, {mean('v.processing_ms')} AS avg_processing_ms, {mean('v.inference_ms')} AS avg_inference_ms, array_to_string(list_sort(list_distinct(list(e.error_type || '=' || e.error_count))), ',') AS error_type_counts FROM counts e JOIN own v ON v.validation_type = e.validation_type AND v.model_version = e.model_version AND v.created_date::DATE = e.validation_day GROUP BY 1, 2, 3", " own AS (SELECT * FROM validation_results WHERE validation_status = 'FAILED' AND created_date >= {E} - INTERVAL 7 DAY), counts AS (SELECT validation_type, model_version, created_date::DATE AS validation_day, coalesce(error_type, 'unknown') AS error_type, count(*) AS error_count FROM own GROUP BY 1, 2, 3, 4)"))
 view("mv_financial_metrics", views.financial_metrics, sql(f"SELECT c.service_date AS service_day, k.description AS fc_description, y.payer_category, f.facility_type, count(c.claim_id) AS claim_count, {money('c.total_charge')} AS total_charges, {money('p.amount')} AS total_reimbursement, {mean('c.total_charge')} AS avg_charge, {mean('p.amount')} AS avg_reimbursement, CASE WHEN sum(c.total_charge) > 0 THEN round(sum(p.amount)::DOUBLE / sum(c.total_charge)::DOUBLE, 6) END AS reimbursement_ratio FROM claims c JOIN facilities f ON f.facility_id = c.facility_id LEFT JOIN financial_classes k ON k.financial_class_id = c.financial_class_id LEFT JOIN payers y ON y.payer_id = k.payer_id LEFT JOIN priced p ON p.claim_id = c.claim_id WHERE c.service_date >= {{C}} - INTERVAL 90 DAY AND exported GROUP BY 1, 2, 3, 4"))
 view("mv_ml_model_performance", views.ml_model_performance, sql(f"SELECT model_version, date_trunc('hour', created_date) AS prediction_hour, count(*) AS total_predictions, {mean('inference_ms')} AS avg_inference, round(quantile_cont(inference_ms::DOUBLE, 0.5), 6) AS median_inference, round(quantile_cont(inference_ms::DOUBLE, 0.95), 6) AS p95_inference, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (confidence > 0.8) AS high_confidence FROM validation_results WHERE validation_type = 'ML_FILTER' AND created_date >= {{E}} - INTERVAL 90 DAY AND inference_ms IS NOT NULL GROUP BY 1, 2"))
-view("v_claims_for_validation", views.claims_for_validation, sql("""SELECT c.claim_id, coalesce(f.facility_name, 'N/A') AS facility_name, coalesce(d.department_name, 'N/A') AS department_name, coalesce(k.description, 'N/A') AS fc_description,
+view("v_claims_for_validation", views.claims_for_validation, sql("""SELECT c.claim_id, c.facility_id, c.department_id, c.financial_class_id, c.patient_id, c.patient_age, c.account AS patient_account_number, c.service_date, c.total_charge AS total_charge_amount, y.payer_name, c.status AS processing_status, c.created_date, coalesce(f.facility_name, 'N/A') AS facility_name, coalesce(d.department_name, 'N/A') AS department_name, coalesce(k.description, 'N/A') AS fc_description,
   coalesce(array_to_string(list_sort(list(DISTINCT g.icd_code) FILTER (g.icd_code IS NOT NULL)), ','), '') AS diagnosis_codes, coalesce(array_to_string(list_sort(list(DISTINCT l.cpt_code) FILTER (l.cpt_code IS NOT NULL)), ','), '') AS procedure_codes, count(DISTINCT g.sequence) AS diagnosis_count, count(DISTINCT l.line_number) AS line_count, sum(l.amount)::DECIMAL(18,2) AS total_reimbursement
-  FROM claims c LEFT JOIN facilities f ON f.facility_id = c.facility_id LEFT JOIN departments d ON d.department_id = c.department_id LEFT JOIN financial_classes k ON k.financial_class_id = c.financial_class_id
-  LEFT JOIN diagnoses g ON g.claim_id = c.claim_id AND c.service_date IS NOT NULL LEFT JOIN priced l ON l.claim_id = c.claim_id AND c.service_date IS NOT NULL WHERE c.status = 'PENDING' AND NOT c.exported GROUP BY 1, 2, 3, 4"""))
+  FROM claims c LEFT JOIN facilities f ON f.facility_id = c.facility_id LEFT JOIN departments d ON d.department_id = c.department_id LEFT JOIN financial_classes k ON k.financial_class_id = c.financial_class_id LEFT JOIN payers y ON y.payer_id = k.payer_id
+  LEFT JOIN diagnoses g ON g.claim_id = c.claim_id AND c.service_date IS NOT NULL LEFT JOIN priced l ON l.claim_id = c.claim_id AND c.service_date IS NOT NULL WHERE c.status = 'PENDING' AND NOT c.exported GROUP BY ALL"""))
 view("v_high_volume_stats", views.high_volume_stats, sql(f"SELECT date_trunc('hour', created_date) AS processing_hour, status, count(*) AS claim_count, count(*) FILTER (facility_active) AS validated_count, count(*) FILTER (exported) AS exported_count, {money('total_charge')} AS total_charges, {mean('total_charge')} AS avg_charge, round(quantile_cont(total_charge::DOUBLE, 0.5), 6) AS median_charge, count(DISTINCT facility_id) AS unique_facilities, count(DISTINCT substring(account, 1, 3)) AS account_prefixes FROM facts WHERE created_date >= {{C}} - INTERVAL 90 DAY GROUP BY 1, 2"))
 view("mv_validation_summary", views.validation_summary, sql(f"SELECT date_trunc('hour', created_date) AS hour, validation_type, validation_status, count(*) AS n, {mean('processing_ms')} AS avg_ms, round(quantile_cont(processing_ms::DOUBLE, 0.95), 6) AS p95_ms, count(*) FILTER (validation_status = 'FAILED') AS failed_count FROM validation_results WHERE created_date >= {{E}} - INTERVAL 7 DAY GROUP BY 1, 2, 3"))
 view("mv_facility_metrics", views.facility_metrics, sql(f"SELECT facility_id, service_date AS service_day, status, count(*) AS claim_count, {money('total_charge')} AS total_charges, {mean('total_charge')} AS avg_charge, count(*) FILTER (facility_validated) AS validated_claims, count(*) FILTER (len(errors) > 0) AS error_claims FROM validated WHERE service_date >= {{C}} - INTERVAL 30 DAY GROUP BY 1, 2, 3"))

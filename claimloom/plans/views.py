@@ -119,7 +119,7 @@ def claims_for_validation(t: Tables, p: Params) -> DataFrame:
     """Pending claims with names, distinct codes and the reimbursement total, inflated by the number of diagnoses as the join has it."""
     own = t.claims.where((F.col("status") == "PENDING") & ~F.col("exported"))
     x = own.join(t.facilities.select("facility_id", "facility_name"), "facility_id", "left").join(t.departments.select("department_id", "department_name"), "department_id", "left")
-    x = x.join(t.financial_classes.select("financial_class_id", F.col("description").alias("fc_description")), "financial_class_id", "left")
+    x = x.join(t.financial_classes.join(t.payers, "payer_id", "left").select("financial_class_id", F.col("description").alias("fc_description"), "payer_name"), "financial_class_id", "left")
     dated = F.col("service_date").isNotNull()
     # Children of other claims go before they are priced or gathered.
     keys = own.select("claim_id")
@@ -128,6 +128,7 @@ def claims_for_validation(t: Tables, p: Params) -> DataFrame:
     y = x.join(ill, "claim_id", "left").join(line, "claim_id", "left")
     text = lambda c: F.when(dated & F.col(c).isNotNull(), F.array_join(c, ",")).otherwise("")
     return y.select(
+        "facility_id", "department_id", "financial_class_id", "patient_id", "patient_age", F.col("account").alias("patient_account_number"), "service_date", F.col("total_charge").alias("total_charge_amount"), "payer_name", F.col("status").alias("processing_status"), "created_date",
         "claim_id", F.coalesce("facility_name", F.lit("N/A")).alias("facility_name"), F.coalesce("department_name", F.lit("N/A")).alias("department_name"), F.coalesce("fc_description", F.lit("N/A")).alias("fc_description"),
         text("icd").alias("diagnosis_codes"), text("cpt").alias("procedure_codes"), F.when(dated, F.coalesce("n_ill", F.lit(0))).otherwise(0).cast("bigint").alias("diagnosis_count"), F.when(dated, F.coalesce("n_line", F.lit(0))).otherwise(0).cast("bigint").alias("line_count"),
         F.when(dated, F.col("paid") * F.greatest(F.coalesce("n_ill", F.lit(1)), F.lit(1))).cast("decimal(18,2)").alias("total_reimbursement"),

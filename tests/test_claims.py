@@ -60,6 +60,8 @@ def test_repairs(spark):
     rows = spark.createDataFrame([(1, "a", "F1", "VAL_FAC_001", "x"), (2, "b", None, "Z", "Patient Account Number is missing."), (3, "c", "F", "Z", "x")], "failed_id long, original_claim_id string, facility_id string, error_codes string, error_messages string")
     got = {(r.failed_id, r.field_to_correct, r.confidence) for r in failed.suggest_repairs(rows).collect()}
     assert got == {(1, "facility_id", 0.7), (2, "patient_account_number", 0.9)}
+    options = {r.field_to_correct: r.suggested_value_options for r in failed.suggest_repairs(rows).collect()}
+    assert options == {"facility_id": ["FAC001_VALID", "FAC002_VALID"], "patient_account_number": None}
 
 
 def test_pages_reject_bad_arguments(spark):
