@@ -192,17 +192,32 @@ def trailing_rate(points: DataFrame, seconds: int = 300, key: str = "name") -> D
     Time is cut into ranges of twelve times `seconds`; the points of a range's
     last `seconds` also go to the next one, so no key is one task's work. Points
     without a time count among themselves and have no rate.
+
+    No frame is summed for each point: the points of a moment are counted once,
+    and each moment also leaves a mark `seconds` earlier. Counts that run up to
+    the moment and to its mark differ by the points between; the first of these
+    is met last when the range is walked backwards to the mark.
     """
     reach = seconds * 1_000_000
     width = 12 * reach
-    x = points.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    at_ = F.unix_micros(F.col("ts").cast("timestamp"))
+    moments = points.select(F.col(key).alias("_key"), at_.alias("_at")).where("_at is not null").groupBy("_key", "_at").agg(F.count("*").alias("_n"))
     own = F.floor(F.col("_at") / width)
     late = F.pmod(F.col("_at"), F.lit(width)) > width - reach
-    x = x.withColumn("_own", own).withColumn("_range", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-    frame = Window.partitionBy(key, "_range").orderBy("_at").rangeBetween(1 - reach, 0)
-    span = F.greatest((F.col("_at") - F.min("_at").over(frame)) / F.lit(1e6), F.lit(1.0))
-    rate = F.when(F.col("_at").isNotNull(), F.count("*").over(frame) / span)
-    return x.withColumn("rate", rate).where(F.col("_range").eqNullSafe(F.col("_own"))).select(*points.columns, "rate")
+    x = moments.withColumn("_own", own).withColumn("_range", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    point, mark = F.lit(0), F.lit(1)  # at one moment a point comes before a mark, as the start is excluded
+    both = F.filter(F.array(F.struct(F.col("_at").alias("place"), point.alias("kind")), F.struct((F.col("_at") - reach).alias("place"), mark.alias("kind"))), lambda m: (m["kind"] == point) | (F.col("_own") == F.col("_range")))
+    x = x.withColumn("m", F.explode(both)).select("_key", "_range", "_own", "_at", "_n", "m.place", "m.kind")
+    each = Window.partitionBy("_key", "_range")
+    up = each.orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = each.orderBy(F.desc("place"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    is_point = F.col("kind") == point
+    x = x.withColumn("_upto", F.sum(F.when(is_point, F.col("_n")).otherwise(0)).over(up)).withColumn("_first", F.min(F.when(is_point, F.col("_at"))).over(down))
+    rates = x.where("_range = _own").groupBy("_key", "_at").agg((F.max(F.when(is_point, F.col("_upto"))) - F.max(F.when(~is_point, F.col("_upto")))).alias("_count"), F.max(F.when(~is_point, F.col("_first"))).alias("_first"))
+    span = F.greatest((F.col("_at") - F.col("_first")) / F.lit(1e6), F.lit(1.0))
+    rates = rates.select("_key", F.col("_at").alias("_moment"), (F.col("_count") / span).alias("rate"))
+    met = F.col(key).eqNullSafe(F.col("_key")) & (at_ == F.col("_moment"))
+    return points.join(rates, met, "left").select(*points.columns, "rate")
 
 
 def streaks(results: DataFrame, key: str = "name", block: str = "hour") -> DataFrame:
