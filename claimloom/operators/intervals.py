@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,37 @@ def points_within(points: DataFrame, time: Column, intervals: DataFrame, start:
     return met.drop("_time", "_start", "_end", "_level", "_cell")
 
 
+def totals_within(points: DataFrame, time: Column, value: Column, intervals: DataFrame, name: str, start: Column, end: Column, cell_rows: int = 100_000) -> DataFrame:
+    """name, n and total: the number of points in each interval, both ends included, and the sum of their values; only intervals with a point.
+
+    No pair of a point and an interval is made: an interval's total is the total
+    up to its end less the total before its start. Points and ends are dealt to
+    cells of time of about cell_rows rows, totals run inside each cell, and the
+    cells' own totals run over all cells. Intervals of one name add up. A null
+    value is a point without a value.
+    """
+    own = _placed(intervals.select(F.col(name).alias("_name"), start.alias("_from"), end.alias("_to")), F.col("_from"), F.col("_to"))
+    none = F.lit(0).cast("long")
+    # at one moment a start comes before the points and an end after them
+    marks = F.explode(F.array(F.struct(F.col("_start").alias("_time"), none.alias("_kind"), (none - 1).alias("_sign")), F.struct(F.col("_end").alias("_time"), (none + 2).alias("_kind"), (none + 1).alias("_sign"))))
+    ends = own.select("_name", marks.alias("m")).select("_name", "m.*")
+    met = points.select(time.cast("long").alias("_time"), value.alias("_value")).where("_time is not null")
+    same = met.groupBy("_time").agg(F.count("*").alias("_n"), F.count("_value").alias("_known"), F.sum("_value").alias("_sum"))
+    rows = same.withColumns({"_kind": none + 1, "_sign": none}).unionByName(ends, allowMissingColumns=True)
+    size = rows.agg(F.min("_time"), F.max("_time"), F.count("*")).first()
+    level = max(0, ((size[1] - size[0]) // (size[2] // cell_rows + 1)).bit_length()) if size[2] else 0
+    rows = rows.withColumn("_cell", _cell(F.col("_time"), F.lit(level)))
+    sums = ("_n", "_known", "_sum")
+    cells = rows.groupBy("_cell").agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # one row for each cell
+    upto = Window.partitionBy("_cell").orderBy("_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = cells.select("_cell", *[F.sum(c).over(before).alias(f"{c}_before") for c in sums])
+    run = rows.select("_cell", "_name", "_sign", *[F.sum(c).over(upto).alias(c) for c in sums]).where("_sign <> 0").join(carried, "_cell")
+    both = lambda c: F.sum(F.col("_sign") * (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"{c}_before"), F.lit(0))))
+    totals = run.groupBy(F.col("_name").alias(name)).agg(both("_n").alias("n"), both("_known").alias("_known"), both("_sum").alias("total")).where("n > 0")
+    return totals.select(name, "n", F.when(F.col("_known") > 0, F.col("total")).alias("total"))
+
+
 def overlaps(intervals: DataFrame, name: str, start: Column, end: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of intervals with a common moment, each once: keys, a and b (their names, a < b), first and last common moment.
 

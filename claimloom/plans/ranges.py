@@ -19,8 +19,8 @@ def micros(column: str):
 def points_in_failures(t: Tables) -> DataFrame:
     """Metric points of any name while a failed claim was open, for those that have been resolved."""
     open_ = t.failed_claims.where("resolved_at is not null").select("failed_id", "failed_at", "resolved_at")
-    met = intervals.points_within(t.metric_points.select("ts", "value"), micros("ts"), open_, micros("failed_at"), micros("resolved_at"))
-    return met.groupBy("failed_id").agg(F.count("*").alias("points"), F.sum("value").cast("decimal(18,2)").alias("total"))
+    met = intervals.totals_within(t.metric_points, micros("ts"), F.col("value"), open_, "failed_id", micros("failed_at"), micros("resolved_at"))
+    return met.select("failed_id", F.col("n").alias("points"), F.col("total").cast("decimal(18,2)").alias("total"))
 
 
 @query("overlapping_stays", sql("""SELECT x.patient_id, least(x.claim_key, y.claim_key) AS a, greatest(x.claim_key, y.claim_key) AS b, (least(x.end_date, y.end_date)::DATE - greatest(x.service_date, y.service_date)::DATE + 1)::BIGINT AS days

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from claimloom.operators import intervals
 
 
@@ -50,3 +51,24 @@ def test_no_intervals(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert intervals.overlaps(none, "id", F.col("s"), F.col("e")).count() == 0
     assert intervals.points_within(spark.range(3).select(F.col("id").alias("p")), F.col("p"), none, F.col("s"), F.col("e")).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [3, 100_000])
+def test_totals_equal_all_pairs(spark, cell_rows):
+    rng = random.Random(7)
+    spans = drawn(7, 120)
+    points = [(rng.choice([None, 7, 7, 10, rng.randint(-2100, 5000)]), rng.choice([None, rng.randint(1, 9)])) for _ in range(200)]
+    met = intervals.totals_within(spark.createDataFrame(points, "t long, v long"), F.col("t"), F.col("v"), spark.createDataFrame(spans, SCHEMA), "id", F.col("s"), F.col("e"), cell_rows)
+    want = {}
+    for i, _, s, e in spans:
+        own = [v for t, v in points if None not in (t, s, e) and s <= t <= e]
+        if own:
+            want[i] = (len(own), sum(v for v in own if v is not None) if any(v is not None for v in own) else None)
+    assert {r.id: (r.n, r.total) for r in met.collect()} == want
+    empty = spark.createDataFrame([], "t long, v long")
+    assert intervals.totals_within(empty, F.col("t"), F.col("v"), spark.createDataFrame([], SCHEMA), "id", F.col("s"), F.col("e")).count() == 0
+
+
+def test_points_in_failures_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "points_within", None)
+    assert queries()["points_in_failures"](spark, "/root/testdata/sf0.001").count() > 0
