@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.stems import STOP, stem
 
 BLOCK = 65_536
+PLACES_A_TASK = 1_000_000
 
 
 def terms(columns: Sequence[str | Column]) -> Column:
@@ -26,21 +27,38 @@ def terms(columns: Sequence[str | Column]) -> Column:
 def postings(rows: DataFrame, key: str, columns: Sequence[str | Column]) -> DataFrame:
     """term, block, n, gaps: the block's claims that hold the term, first as its place in the block, then as steps.
 
-    Stems are made once for each distinct word. key is a number that is not negative.
+    Claims are dealt by block before their words are taken apart, about a block
+    to a task, so that all of a list is made where its claims are: no task holds
+    more words than those of a few blocks, and no word that many claims share
+    meets in one task. A word is stemmed once for each block. key is a number
+    that is not negative.
     """
-    each = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.explode(terms(columns)).alias("word")).distinct()
-    stems = each.select("word").distinct().withColumn("term", stem(F.col("word")))
-    held = each.join(stems, "word").select("term", F.floor(F.col("_key") / BLOCK).alias("block"), (F.col("_key") % BLOCK).alias("place")).distinct()
-    lists = held.groupBy("term", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))  # at most a block's claims
+    own = rows.where(F.col(key).isNotNull()).withColumn("_key", F.col(key).cast("long")).withColumn("block", F.floor(F.col("_key") / BLOCK))
+    size = own.agg(F.count_distinct("block"), F.count("*")).first()
+    own = own.repartition(2 * min(size[0], size[1] // BLOCK + 1) + 1, "block")
+    each = own.select("block", (F.col("_key") % BLOCK).alias("place"), F.explode(terms(columns)).alias("word"))
+    by_word = each.groupBy("block", "word").agg(F.collect_list("place").alias("own"))
+    places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("places")  # at most a block's claims
+    lists = by_word.select("block", stem(F.col("word")).alias("term"), "own").groupBy("block", "term").agg(places)
     steps = F.zip_with("places", F.concat(F.array(F.lit(0).cast("long")), F.slice("places", 1, F.greatest(F.size("places") - 1, F.lit(0)))), lambda a, b: a - b)
     return lists.select("term", "block", F.size("places").cast("long").alias("n"), steps.cast("array<int>").alias("gaps"))
 
 
-def keys(found: DataFrame) -> DataFrame:
-    """term, key: postings read back; a claim's place is the sum of the steps up to it."""
-    own = found.select("term", "block", F.posexplode("gaps").alias("at", "gap"))
+def places(found: DataFrame) -> DataFrame:
+    """term, block, place: postings read back, a place is the sum of the steps up to it.
+
+    Lists are dealt while they are short rows, by as many tasks as their places need.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    dealt = found.select("term", "block", "gaps").repartition(total // PLACES_A_TASK + 1, "term", "block")
+    own = dealt.select("term", "block", F.posexplode("gaps").alias("at", "gap"))
     upto = Window.partitionBy("term", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("term", (F.col("block") * BLOCK + F.sum("gap").over(upto)).alias("key"))
+    return own.select("term", "block", F.sum("gap").over(upto).alias("place"))
+
+
+def keys(found: DataFrame) -> DataFrame:
+    """term, key: postings read back."""
+    return places(found).select("term", (F.col("block") * BLOCK + F.col("place")).alias("key"))
 
 
 class SearchIndex:
@@ -57,7 +75,7 @@ class SearchIndex:
         self._write(postings(own, key, columns), "dynamic")
 
     def _write(self, found: DataFrame, mode: str) -> None:
-        found.repartition("block").sortWithinPartitions("block", "term").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("block").parquet(self.folder)
+        found.sortWithinPartitions("block", "term").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("block").parquet(self.folder)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema("term string, n long, gaps array<int>, block long").parquet(self.folder)

@@ -36,7 +36,6 @@ def index_of(t: Tables) -> search.SearchIndex:
 
 
 query("search_postings", sql(f"""SELECT term, claim_key // {search.BLOCK} AS block, count(*) AS n, min(claim_key % {search.BLOCK})::BIGINT AS first, max(claim_key % {search.BLOCK})::BIGINT AS last, sum(claim_key % {search.BLOCK})::BIGINT AS total FROM held GROUP BY 1, 2""", _TERMS))(
-    lambda t: search.keys(index_of(t).read()).groupBy("term", F.floor(F.col("key") / search.BLOCK).alias("block")).agg(
-        F.count("*").alias("n"), F.min(F.col("key") % search.BLOCK).alias("first"), F.max(F.col("key") % search.BLOCK).alias("last"), F.sum(F.col("key") % search.BLOCK).alias("total")))
+    lambda t: search.places(index_of(t).read()).groupBy("term", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.sum("place").alias("total")))
 query("search_two_words", sql("SELECT claim_key FROM held WHERE term = 'build' INTERSECT SELECT claim_key FROM held WHERE term = 'fac001'", _TERMS))(
     lambda t: index_of(t).search("Buildings", "FAC001").select(F.col("key").alias("claim_key")))

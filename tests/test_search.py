@@ -58,3 +58,9 @@ def test_index_search_and_refresh(spark):
     assert {f for f in before if "block=0" not in f[0]} <= files() and not {f for f in before if "block=0" in f[0]} & files()
     plan = index.search("building", "claim")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term" in plan
+
+
+def test_lists_are_made_where_a_blocks_claims_are(spark):
+    found = search.postings(spark.createDataFrame(texts(60), "k long, text string"), "k", ["text"])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(block" in plan and "Join" not in plan
