@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..params import Params
 from ..session import ship
 from ..sources.testdata import Tables
 
+OUT_ROWS = 50_000  # of a key that go back to Spark at once
+
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint directory; under /tmp/checkpoints with a local master where none is set."""
@@ -93,15 +96,21 @@ def breaker_stream(t: Tables, keep_ms: int = 30 * 24 * 3_600_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        batch = pd.concat(rows).sort_values(["t", "point_id"], kind="stable")  # one key's rows of one batch
-        now = state.get if state.exists else monitoring.CLOSED
-        met = []
-        for moment, failed in zip(batch["t"], batch["failed"], strict=True):
-            seen, now = monitoring.breaker_step(tuple(now), float(moment), bool(failed))
-            met.append(seen)
+        parts = [tuple(rows_[c].to_numpy() for c in ("t", "failed", "point_id")) for rows_ in rows]
+        t, failed, points = (np.concatenate([p[i] for p in parts]) for i in range(3))  # one key's rows of one batch, 17 bytes each
+        del parts
+        order = np.lexsort((points, t))
+        t, failed, points = t[order], failed[order], points[order]
+        now = tuple(state.get) if state.exists else monitoring.CLOSED
+        last = int(1000 * np.nanmax(t))
+        for start in range(0, len(t), OUT_ROWS):
+            met = []
+            for moment, bad in zip(t[start : start + OUT_ROWS].tolist(), failed[start : start + OUT_ROWS].tolist(), strict=True):
+                seen, now = monitoring.breaker_step(now, moment, bad)
+                met.append(seen)
+            yield pd.DataFrame({"key": key[0], "point_id": points[start : start + OUT_ROWS], "state": met})
         state.update(now)
-        state.setTimeoutTimestamp(max(int(1000 * batch["t"].max()), state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame({"key": key[0], "point_id": batch["point_id"], "state": met})
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_ms)
 
     value = money(F.round(F.col("value") * 100).cast("bigint"), "decimal(12,2)")
     calls = _timed(t).withWatermark("at", "1 day").select("at", F.col("event_type").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), (value > 12).alias("failed"), F.col("event_id").alias("point_id"))

@@ -26,3 +26,40 @@ def test_rates_equal_plain_counts_and_sum_no_frames(spark):
         want[k] = len(own) / max((ts - min(own)).total_seconds(), 1.0) if own else None
     assert {r.point_id: r.rate for r in rated.collect()} == pytest.approx(want)
     assert "specifiedwindowframe(RangeFrame" not in rated._jdf.queryExecution().optimizedPlan().toString()
+
+
+class State:
+    exists = hasTimedOut = False
+
+    def update(self, now):
+        self.now = now
+
+    def setTimeoutTimestamp(self, at):
+        self.at = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_a_keys_states_go_back_in_parts(spark, monkeypatch):
+    taken = {}
+
+    def take(self, follow, *args):
+        taken["follow"] = follow
+        raise StopIteration
+
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda self, *a: type("G", (), {"applyInPandasWithState": take})())
+    with pytest.raises(StopIteration):
+        jobs.breaker_stream(Tables(spark, "/root/testdata/sf0.001"))
+    rng = random.Random(5)
+    calls = [(float(k // 2), rng.random() < 0.6, k) for k in range(500)]
+    frames = [pd.DataFrame(calls[i::5], columns=["t", "failed", "point_id"]) for i in range(5)]
+    monkeypatch.setattr(jobs, "OUT_ROWS", 64)
+    state = State()
+    out = list(taken["follow"](("a",), iter(frames), state))
+    now, want = monitoring.CLOSED, []
+    for t, bad, k in calls:
+        seen, now = monitoring.breaker_step(now, t, bad)
+        want.append((k, seen))
+    assert len(out) == 8 and max(map(len, out)) == 64
+    assert [(k, s) for frame in out for k, s in zip(frame["point_id"], frame["state"], strict=True)] == want and state.now == now
