@@ -37,11 +37,11 @@ def view(name: str, f: Callable[[Tables, Params], DataFrame], oracle: str) -> No
     query(name, oracle)(lambda t: f(t, P))
 
 
-def disposed(t: Tables, claims: DataFrame | None = None) -> DataFrame:
-    """The given claims, or all, validated, gated and disposed."""
+def disposed(t: Tables, claims: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """The given claims, or all, validated, gated and disposed; features, where they are known already, of these claims at least."""
     claims = t.claims if claims is None else claims
     valid = validation.validate(t, claims, P)
-    gated = scoring.gate(scoring.formula_predictions(scoring.features(claims, t.lines, t.diagnoses)), P)
+    gated = scoring.gate(scoring.formula_predictions(scoring.features(claims, t.lines, t.diagnoses) if features is None else features), P)
     return failed.dispose(valid, gated)
 
 

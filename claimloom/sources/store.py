@@ -7,6 +7,7 @@ Layout below one folder that the cluster shares:
     batches/batch=7/                     the claims that batch 7 took, decided once
     production/batch=7/service_month=..  valid claims of the batch
     failed/batch=7/service_month=..      failed claims of the batch
+    disposed/batch=7/                    the batch's claims as validated; goes when the batch is done
     status/batch=7/                      what the batch says about its claims
     manifest/batch=7/                    counts; written last, so it marks the batch as done
 
@@ -133,7 +134,9 @@ class ClaimStore(Folders):
         batch with a manifest is done and is only read.
         """
         if not self.exists("manifest", f"batch={batch}", "_SUCCESS"):
-            disposed = dispose(self.take(batch, **choice))
+            validated = dispose(self.take(batch, **choice))
+            validated.write.mode("overwrite").parquet(self.path("disposed", f"batch={batch}"))  # once, for three targets
+            disposed = self.spark.read.schema(validated.schema).parquet(self.path("disposed", f"batch={batch}"))
             number = F.lit(batch).cast("long")
             for name, rows in (("production", valid(disposed)), ("failed", failed(disposed))):
                 self.drop(name, f"batch={batch}")
@@ -143,6 +146,7 @@ class ClaimStore(Folders):
             written = self.spark.read.schema(said.schema).parquet(self.path("status", f"batch={batch}"))
             counts = written.agg(F.count("*").alias("dequeued"), F.count_if("is_exported").alias("exported"), F.count_if(~F.col("is_exported")).alias("failed"))
             counts.write.mode("overwrite").parquet(self.path("manifest", f"batch={batch}"))
+            self.drop("disposed", f"batch={batch}")
         return self.read("manifest", MANIFEST).where(F.col("batch") == batch)
 
     def set_status(self, batch: int, ids: DataFrame, status: str) -> DataFrame:

@@ -126,3 +126,14 @@ def test_archiving_touches_only_its_months(spark, monkeypatch):
     dropped = {r.what: r.dropped for r in store.retain("1995-03", 2).collect()}
     assert dropped == {"months": len({f"{r.service_date:%Y-%m}" for r in before if r.claim_id in gone and f"{r.service_date:%Y-%m}" < "1995-03"}), "batches": 1}
     assert [r.batch for r in store.read("manifest").collect()] == [2] and store.read("archive").where(month < "1995-03").count() == 0
+
+
+def test_batches_read_lines_and_validate_once_each(spark, monkeypatch):
+    from claimloom.plans import exports, queries
+    from claimloom.sources.testdata import Tables
+
+    calls, seen = [], queries.scoring.features
+    monkeypatch.setattr(queries.scoring, "features", lambda *tables: calls.append(1) or seen(*tables))
+    store = exports.batches(Tables(spark, "/root/testdata/sf0.001"))
+    assert len(calls) == 1
+    assert store.read("manifest").count() == 3 and store.exists("disposed") and not store._parts("disposed")
