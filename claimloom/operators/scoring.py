@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
+from ..session import written
 
 FEATURES = ["f_charge", "f_age", "f_diagnoses", "f_lines"]
+ROWS_A_TASK, MOST_TASKS = 10_000, 200  # of training; every task sends the counts of all nodes of a pass
 
 
 def features(claims: DataFrame, lines: DataFrame, diagnoses: DataFrame) -> DataFrame:
@@ -87,17 +89,24 @@ def train(df: DataFrame, features: list[str], label: str, trees: int = 150, dept
     quantile of that hash, so that every class gives 80 % of its rows (approximately,
     and exactly equal rows to the same part). Returns the model and its predictions
     on the rest.
+
+    The rows are written once, as the fit passes over them again and again, and
+    dealt to tasks by their number and hash alone: the same rows make the same
+    forest on any cluster. Each row's node in each tree is kept beside it, so no
+    pass sends the trees to the tasks or walks them from the root.
     """
-    keyed = df.withColumn("_part", F.xxhash64(F.lit(seed), *features, label))
+    keyed = written(df.withColumn("_part", F.xxhash64(F.lit(seed), *features, label)), "forest")
     cuts = keyed.groupBy(label).agg(F.percentile_approx("_part", F.lit(0.8), F.lit(10_000)).alias("_cut"))
-    dealt = keyed.join(cuts, label).withColumn("_train", F.col("_part") <= F.col("_cut")).drop("_part", "_cut")
+    dealt = keyed.join(cuts, label).withColumn("_train", F.col("_part") <= F.col("_cut")).drop("_cut")
     counts = dealt.where("_train").groupBy(label).agg(F.count("*").alias("_n"))  # one row for each class
     every = Window.partitionBy()
     weights = counts.select(label, (F.sum("_n").over(every) / (F.count("*").over(every) * F.col("_n"))).alias("_w"))
     weighed = dealt.join(weights, label)
-    stages = [StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x"), RandomForestClassifier(labelCol="_label", featuresCol="_x", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, seed=seed)]
-    model = Pipeline(stages=stages).fit(weighed.where("_train"))
-    return model, model.transform(weighed.where("not _train"))
+    parts = min(keyed.count() // ROWS_A_TASK + 1, MOST_TASKS)
+    own = weighed.where("_train").repartition(parts, "_part").sortWithinPartitions("_part", *features)
+    forest = RandomForestClassifier(labelCol="_label", featuresCol="_x", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, seed=seed, cacheNodeIds=True)
+    model = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x"), forest]).fit(own.drop("_part"))
+    return model, model.transform(weighed.where("not _train").drop("_part"))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import alerts, dml, failed, monitoring, registry, rules, scoring, taxonomy, validation
+from ..session import written
 from ..sources import generators, readers, sinks
 from ..sources.testdata import Tables
 from ..streaming import jobs, signals
@@ -153,6 +154,7 @@ def model_registry(t: Tables) -> DataFrame:
     """Two versions are saved; the latest is found by its date, loaded and predicts what the trained one does."""
     folder = jobs.work_folder(t.spark)
     feats = scoring.formula_predictions(scoring.features(t.claims, t.lines, t.diagnoses)).select("claim_id", *scoring.FEATURES, F.col("prediction").cast("string").alias("target"))
+    feats = written(feats, "features")  # for the training and for both predictions
     model, _ = scoring.train(feats, scoring.FEATURES, "target", trees=5, depth=4)
     for version, day in (("v2", 2), ("v1", 1)):
         registry.save(model, t.spark, folder, version, datetime(2024, 1, day), scoring.FEATURES, {"accuracy": 0.5})

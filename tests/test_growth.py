@@ -63,3 +63,12 @@ def test_a_keys_states_go_back_in_parts(spark, monkeypatch):
         want.append((k, seen))
     assert len(out) == 8 and max(map(len, out)) == 64
     assert [(k, s) for frame in out for k, s in zip(frame["point_id"], frame["state"], strict=True)] == want and state.now == now
+
+
+def test_the_same_rows_make_the_same_forest(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "ROWS_A_TASK", 100, raising=False)
+    rows = [(float(k * 37 % 101), k % 90, k % 5, k % 7, str(k * k % 3)) for k in range(600)]
+    x = spark.createDataFrame(rows, "f_charge double, f_age int, f_diagnoses int, f_lines int, target string")
+    forests = [scoring.train(df, scoring.FEATURES, "target", trees=3, depth=5)[0].stages[-1] for df in (x, x.orderBy(F.desc("f_charge")).repartition(7))]
+    assert forests[0].toDebugString.split("\n", 1)[1] == forests[1].toDebugString.split("\n", 1)[1]
+    assert forests[0].getCacheNodeIds()
