@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..params import Params
 from ..session import written
+from . import forest
 
 FEATURES = ["f_charge", "f_age", "f_diagnoses", "f_lines"]
+MOST_NODES = 1 << 17  # that Spark ML may have to grow on the driver
 ROWS_A_TASK, MOST_TASKS = 10_000, 200  # of training; every task sends the counts of all nodes of a pass
 
 
@@ -94,19 +98,30 @@ def train(df: DataFrame, features: list[str], label: str, trees: int = 150, dept
     dealt to tasks by their number and hash alone: the same rows make the same
     forest on any cluster. Each row's node in each tree is kept beside it, so no
     pass sends the trees to the tasks or walks them from the root.
+
+    Spark ML grows the nodes of all trees on the driver, from counts that every
+    task sends for every node. A forest that may have more than MOST_NODES is
+    grown in tasks, if the features' bins make a grid that a task can hold.
     """
     keyed = written(df.withColumn("_part", F.xxhash64(F.lit(seed), *features, label)), "forest")
-    cuts = keyed.groupBy(label).agg(F.percentile_approx("_part", F.lit(0.8), F.lit(10_000)).alias("_cut"))
+    cuts = written(keyed.groupBy(label).agg(F.percentile_approx("_part", F.lit(0.8), F.lit(10_000)).alias("_cut")), "forest-cuts")
     dealt = keyed.join(cuts, label).withColumn("_train", F.col("_part") <= F.col("_cut")).drop("_cut")
     counts = dealt.where("_train").groupBy(label).agg(F.count("*").alias("_n"))  # one row for each class
     every = Window.partitionBy()
-    weights = counts.select(label, (F.sum("_n").over(every) / (F.count("*").over(every) * F.col("_n"))).alias("_w"))
+    weights = written(counts.select(label, (F.sum("_n").over(every) / (F.count("*").over(every) * F.col("_n"))).alias("_w")), "forest-weights")
     weighed = dealt.join(weights, label)
-    parts = min(keyed.count() // ROWS_A_TASK + 1, MOST_TASKS)
-    own = weighed.where("_train").repartition(parts, "_part").sortWithinPartitions("_part", *features)
-    forest = RandomForestClassifier(labelCol="_label", featuresCol="_x", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, seed=seed, cacheNodeIds=True)
-    model = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x"), forest]).fit(own.drop("_part"))
-    return model, model.transform(weighed.where("not _train").drop("_part"))
+    own, rest = weighed.where("_train"), weighed.where("not _train").drop("_part")
+    front = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x")]).fit(own)
+    wanted = RandomForestClassifier(labelCol="_label", featuresCol="_x", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, seed=seed, cacheNodeIds=True)
+    points = forest.split_points(front.transform(own), "_x", len(features), wanted.getMaxBins()) if trees << depth > MOST_NODES else None
+    if points and math.prod(forest.sizes(points)) <= forest.MOST_CELLS:
+        by_class = [r["_w"] for r in front.stages[0].transform(weights).orderBy("_label").collect()]
+        grown = forest.grow(front.transform(own), points, by_class, wanted)
+    else:
+        parts = min(keyed.count() // ROWS_A_TASK + 1, MOST_TASKS)
+        grown = wanted.fit(front.transform(own.repartition(parts, "_part").sortWithinPartitions("_part", *features).drop("_part")))
+    model = PipelineModel([*front.stages, grown])
+    return model, model.transform(rest)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
