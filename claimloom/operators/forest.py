@@ -27,13 +27,15 @@ def split_points(rows: DataFrame, column: str, width: int, bins: int) -> list[li
     own = rows.select(*[x[i].alias(c) for i, c in enumerate(names)])
     ranks = [k / bins for k in range(1, bins)]
     seen = own.agg(*[F.struct(F.min(c).alias("least"), F.approx_count_distinct(c).alias("values"), F.percentile_approx(c, ranks, 10_000).alias("cuts")).alias(c) for c in names]).first()
+    if seen[names[0]]["least"] is None:
+        raise ValueError("no rows to train on")
+    few = [c for c in names if seen[c]["values"] <= 2 * bins]
+    sets = own.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}
     points = []
     for c in names:
-        if seen[c]["least"] is None:
-            raise ValueError("no rows to train on")
-        values = sorted(r[0] for r in own.select(c).distinct().limit(bins + 1).collect()) if seen[c]["values"] <= 2 * bins else []
-        few = 0 < len(values) <= bins
-        points.append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)] if few else sorted(set(seen[c]["cuts"]) - {seen[c]["least"]}))
+        values = sorted(sets[c]) if c in few else []
+        cuts = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)] if c in few and len(values) <= bins else set(seen[c]["cuts"]) - {seen[c]["least"]}
+        points.append(sorted({v for v in cuts if math.isfinite(v)}))
     return points
 
 

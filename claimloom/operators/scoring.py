@@ -101,7 +101,9 @@ def train(df: DataFrame, features: list[str], label: str, trees: int = 150, dept
 
     Spark ML grows the nodes of all trees on the driver, from counts that every
     task sends for every node. A forest that may have more than MOST_NODES is
-    grown in tasks, if the features' bins make a grid that a task can hold.
+    grown in tasks, if the features' bins make a grid that a task can hold. Cuts
+    and split points are sketched quantiles, which may differ a little where many
+    values come in another order.
     """
     keyed = written(df.withColumn("_part", F.xxhash64(F.lit(seed), *features, label)), "forest")
     cuts = written(keyed.groupBy(label).agg(F.percentile_approx("_part", F.lit(0.8), F.lit(10_000)).alias("_cut")), "forest-cuts")

@@ -45,6 +45,17 @@ def test_a_tree_from_counts_is_spark_mls(spark, weights):
         assert share[r["_cell"]] == pytest.approx(r["probability"].toArray(), abs=1e-9)
 
 
+def test_split_points_deal_rows_to_all_bins(spark):
+    df = spark.createDataFrame([(float(k * k), float(k % 40), 1.0 if k else float("-inf")) for k in range(3200)], "a double, b double, c double")
+    x = VectorAssembler(inputCols=["a", "b", "c"], outputCol="_x").transform(df)
+    points = forest.split_points(x, "_x", 3, 32)
+    assert [len(p) for p in points] == [31, 31, 0]
+    dealt = np.stack(np.unravel_index([r[0] for r in forest.with_cells(x, "_x", points).select("_cell").collect()], forest.sizes(points)), axis=1)
+    assert set(np.bincount(dealt[:, 0])) <= set(range(98, 103)) and set(np.bincount(dealt[:, 1])) <= {80, 160} and len(dealt) == 3200
+    with pytest.raises(ValueError):
+        forest.split_points(x.limit(0), "_x", 3, 32)
+
+
 def test_the_default_forest_grows_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(RandomForestClassifier, "fit", lambda *args: pytest.fail("nodes on the driver"))
     model, rest = scoring.train(learnable(spark, 400), scoring.FEATURES, "target")
